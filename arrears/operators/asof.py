@@ -74,3 +74,37 @@ def _all(conds: Sequence[Column]) -> Column:
     for c in conds:
         out = out & c
     return out
+
+
+def count_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str,
+                 left_ts: str, right_ts: str, tolerance_minutes: int,
+                 bucket_hours: int = 1, out: str = "matches") -> DataFrame:
+    """Number of right rows with equal keys inside each left row's
+    ``[ts - tol, ts + tol]`` window (left ids with at least one), i.e. the
+    cardinality of the interval join, computed without forming its pairs:
+    a running count of right rows is read at the window's start (rows
+    strictly before it) and at its end (rows at or before it)."""
+    bucket_hours = max(bucket_hours, math.ceil(2 * tolerance_minutes / 60))
+    tol = F.expr(f"INTERVAL {int(tolerance_minutes)} MINUTES")
+    keycols = [F.col(k) for k in keys]
+    l = (left.where(_all([F.col(k).isNotNull() for k in keys] + [F.col(left_ts).isNotNull()]))
+             .select(*keycols, F.col(left_id).alias("__lid"), F.col(left_ts).alias("__lts"))
+             .withColumn("__b", _bucket(F.col("__lts") + tol, bucket_hours)))
+    starts = l.select(*keys, "__b", (F.col("__lts") - tol).alias("__t"), F.lit(0).alias("__kind"),
+                      F.lit(-1).alias("__sign"), "__lid")
+    ends = l.select(*keys, "__b", (F.col("__lts") + tol).alias("__t"), F.lit(2).alias("__kind"),
+                    F.lit(1).alias("__sign"), "__lid")
+    r = (right.where(_all([F.col(k).isNotNull() for k in keys] + [F.col(right_ts).isNotNull()]))
+              .select(*keycols, F.col(right_ts).alias("__t"))
+              .withColumn("__b0", _bucket(F.col("__t"), bucket_hours))
+              .select(*keys, "__t", F.explode(F.array(F.col("__b0"), F.col("__b0") + 1)).alias("__b"))
+              .select(*keys, "__b", "__t", F.lit(1).alias("__kind"), F.lit(0).alias("__sign"),
+                      F.lit(None).cast(l.schema["__lid"].dataType).alias("__lid")))
+    stream = starts.unionByName(ends).unionByName(r)
+    w = (Window.partitionBy(*keys, "__b").orderBy("__t", "__kind")
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = F.sum(F.when(F.col("__kind") == 1, 1).otherwise(0)).over(w)
+    marks = stream.withColumn("__seen", seen).where(F.col("__kind") != 1)
+    return (marks.groupBy(F.col("__lid").alias(left_id))
+                 .agg(F.sum(F.col("__sign") * F.col("__seen")).cast("bigint").alias(out))
+                 .where(F.col(out) > 0))

@@ -51,3 +51,64 @@ add("dim_operators", ev(facts.dim_operators), Q.table("dim_operators"))
 add("dim_cases", od(dims.dim_cases), Q.table("dim_cases"))
 add("dim_client", od(dims.dim_client), Q.table("dim_client"))
 add("dim_company", od(dims.dim_company), Q.table("dim_company"))
+
+# ---- everything else reads the shared model
+from arrears.checks import oracle_reports as R  # noqa: E402,F401  (registers CTEs)
+from arrears.plans import kpi, marts, quality, views  # noqa: E402
+from arrears.plans.model import Model  # noqa: E402
+
+
+def mdl(fn) -> Builder:
+    return lambda spark, d: fn(Model(DriverSources(spark, d)))
+
+
+add("dim_date", mdl(kpi.dim_date), Q.table("dim_date"))
+add("dim_commission_rules", od(dims.dim_commission_rules), Q.table("dim_commission_rules_v"))
+
+for _name, _fn in [
+    ("kpi_effectivity", kpi.effectivity), ("kpi_dialer_score", kpi.dialer_score),
+    ("kpi_promise_index", kpi.promise_index), ("kpi_quality_score", kpi.quality_score),
+    ("kpi_paid_per_rpc", kpi.paid_per_rpc), ("kpi_commission", kpi.commission),
+    ("kpi_forecast_eom", kpi.forecast_eom), ("kpi_absence", kpi.absence),
+    ("kpi_presence", kpi.presence), ("kpi_cpc_rate", kpi.cpc_rate),
+    ("kpi_not_connected", kpi.not_connected), ("kpi_recovery", kpi.recovery),
+    ("kpi_recovery_potential", kpi.recovery_potential), ("kpi_promise_by_cc", kpi.promise_by_cc),
+    ("kpi_high_dpd_paid", kpi.high_dpd_paid), ("kpi_paid_by_payment_date", kpi.paid_by_payment_date),
+    ("mart_dialer_outcomes", marts.dialer_outcomes), ("mart_operator_ranking", marts.operator_ranking),
+    ("mart_paid_by_client", marts.paid_by_client), ("mart_weekly_pace", marts.weekly_pace),
+    ("mart_attendance_matrix", marts.attendance_matrix),
+    ("mart_absence_by_week", marts.absence_by_week), ("mart_paid_by_uf", marts.paid_by_uf),
+    ("mart_dpd_analysis", marts.dpd_analysis), ("mart_portfolio", marts.portfolio),
+    ("mart_contacts_by_hour", marts.contacts_by_hour), ("mart_operator_day", marts.operator_day),
+    ("mart_non_dialer_ptp", marts.non_dialer_ptp),
+    ("dq_primary_keys", quality.primary_keys), ("dq_foreign_keys", quality.foreign_keys),
+    ("dq_fanout", quality.fanout), ("dq_value_domains", quality.value_domains),
+    ("dq_flag_implications", quality.flag_implications),
+    ("dq_debtor_cases", quality.debtor_many_cases),
+    ("dq_presence_completeness", quality.presence_completeness),
+    ("dq_client_ids", quality.client_ids),
+    ("star_join", views.star_join), ("dialer_state", views.dialer_state),
+]:
+    add(_name, mdl(_fn), Q.table(_name if not _name.startswith(("star_", "dialer_state"))
+                                 else "op_" + _name))
+
+for _name, _fn, _b in [
+    ("scan_inventory", views.scan_inventory, od), ("rolling_60d", facts.contact_base, ev),
+    ("month_window", views.month_window, od), ("not_in_null", views.not_in_null, od),
+    ("eav_303", views.eav_303, od), ("try_cast_sip", views.try_cast_sip, ev),
+    ("interval_join_15m", views.interval_join_15m, ev),
+    ("interval_latest", views.interval_latest, ev), ("join_norm_name", views.join_norm_name, od),
+    ("join_two_hop", views.join_two_hop, od), ("exists_prev_payment", views.exists_prev_payment, od),
+    ("exists_prev_month", views.exists_prev_month, od), ("anti_unpaid", views.anti_unpaid, od),
+    ("cross_presence", views.cross_presence, ev), ("agg_max_time", facts.contact_time, od),
+    ("agg_min_time", facts.installment_time, od), ("agg_promise_sum", facts.promise_base, od),
+    ("agg_provider_max", lambda s, p: facts.attribute_max(s.case_attributes, 303), od),
+    ("agg_cc", views.agg_cc, ev), ("dedup_contact_ptp", views.dedup_contact_ptp, ev),
+    ("dedup_bridge", views.dedup_bridge, ev), ("dedup_ptp_month", views.dedup_ptp_month, od),
+    ("union_paid_unpaid", views.union_paid_unpaid, od),
+]:
+    _sql_name = {"rolling_60d": "contact_base", "agg_max_time": "contact_time",
+                 "agg_min_time": "installment_time", "agg_promise_sum": "promise_base",
+                 "agg_provider_max": "case_attribute_provider",
+                 "union_paid_unpaid": "ptp_union"}.get(_name, "op_" + _name)
+    add(_name, _b(_fn), Q.table(_sql_name))
