@@ -79,16 +79,37 @@ def fk_checks(m: Model) -> list[tuple[str, DataFrame, str, DataFrame, str]]:
 
 
 def foreign_keys(m: Model) -> DataFrame:
-    """Per relationship: non-null foreign keys with no dimension row
-    (a left anti join against the distinct dimension keys)."""
-    parts = []
-    for name, fact, fk, dim, pk in fk_checks(m):
-        keys = dim.select(col(pk).cast("bigint").alias("_k")).where(col("_k").isNotNull()).distinct()
-        f = fact.select(col(fk).cast("bigint").alias("_fk")).where(col("_fk").isNotNull())
-        orphans = f.join(keys, f["_fk"] == keys["_k"], "left_anti")
-        parts.append(orphans.agg(F.count(F.lit(1)).alias("orphan_rows"))
-                     .select(F.lit(name).alias("relationship"), "orphan_rows"))
-    return _union(parts)
+    """Per relationship: non-null foreign keys with no dimension row.
+
+    One pass for all relationships: every fact is read once and emits one
+    (relationship, dimension, key) row per foreign key it carries; these
+    are counted per key (partial aggregation: a hot key costs one row per
+    task), matched once against the tagged union of all dimension keys and
+    summed per relationship. One shuffle, however many relationships."""
+    checks = fk_checks(m)
+    by_fact: dict[int, tuple[DataFrame, list]] = {}
+    for name, fact, fk, dim, pk in checks:
+        by_fact.setdefault(id(fact), (fact, []))[1].append((name, fk, dim, pk))
+    dim_ids: dict[int, str] = {}
+    dims_: list[tuple[str, DataFrame, str]] = []
+    for _, _, _, dim, pk in checks:
+        if id(dim) not in dim_ids:
+            dim_ids[id(dim)] = f"d{len(dim_ids)}"
+            dims_.append((dim_ids[id(dim)], dim, pk))
+
+    streams = []
+    for fact, rels in by_fact.values():
+        arr = F.array(*[F.struct(F.lit(n).alias("rel"), F.lit(dim_ids[id(d)]).alias("dim"),
+                                 col(fk).cast("bigint").alias("fk")) for n, fk, d, _ in rels])
+        streams.append(fact.select(F.explode(arr).alias("_r")).select("_r.*"))
+    refs = _union(streams).groupBy("rel", "dim", "fk").agg(F.count(F.lit(1)).alias("_n"))
+    keys = _union([d.select(F.lit(tag).alias("_dim"), col(pk).cast("bigint").alias("_key"))
+                   for tag, d, pk in dims_]).where(col("_key").isNotNull()).distinct()
+    j = refs.join(keys.withColumn("_hit", F.lit(1)),
+                  (refs["dim"] == keys["_dim"]) & (refs["fk"] == keys["_key"]), "left")
+    orphan = col("fk").isNotNull() & col("_hit").isNull()
+    return (j.groupBy(col("rel").alias("relationship"))
+             .agg(F.sum(F.when(orphan, col("_n")).otherwise(0)).cast("bigint").alias("orphan_rows")))
 
 
 # DQ3
