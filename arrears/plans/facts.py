@@ -16,8 +16,7 @@ from arrears.functions.text import money_sum, norm, try_int
 from arrears.operators.asof import nearest_within
 from arrears.operators.calendar import explode_workdays
 from arrears.operators.dedup import latest_per_key
-from arrears.operators.exists import (earlier_in_window, flag_if_exists, keys_with_rows,
-                                      without_match)
+from arrears.operators.exists import earlier_in_window
 from arrears.operators.lookup import attribute_max, ddd_map
 from arrears.sources.catalog import Sources
 
@@ -25,10 +24,16 @@ col = F.col
 
 
 # ============================================================ fact_dialer
-def dialer_contact_dedup(src: Sources) -> DataFrame:
-    """Latest bridge row per call id."""
+def dialer_contact_dedup(src: Sources, call_ids: DataFrame | None = None) -> DataFrame:
+    """Latest bridge row per call id. ``call_ids`` (a DataFrame with
+    ``unique_id``) restricts the bridge to calls that will be looked up; the
+    dedup groups by that id, so the result for those ids is unchanged while
+    the rest of the bridge history is dropped before any shuffle."""
+    bridge = src.dialer_contact
+    if call_ids is not None:
+        bridge = bridge.join(call_ids, "unique_id", "left_semi")
     return latest_per_key(
-        src.dialer_contact, ["unique_id"],
+        bridge, ["unique_id"],
         [col("call_date").desc_nulls_last(), col("contact_id").desc_nulls_last(),
          col("sip_account").desc_nulls_last()],
     ).select("unique_id", "sip_account", "contact_id")
@@ -64,7 +69,7 @@ def fact_dialer(src: Sources, p: Params) -> DataFrame:
     """One row per call attempt in the rolling window, with bridge, operator
     and call flags. Users sharing a sip fan out (kept, reported by DQ3)."""
     d = dialer_base(src, p)
-    dc = dialer_contact_dedup(src).select(
+    dc = dialer_contact_dedup(src, d.select(col("dialer_call_id").alias("unique_id"))).select(
         col("unique_id").alias("_uid"), col("sip_account").alias("dialer_sip_account"),
         "contact_id")
     x = d.join(dc, d["dialer_call_id"] == dc["_uid"], "left")
@@ -103,8 +108,8 @@ def manual_campaign_match(src: Sources, p: Params, base: DataFrame | None = None
                        left_ts="contact_date", right_ts="call_date", tie="uniqueid",
                        payload=["uniqueid", "campaign_id", "campaign_name"],
                        tolerance_minutes=p.tolerance_minutes, bucket_hours=p.match_bucket_hours)
-    dc = dialer_contact_dedup(src).select(col("unique_id").alias("_uid"),
-                                          col("contact_id").alias("dialer_contact_id"))
+    dc = dialer_contact_dedup(src, m.select(col("uniqueid").alias("unique_id"))).select(
+        col("unique_id").alias("_uid"), col("contact_id").alias("dialer_contact_id"))
     return (m.join(dc, m["uniqueid"] == dc["_uid"], "left")
              .select("contact_id", "dialer_contact_id", "campaign_id", "campaign_name",
                      col("uniqueid").alias("dialer_call_id")))
@@ -310,15 +315,28 @@ def payments_month(src: Sources, p: Params, base: DataFrame | None = None) -> Da
               .select(*UNION_COLUMNS))
 
 
-def ptp_without_payment(src: Sources, p: Params, base: DataFrame | None = None) -> DataFrame:
+def ref_month_flags(src: Sources, p: Params) -> DataFrame:
+    """Per ref: paid in the as-of month (``_cur``) / in the month before
+    (``_prev``), from one partial aggregation of the two-month history."""
     prev_m, m0, m1 = month_bounds(p.as_of)
+    d = col("payment_date")
+    return (payment_history(src, p).where(col("ref_number").isNotNull())
+            .groupBy("ref_number")
+            .agg(F.max(F.when((d >= F.lit(m0)) & (d < F.lit(m1)), 1).otherwise(0)).alias("_cur"),
+                 F.max(F.when((d >= F.lit(prev_m)) & (d < F.lit(m0)), 1).otherwise(0)).alias("_prev")))
+
+
+def ptp_without_payment(src: Sources, p: Params, base: DataFrame | None = None) -> DataFrame:
+    """Open canonical promises with no payment this month (NOT EXISTS) and
+    whether the ref paid last month (EXISTS): one left join on per-ref
+    flags instead of an anti join plus a semi join."""
     pb = base if base is not None else ptp_month_base(src, p)
-    pays = src.payments
     pb = pb.where(~col("state").isin(*C.CLOSED_PTP_STATES))
-    pb = without_match(pb, keys_with_rows(pays, "ref_number", "payment_date", m0, m1), "ref_number")
-    pb = flag_if_exists(pb, keys_with_rows(pays, "ref_number", "payment_date", prev_m, m0),
-                        "ref_number", "has_previous_payment")
-    return pb.select(
+    fl = ref_month_flags(src, p).withColumnRenamed("ref_number", "_fref")
+    x = (pb.join(fl, pb["ref_number"] == fl["_fref"], "left")
+           .where(F.coalesce(col("_cur"), F.lit(0)) == 0)
+           .withColumn("has_previous_payment", F.coalesce(col("_prev"), F.lit(0))))
+    return x.select(
         *UNION_COLUMNS[:12], F.lit(None).cast("string").alias("payment_id"),
         F.lit(None).cast("date").alias("payment_date"), F.lit(0.0).alias("payed_capital"),
         "has_previous_payment")

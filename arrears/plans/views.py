@@ -93,14 +93,16 @@ def exists_prev_payment(src: Sources, p: Params) -> DataFrame:
 def exists_prev_month(src: Sources, p: Params) -> DataFrame:
     prev_m, m0, _ = month_bounds(p.as_of)
     pb = facts.ptp_month_base(src, p).select("case_id", "ref_number")
-    return flag_if_exists(pb, keys_with_rows(src.payments, "ref_number", "payment_date", prev_m, m0),
+    return flag_if_exists(pb, keys_with_rows(facts.payment_history(src, p), "ref_number",
+                                             "payment_date", prev_m, m0),
                           "ref_number", "has_previous_payment")
 
 
 def anti_unpaid(src: Sources, p: Params) -> DataFrame:
     _, m0, m1 = month_bounds(p.as_of)
     pb = facts.ptp_month_base(src, p).select("case_id", "ref_number")
-    return without_match(pb, keys_with_rows(src.payments, "ref_number", "payment_date", m0, m1),
+    return without_match(pb, keys_with_rows(facts.payment_history(src, p), "ref_number",
+                                            "payment_date", m0, m1),
                          "ref_number")
 
 

@@ -33,7 +33,7 @@ def test_top1_uses_window_group_limit(spark, name):
 
 
 def test_anti_and_pushdown(spark):
-    p = QUERIES["fact_ptp_enriched"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    p = QUERIES["anti_unpaid"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in p
     d = formatted(QUERIES["fact_dialer"](spark, SF_SMALL))
     assert "GreaterThanOrEqual(ts,2023-12-02T00:00)" in d   # rolling window reaches the scan
