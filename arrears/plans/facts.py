@@ -24,16 +24,16 @@ col = F.col
 
 
 # ============================================================ fact_dialer
-def dialer_contact_dedup(src: Sources, call_ids: DataFrame | None = None) -> DataFrame:
-    """Latest bridge row per call id. ``call_ids`` (a DataFrame with
-    ``unique_id``) restricts the bridge to calls that will be looked up; the
-    dedup groups by that id, so the result for those ids is unchanged while
-    the rest of the bridge history is dropped before any shuffle."""
-    bridge = src.dialer_contact
-    if call_ids is not None:
-        bridge = bridge.join(call_ids, "unique_id", "left_semi")
+def dialer_contact_dedup(src: Sources) -> DataFrame:
+    """Latest bridge row per call id.
+
+    The bridge carries no date rule of its own, so its whole history is
+    deduplicated; the partial WindowGroupLimit keeps one row per id and map
+    task before the single shuffle by id. (Restricting it first to looked-up
+    ids by a semi join was measured slower: at scale the id set is too large
+    to broadcast, so the bridge is shuffled once either way.)"""
     return latest_per_key(
-        bridge, ["unique_id"],
+        src.dialer_contact, ["unique_id"],
         [col("call_date").desc_nulls_last(), col("contact_id").desc_nulls_last(),
          col("sip_account").desc_nulls_last()],
     ).select("unique_id", "sip_account", "contact_id")
@@ -69,7 +69,7 @@ def fact_dialer(src: Sources, p: Params) -> DataFrame:
     """One row per call attempt in the rolling window, with bridge, operator
     and call flags. Users sharing a sip fan out (kept, reported by DQ3)."""
     d = dialer_base(src, p)
-    dc = dialer_contact_dedup(src, d.select(col("dialer_call_id").alias("unique_id"))).select(
+    dc = dialer_contact_dedup(src).select(
         col("unique_id").alias("_uid"), col("sip_account").alias("dialer_sip_account"),
         "contact_id")
     x = d.join(dc, d["dialer_call_id"] == dc["_uid"], "left")
@@ -108,19 +108,16 @@ def manual_campaign_match(src: Sources, p: Params, base: DataFrame | None = None
                        left_ts="contact_date", right_ts="call_date", tie="uniqueid",
                        payload=["uniqueid", "campaign_id", "campaign_name"],
                        tolerance_minutes=p.tolerance_minutes, bucket_hours=p.match_bucket_hours)
-    dc = dialer_contact_dedup(src, m.select(col("uniqueid").alias("unique_id"))).select(
-        col("unique_id").alias("_uid"), col("contact_id").alias("dialer_contact_id"))
+    dc = dialer_contact_dedup(src).select(col("unique_id").alias("_uid"),
+                                          col("contact_id").alias("dialer_contact_id"))
     return (m.join(dc, m["uniqueid"] == dc["_uid"], "left")
              .select("contact_id", "dialer_contact_id", "campaign_id", "campaign_name",
                      col("uniqueid").alias("dialer_call_id")))
 
 
-def ptp_dedup(src: Sources, contact_ids: DataFrame | None = None) -> DataFrame:
-    """Latest promise per contact id. ``contact_ids`` (optional) restricts
-    the promises to contacts that will be looked up, before the shuffle."""
+def ptp_dedup(src: Sources) -> DataFrame:
+    """Latest promise per contact id (partial top-1 before the shuffle)."""
     ptp = src.ptp_overview.where(col("contact_id").isNotNull())
-    if contact_ids is not None:
-        ptp = ptp.join(contact_ids.select("contact_id"), "contact_id", "left_semi")
     return latest_per_key(ptp, ["contact_id"],
                           [col("promise_date").desc_nulls_last(), col("ptp_id").desc()]).select(
         "contact_id", col("contact_date").alias("ptp_contact_date"), "promise_capital",
@@ -141,7 +138,7 @@ def fact_contacts(src: Sources, p: Params) -> DataFrame:
     cb = contact_base(src, p)
     mcm = manual_campaign_match(src, p, cb).drop("dialer_call_id")
     mcm = mcm.withColumnRenamed("contact_id", "_mid")
-    ptp = ptp_dedup(src, cb).withColumnRenamed("contact_id", "_pid")
+    ptp = ptp_dedup(src).withColumnRenamed("contact_id", "_pid")
     u = src.users.select(col("user_name").alias("_login"), col("user_id").alias("operator_id"),
                          col("full_name").alias("operator_name"))
     cs = src.cases.select(col("case_id").alias("_cid"), "client_id")
