@@ -101,7 +101,8 @@ def manual_campaign_match(src: Sources, p: Params, base: DataFrame | None = None
     # Calls before (window start - tolerance) can never match: exact prune.
     lo = dt.datetime.combine(rolling_start(p.as_of, p.rolling_days), dt.time()) \
         - dt.timedelta(minutes=p.tolerance_minutes)
-    calls = (src.dialer_calls.where(col("call_date") >= F.lit(lo).cast("timestamp_ntz"))
+    # A string literal keeps the bound independent of any time zone.
+    calls = (src.dialer_calls.where(col("call_date") >= F.lit(lo.isoformat(sep=" ")).cast("timestamp_ntz"))
              .select("uniqueid", "telecom_id", "case_id", "call_date", "campaign_id",
                      "campaign_name"))
     m = nearest_within(cb, calls, keys=["telecom_id", "case_id"], left_id="contact_id",
