@@ -453,3 +453,12 @@ SELECT dialer_call_id,
             WHEN billsec_sec >= 40 AND dialer_sip_account IS NOT NULL THEN 'HUMAN (CPC)'
             ELSE 'OTHER' END AS dialer_state
 FROM fact_dialer""")
+
+# ------------------------------------------------------------- listings
+cte("sorted_fact_dialer", ("fact_dialer",),
+    "SELECT * FROM fact_dialer ORDER BY call_datetime DESC NULLS LAST, dialer_call_id DESC")
+cte("sorted_fact_ptp_enriched", ("fact_ptp_enriched",),
+    "SELECT * FROM fact_ptp_enriched ORDER BY ref_number NULLS FIRST, payment_date NULLS FIRST, "
+    "payment_id NULLS FIRST")
+cte("sorted_fact_operator_presence", ("fact_operator_presence",),
+    "SELECT * FROM fact_operator_presence ORDER BY WorkDate DESC, full_name NULLS FIRST, users_id")

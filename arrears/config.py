@@ -43,9 +43,10 @@ class Params:
     calendar_start: dt.date = EVENTS_CALENDAR_START
     rolling_days: int = ROLLING_DAYS
     tolerance_minutes: int = MATCH_TOLERANCE_MINUTES
-    # Width of the time buckets the as-of match is split into; must be at
-    # least twice the tolerance so a window spans at most two buckets.
-    match_bucket_hours: int = 1
+    # Width (minutes) of the time buckets the as-of match is split into.
+    # Any width is exact; narrower splits a dense key over more tasks at the
+    # cost of more copies of the call side (2 * tolerance / width + 1).
+    match_bucket_minutes: int = 60
     # How the provider (attribute 303) is attached to a case:
     #   "max"  - one value per case (keeps the one-row-per-case grain)
     #   "join" - plain join, one row per attribute row (source behaviour)

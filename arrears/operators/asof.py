@@ -8,9 +8,12 @@ then latest match" without ever materialising the candidate pairs.
 Plan: the latest right row at or before ``left_ts + tol`` is found with a
 running max over one sorted stream of both sides; it is a match when it is
 not older than ``left_ts - tol``. Streams are split by key *and* a time
-bucket of ``bucket_hours`` (at least twice the tolerance), each right row
-copied into its own and the next bucket, so a key holding a third of all
-rows is still spread over many tasks and no task sorts a whole key.
+bucket of ``bucket_minutes``; a left row goes to the bucket of its window
+end and each right row is copied into its own bucket and the next
+``ceil(2 * tol / width)`` ones, so every bucket holds all right rows any of
+its windows can see. A key holding a third of all rows is spread over as
+many tasks as it has busy buckets; a narrower bucket splits it further
+(more copies of the right side, smaller groups). Exact for any width.
 """
 
 from __future__ import annotations
@@ -22,19 +25,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bucket(ts: Column, hours: int) -> Column:
-    # Hours since 1970-01-01 from calendar fields: independent of time zone.
-    h = F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)
-    return F.floor(h / F.lit(hours)).cast("bigint")
+def _bucket(ts: Column, minutes: int) -> Column:
+    # Minutes since 1970-01-01 from calendar fields: independent of time zone.
+    m = F.unix_date(F.to_date(ts)).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    return F.floor(m / F.lit(minutes)).cast("bigint")
+
+
+def _copies(b0: Column, tolerance_minutes: int, minutes: int) -> Column:
+    """Buckets a right row must be visible in: its own and the next k."""
+    k = math.ceil(2 * tolerance_minutes / minutes)
+    return F.explode(F.sequence(b0, b0 + F.lit(k).cast("bigint")))
 
 
 def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str],
                    left_id: str, left_ts: str, right_ts: str, tie: str,
                    payload: Sequence[str], tolerance_minutes: int,
-                   bucket_hours: int = 1) -> DataFrame:
+                   bucket_minutes: int = 60) -> DataFrame:
     """Return ``left_id`` + ``payload`` columns of the matched right row
     (only left rows that have a match; join back with a left join)."""
-    bucket_hours = max(bucket_hours, math.ceil(2 * tolerance_minutes / 60))
+    bucket_minutes = max(1, int(bucket_minutes))
     tol = F.expr(f"INTERVAL {int(tolerance_minutes)} MINUTES")
     keycols = [F.col(k) for k in keys]
     not_null = [c.isNotNull() for c in keycols]
@@ -43,14 +52,14 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str],
              .where(F.col("__lts").isNotNull())
              .where(_all(not_null))
              .withColumn("__t", F.col("__lts") + tol)
-             .withColumn("__b", _bucket(F.col("__t"), bucket_hours)))
+             .withColumn("__b", _bucket(F.col("__t"), bucket_minutes)))
     rec = F.struct(F.col(right_ts).alias("ts"), F.col(tie).alias("tie"),
                    *[F.col(c).alias(c) for c in payload])
     r = (right.where(F.col(right_ts).isNotNull()).where(_all([F.col(k).isNotNull() for k in keys]))
               .select(*keycols, F.col(right_ts).alias("__t"), rec.alias("__rec"))
-              .withColumn("__b0", _bucket(F.col("__t"), bucket_hours))
+              .withColumn("__b0", _bucket(F.col("__t"), bucket_minutes))
               .select(*keys, "__t", "__rec",
-                      F.explode(F.array(F.col("__b0"), F.col("__b0") + 1)).alias("__b")))
+                      _copies(F.col("__b0"), tolerance_minutes, bucket_minutes).alias("__b")))
 
     stream = (r.select(*keys, "__b", "__t", F.lit(0).alias("__kind"), "__rec",
                        F.lit(None).cast(l.schema["__lid"].dataType).alias("__lid"),
@@ -78,26 +87,26 @@ def _all(conds: Sequence[Column]) -> Column:
 
 def count_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str,
                  left_ts: str, right_ts: str, tolerance_minutes: int,
-                 bucket_hours: int = 1, out: str = "matches") -> DataFrame:
+                 bucket_minutes: int = 60, out: str = "matches") -> DataFrame:
     """Number of right rows with equal keys inside each left row's
     ``[ts - tol, ts + tol]`` window (left ids with at least one), i.e. the
     cardinality of the interval join, computed without forming its pairs:
     a running count of right rows is read at the window's start (rows
     strictly before it) and at its end (rows at or before it)."""
-    bucket_hours = max(bucket_hours, math.ceil(2 * tolerance_minutes / 60))
+    bucket_minutes = max(1, int(bucket_minutes))
     tol = F.expr(f"INTERVAL {int(tolerance_minutes)} MINUTES")
     keycols = [F.col(k) for k in keys]
     l = (left.where(_all([F.col(k).isNotNull() for k in keys] + [F.col(left_ts).isNotNull()]))
              .select(*keycols, F.col(left_id).alias("__lid"), F.col(left_ts).alias("__lts"))
-             .withColumn("__b", _bucket(F.col("__lts") + tol, bucket_hours)))
+             .withColumn("__b", _bucket(F.col("__lts") + tol, bucket_minutes)))
     starts = l.select(*keys, "__b", (F.col("__lts") - tol).alias("__t"), F.lit(0).alias("__kind"),
                       F.lit(-1).alias("__sign"), "__lid")
     ends = l.select(*keys, "__b", (F.col("__lts") + tol).alias("__t"), F.lit(2).alias("__kind"),
                     F.lit(1).alias("__sign"), "__lid")
     r = (right.where(_all([F.col(k).isNotNull() for k in keys] + [F.col(right_ts).isNotNull()]))
               .select(*keycols, F.col(right_ts).alias("__t"))
-              .withColumn("__b0", _bucket(F.col("__t"), bucket_hours))
-              .select(*keys, "__t", F.explode(F.array(F.col("__b0"), F.col("__b0") + 1)).alias("__b"))
+              .withColumn("__b0", _bucket(F.col("__t"), bucket_minutes))
+              .select(*keys, "__t", _copies(F.col("__b0"), tolerance_minutes, bucket_minutes).alias("__b"))
               .select(*keys, "__b", "__t", F.lit(1).alias("__kind"), F.lit(0).alias("__sign"),
                       F.lit(None).cast(l.schema["__lid"].dataType).alias("__lid")))
     stream = starts.unionByName(ends).unionByName(r)

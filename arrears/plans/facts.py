@@ -108,7 +108,7 @@ def manual_campaign_match(src: Sources, p: Params, base: DataFrame | None = None
     m = nearest_within(cb, calls, keys=["telecom_id", "case_id"], left_id="contact_id",
                        left_ts="contact_date", right_ts="call_date", tie="uniqueid",
                        payload=["uniqueid", "campaign_id", "campaign_name"],
-                       tolerance_minutes=p.tolerance_minutes, bucket_hours=p.match_bucket_hours)
+                       tolerance_minutes=p.tolerance_minutes, bucket_minutes=p.match_bucket_minutes)
     dc = dialer_contact_dedup(src).select(col("unique_id").alias("_uid"),
                                           col("contact_id").alias("dialer_contact_id"))
     return (m.join(dc, m["uniqueid"] == dc["_uid"], "left")

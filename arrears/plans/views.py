@@ -59,7 +59,7 @@ def try_cast_sip(src: Sources, p: Params | None = None) -> DataFrame:
 def interval_join_15m(src: Sources, p: Params) -> DataFrame:
     cb = facts.contact_base(src, p)
     return count_within(cb, src.dialer_calls, ["telecom_id", "case_id"], "contact_id",
-                        "contact_date", "call_date", p.tolerance_minutes, p.match_bucket_hours)
+                        "contact_date", "call_date", p.tolerance_minutes, p.match_bucket_minutes)
 
 
 def interval_latest(src: Sources, p: Params) -> DataFrame:

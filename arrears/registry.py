@@ -112,3 +112,10 @@ for _name, _fn, _b in [
                  "agg_provider_max": "case_attribute_provider",
                  "union_paid_unpaid": "ptp_union"}.get(_name, "op_" + _name)
     add(_name, _b(_fn), Q.table(_sql_name))
+
+from arrears.plans import reports  # noqa: E402
+
+add("sorted_fact_dialer", mdl(reports.dialer_listing), Q.table("sorted_fact_dialer"))
+add("sorted_fact_ptp_enriched", mdl(reports.ptp_listing), Q.table("sorted_fact_ptp_enriched"))
+add("sorted_fact_operator_presence", mdl(reports.presence_listing),
+    Q.table("sorted_fact_operator_presence"))

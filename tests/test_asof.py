@@ -28,13 +28,13 @@ def brute(left, right, tol_min):
     return {k: (v[1], v[2]) for k, v in best.items()}, counts
 
 
-def run(spark, left, right, tol, hours):
+def run(spark, left, right, tol, minutes):
     l = spark.createDataFrame(left, L_SCHEMA)
     r = spark.createDataFrame(right, R_SCHEMA)
     m = nearest_within(l, r, ["telecom_id", "case_id"], "contact_id", "contact_date", "call_date",
-                       "uniqueid", ["uniqueid", "campaign_id"], tol, hours)
+                       "uniqueid", ["uniqueid", "campaign_id"], tol, minutes)
     c = count_within(l, r, ["telecom_id", "case_id"], "contact_id", "contact_date", "call_date",
-                     tol, hours)
+                     tol, minutes)
     got = {row.contact_id: (row.uniqueid, row.campaign_id) for row in m.collect()}
     cnt = {row.contact_id: row.matches for row in c.collect()}
     return got, cnt
@@ -55,13 +55,13 @@ def test_window_edges_and_ties(spark):
         (20, 7, 7, T0 + dt.timedelta(hours=5, minutes=1), 200),
         (21, 7, 7, T0 + dt.timedelta(hours=5, minutes=1), 201),
     ]
-    got, cnt = run(spark, left, right, 15, 1)
+    got, cnt = run(spark, left, right, 15, 60)
     assert got == {1: (11, 101), 2: (21, 201)}
     assert cnt == {1: 3, 2: 2}
 
 
-@pytest.mark.parametrize("seed,hours", [(1, 1), (2, 1), (3, 2), (4, 5)])
-def test_random_with_hot_key(spark, seed, hours):
+@pytest.mark.parametrize("seed,minutes", [(1, 60), (2, 7), (3, 1), (4, 300), (5, 30)])
+def test_random_with_hot_key(spark, seed, minutes):
     rnd = random.Random(seed)
 
     def ts():
@@ -81,7 +81,7 @@ def test_random_with_hot_key(spark, seed, hours):
         t, c = key()
         right.append((1000 + i, t, c, ts(), rnd.randrange(5)))
     want_best, want_cnt = brute(left, right, 15)
-    got, cnt = run(spark, left, right, 15, hours)
+    got, cnt = run(spark, left, right, 15, minutes)
     assert got == want_best
     assert cnt == want_cnt
 
@@ -89,5 +89,5 @@ def test_random_with_hot_key(spark, seed, hours):
 def test_wide_tolerance_widens_buckets(spark):
     left = [(1, 1, 1, T0)]
     right = [(5, 1, 1, T0 - dt.timedelta(minutes=170), 1), (6, 1, 1, T0 - dt.timedelta(minutes=190), 2)]
-    got, cnt = run(spark, left, right, 180, 1)
+    got, cnt = run(spark, left, right, 180, 60)
     assert got == {1: (5, 1)} and cnt == {1: 1}

@@ -121,3 +121,14 @@ def test_dims_reserved_clients_and_providers(spark):
     joined = sorted((r.case_id, r.provider or "")
                     for r in dims.dim_cases(src, p.with_(as_of=D(2001, 7, 15), provider_mode="join")).collect())
     assert joined == [(10, "A"), (10, "B"), (11, "")]
+
+
+def test_listings_are_ordered(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    rows = E.queries()["sorted_fact_operator_presence"](spark, SF_SMALL).collect()
+    keys = [(r.WorkDate, r.full_name) for r in rows]
+    assert keys == sorted(keys, key=lambda k: (-k[0].toordinal(), k[1]))
+    rows = E.queries()["sorted_fact_dialer"](spark, SF_SMALL).collect()
+    ts = [r.call_datetime for r in rows]
+    assert ts == sorted(ts, reverse=True)
