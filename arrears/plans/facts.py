@@ -315,10 +315,12 @@ def payments_month(src: Sources, p: Params, base: DataFrame | None = None) -> Da
 
 def ref_month_flags(src: Sources, p: Params) -> DataFrame:
     """Per ref: paid in the as-of month (``_cur``) / in the month before
-    (``_prev``), from one partial aggregation of the two-month history."""
+    (``_prev``). Built on the distinct (ref, day) table of
+    ``previous_payment_flags`` (the same plan, so Spark reuses its shuffle),
+    which is already partitioned by ref: this aggregation adds no exchange."""
     prev_m, m0, m1 = month_bounds(p.as_of)
     d = col("payment_date")
-    return (payment_history(src, p).where(col("ref_number").isNotNull())
+    return (previous_payment_flags(src, p)
             .groupBy("ref_number")
             .agg(F.max(F.when((d >= F.lit(m0)) & (d < F.lit(m1)), 1).otherwise(0)).alias("_cur"),
                  F.max(F.when((d >= F.lit(prev_m)) & (d < F.lit(m0)), 1).otherwise(0)).alias("_prev")))
