@@ -47,3 +47,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cluster_conf(executors: int, cores_per_executor: int, input_tb: float) -> dict[str, str]:
+    """Suggested settings for a large run (apply at submit time).
+
+    * Initial shuffle partitions ~ 3 x total cores, but at least one per
+      ~256 MB of shuffled input; AQE then coalesces small ones toward the
+      advisory size and splits skewed ones (a key with a third of the rows
+      is cut into advisory-size pieces for joins).
+    * Scan splits of 256 MB keep a task's input well inside executor memory.
+    * Broadcasts stay behind Spark's size check (64 MB), never forced.
+    """
+    cores = executors * cores_per_executor
+    by_size = int(input_tb * 1024 * 1024 / 256)        # 256 MB per partition
+    parts = max(3 * cores, min(by_size, 200_000))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.session.timeZone": "UTC",
+    }
