@@ -132,3 +132,31 @@ def test_listings_are_ordered(spark):
     rows = E.queries()["sorted_fact_dialer"](spark, SF_SMALL).collect()
     ts = [r.call_datetime for r in rows]
     assert ts == sorted(ts, reverse=True)
+
+
+def test_shared_sip_fans_out_and_area_codes(spark):
+    t = TS(2024, 1, 20, 10, 0, 0)
+    src = RowSources(spark, {
+        "dialer_calls": [(1, 1, 1, 10, "C", 5, 5, 5, 1, "5511900000000", t, 50, 50, "ANSWERED", "N")],
+        "dialer_contact": [(1, "201", 9, t)],
+        "users": [(7, "a", "A", 1, "201", D(2024, 1, 1), None), (8, "b", "B", 1, "201", D(2024, 1, 1), None)],
+    })
+    rows = facts.fact_dialer(src, Params()).collect()
+    assert sorted(r.operator_id for r in rows) == [7, 8]          # kept; DQ reports it
+    assert all(r.cpc_flag == 1 and r.answered_flag == 1 for r in rows)
+    phones = [("5511999",), ("5520999",), ("55",), (None,)]
+    df = spark.createDataFrame(phones, "phone string").select(K.area_code(F.col("phone")).alias("ddd"))
+    from arrears.operators.lookup import ddd_map
+    m = ddd_map(spark)
+    got = [(r.ddd, r.uf) for r in df.join(m, "ddd", "left").collect()]
+    assert sorted(got, key=repr) == sorted([("11", "São Paulo"), ("20", None), ("", None), (None, None)],
+                                           key=repr)
+
+
+def test_null_state_is_not_an_open_promise(spark):
+    t = TS(2001, 7, 1)
+    row = lambda i, state: (i, i, 1, f"REF{i}", "C", "op", i, "Single", 1, 1, t, D(2001, 7, 20), None,
+                            5.0, 5.0, 0.0, 1, "5511", None, state)
+    src = RowSources(spark, {"ptp_overview": [row(1, None), row(2, "Active"), row(3, "Expired")]})
+    got = sorted(r.case_id for r in facts.ptp_without_payment(src, Params(as_of=D(2001, 7, 15))).collect())
+    assert got == [2]          # NOT IN drops the null state as well as closed ones
