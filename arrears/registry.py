@@ -87,10 +87,11 @@ for _name, _fn in [
     ("dq_debtor_cases", quality.debtor_many_cases),
     ("dq_presence_completeness", quality.presence_completeness),
     ("dq_client_ids", quality.client_ids),
-    ("star_join", views.star_join), ("dialer_state", views.dialer_state),
 ]:
-    add(_name, mdl(_fn), Q.table(_name if not _name.startswith(("star_", "dialer_state"))
-                                 else "op_" + _name))
+    add(_name, mdl(_fn), Q.table(_name))
+
+add("star_join", mdl(views.star_join), Q.table("op_star_join"))
+add("dialer_state", mdl(views.dialer_state), Q.table("op_dialer_state"))
 
 for _name, _fn, _b in [
     ("scan_inventory", views.scan_inventory, od), ("rolling_60d", facts.contact_base, ev),

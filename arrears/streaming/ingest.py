@@ -28,12 +28,12 @@ def land_stream(spark: SparkSession, name: str, in_path: str, out_path: str,
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     df = with_lineage(r.load(in_path), f"{source_name}.{name}")
-    w = df.writeStream.format(fmt_out).option("path", out_path).option(
-        "checkpointLocation", checkpoint or checkpoint_path(spark, "landing", name))
+    parts: list[str] = []
     if name in LANDING_PARTITIONS:
         df = df.withColumn("_day", F.to_date(LANDING_PARTITIONS[name]))
-        w = df.writeStream.format(fmt_out).option("path", out_path).option(
-            "checkpointLocation", checkpoint or checkpoint_path(spark, "landing", name)
-        ).partitionBy("_day")
+        parts = ["_day"]
+    w = (df.writeStream.format(fmt_out).option("path", out_path)
+           .option("checkpointLocation", checkpoint or checkpoint_path(spark, "landing", name))
+           .partitionBy(*parts).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.outputMode("append").start()
+    return w.start()
