@@ -69,3 +69,33 @@ class Model:
     @cached_property
     def dim_commission_rules(self) -> DataFrame:
         return dims.dim_commission_rules(self.src)
+
+    # ------------------------------------------------------------ lineage
+    FACTS = ("fact_dialer", "fact_contacts", "fact_ptp", "fact_ptp_enriched", "fact_payments",
+             "cc_operator_activity", "fact_operator_presence", "dim_operators", "dim_cases",
+             "dim_client", "dim_company", "dim_commission_rules")
+
+    def checkpoint(self, *names: str) -> "Model":
+        """Materialise datasets with a reliable checkpoint (files under the
+        session's ``spark.checkpoint.dir``, a shared folder on a cluster) and
+        use those from now on: later reports start from the files, so a lost
+        executor never recomputes the raw history."""
+        for n in names or self.FACTS:
+            self.__dict__[n] = getattr(self, n).checkpoint(eager=True)
+        return self
+
+
+class StoredModel(Model):
+    """A model whose datasets are read from tables written by
+    ``sources.sink.write_gold`` (one folder per dataset) instead of being
+    computed; anything not stored is computed from ``src`` as usual."""
+
+    def __init__(self, src: Sources, gold_base: str, fmt: str = "parquet", **kw):
+        super().__init__(src, **kw)
+        from pyspark.errors import AnalysisException
+        reader = src.spark.read.format(fmt)
+        for n in self.FACTS:
+            try:
+                self.__dict__[n] = reader.load(f"{gold_base.rstrip('/')}/{n}")
+            except AnalysisException:   # not written: computed from src instead
+                pass

@@ -65,3 +65,20 @@ def test_table_sources_overrides(spark):
     src = DriverSources(spark, SF_SMALL)
     ts = TableSources(spark, "/nonexistent", overrides={"users": src.users})
     assert ts.users.count() == src.users.count()
+
+
+def test_reports_from_gold_and_checkpoint_equal_direct(spark):
+    from arrears.plans import kpi, quality
+    from arrears.plans.model import StoredModel
+    src = DriverSources(spark, SF_SMALL)
+    out = _scratch(spark)
+    direct = Model(src)
+    write_gold(direct, out)
+    stored = StoredModel(src, out)
+    ck = Model(DriverSources(spark, SF_SMALL)).checkpoint("fact_dialer", "fact_contacts")
+    for fn in (kpi.dialer_score, kpi.promise_by_cc, quality.primary_keys):
+        want = sorted(map(tuple, fn(direct).collect()), key=repr)
+        assert sorted(map(tuple, fn(stored).collect()), key=repr) == want, fn.__name__
+        assert sorted(map(tuple, fn(ck).collect()), key=repr) == want, fn.__name__
+    plan = ck.fact_dialer._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" in plan or "LogicalRDD" in plan or "RDDScan" in plan
