@@ -31,15 +31,13 @@ def _count_if(cond: Column) -> Column:
 
 
 def _combine(key: str, *parts: DataFrame) -> DataFrame:
-    """Union per-key partial aggregates (missing measures as 0) and sum."""
+    """Union per-key partial aggregates (a measure a part lacks counts as 0)
+    and sum them per key: a full outer combination without a join."""
     measures: list[str] = []
     for p in parts:
         measures += [c for c in p.columns if c != key and c not in measures]
-    aligned = []
-    for p in parts:
-        aligned.append(p.select(key, *[(col(m) if m in p.columns else F.lit(0)).cast(
-            p.schema[m].dataType.simpleString() if m in p.columns else "bigint").alias(m)
-            for m in measures]))
+    aligned = [p.select(key, *[(col(m) if m in p.columns else F.lit(0)).alias(m) for m in measures])
+               for p in parts]
     u = aligned[0]
     for a in aligned[1:]:
         u = u.unionByName(a)
