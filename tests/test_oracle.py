@@ -25,3 +25,16 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "contact_channel" in df.columns
+
+
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_column_types_match_oracle(spark, duck_small, name):
+    sdf = QUERIES[name](spark, SF_SMALL)
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+          for f in sdf.schema.fields}
+    rel = duck_small.sql(ORACLE[name])
+    assert st == {c: str(t) for c, t in zip(rel.columns, rel.types)}
