@@ -9,16 +9,15 @@ Plan: the latest right row at or before ``left_ts + tol`` is found with a
 running max over one sorted stream of both sides; it is a match when it is
 not older than ``left_ts - tol``. Streams are split by key *and* a time
 bucket of ``bucket_minutes``; a left row goes to the bucket of its window
-end and each right row is copied into its own bucket and the next
-``ceil(2 * tol / width)`` ones, so every bucket holds all right rows any of
-its windows can see. A key holding a third of all rows is spread over as
+end and each right row at ``t`` is copied into the buckets of
+``t .. t + 2 * tol`` (the window ends it can serve), so every bucket holds
+all right rows any of its windows can see. A key holding a third of all rows is spread over as
 many tasks as it has busy buckets; a narrower bucket splits it further
 (more copies of the right side, smaller groups). Exact for any width.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,10 +30,12 @@ def _bucket(ts: Column, minutes: int) -> Column:
     return F.floor(m / F.lit(minutes)).cast("bigint")
 
 
-def _copies(b0: Column, tolerance_minutes: int, minutes: int) -> Column:
-    """Buckets a right row must be visible in: its own and the next k."""
-    k = math.ceil(2 * tolerance_minutes / minutes)
-    return F.explode(F.sequence(b0, b0 + F.lit(k).cast("bigint")))
+def _copies(ts: Column, tolerance_minutes: int, minutes: int) -> Column:
+    """Buckets a right row at ``ts`` must be visible in: those holding the
+    window ends it can serve, i.e. ``bucket(ts) .. bucket(ts + 2 * tol)``
+    (1 + 2 * tol / width copies on average)."""
+    reach = ts + F.expr(f"INTERVAL {2 * int(tolerance_minutes)} MINUTES")
+    return F.explode(F.sequence(_bucket(ts, minutes), _bucket(reach, minutes)))
 
 
 def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -57,9 +58,8 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str],
                    *[F.col(c).alias(c) for c in payload])
     r = (right.where(F.col(right_ts).isNotNull()).where(_all([F.col(k).isNotNull() for k in keys]))
               .select(*keycols, F.col(right_ts).alias("__t"), rec.alias("__rec"))
-              .withColumn("__b0", _bucket(F.col("__t"), bucket_minutes))
               .select(*keys, "__t", "__rec",
-                      _copies(F.col("__b0"), tolerance_minutes, bucket_minutes).alias("__b")))
+                      _copies(F.col("__t"), tolerance_minutes, bucket_minutes).alias("__b")))
 
     stream = (r.select(*keys, "__b", "__t", F.lit(0).alias("__kind"), "__rec",
                        F.lit(None).cast(l.schema["__lid"].dataType).alias("__lid"),
@@ -105,8 +105,7 @@ def count_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id
                     F.lit(1).alias("__sign"), "__lid")
     r = (right.where(_all([F.col(k).isNotNull() for k in keys] + [F.col(right_ts).isNotNull()]))
               .select(*keycols, F.col(right_ts).alias("__t"))
-              .withColumn("__b0", _bucket(F.col("__t"), bucket_minutes))
-              .select(*keys, "__t", _copies(F.col("__b0"), tolerance_minutes, bucket_minutes).alias("__b"))
+              .select(*keys, "__t", _copies(F.col("__t"), tolerance_minutes, bucket_minutes).alias("__b"))
               .select(*keys, "__b", "__t", F.lit(1).alias("__kind"), F.lit(0).alias("__sign"),
                       F.lit(None).cast(l.schema["__lid"].dataType).alias("__lid")))
     stream = starts.unionByName(ends).unionByName(r)
