@@ -65,6 +65,9 @@ def mdl(fn) -> Builder:
 add("dim_date", mdl(kpi.dim_date), Q.table("dim_date"))
 add("dim_commission_rules", od(dims.dim_commission_rules), Q.table("dim_commission_rules_v"))
 
+# name -> (function of a Model, oracle CTE name): reports over the model.
+MODEL_REPORTS: dict = {}
+
 for _name, _fn in [
     ("kpi_effectivity", kpi.effectivity), ("kpi_dialer_score", kpi.dialer_score),
     ("kpi_promise_index", kpi.promise_index), ("kpi_quality_score", kpi.quality_score),
@@ -88,10 +91,12 @@ for _name, _fn in [
     ("dq_presence_completeness", quality.presence_completeness),
     ("dq_client_ids", quality.client_ids),
 ]:
-    add(_name, mdl(_fn), Q.table(_name))
+    MODEL_REPORTS[_name] = (_fn, _name)
 
-add("star_join", mdl(views.star_join), Q.table("op_star_join"))
-add("dialer_state", mdl(views.dialer_state), Q.table("op_dialer_state"))
+MODEL_REPORTS["star_join"] = (views.star_join, "op_star_join")
+MODEL_REPORTS["dialer_state"] = (views.dialer_state, "op_dialer_state")
+for _name, (_fn, _cte) in MODEL_REPORTS.items():
+    add(_name, mdl(_fn), Q.table(_cte))
 
 for _name, _fn, _b in [
     ("scan_inventory", views.scan_inventory, od), ("rolling_60d", facts.contact_base, ev),

@@ -108,3 +108,15 @@ def test_fact_on_skewed_rows(planted_env, name, fn, params):
     r = compare(df, con, Q.sql(f"SELECT * FROM {name}", name, skip=RELATIONS))
     assert r["ok"], r
     assert r["rows_spark"] > 0
+
+
+from arrears.registry import MODEL_REPORTS  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(MODEL_REPORTS))
+def test_report_on_skewed_rows(planted_env, name):
+    from arrears.plans.model import Model
+    src, con = planted_env
+    fn, cte_name = MODEL_REPORTS[name]
+    r = compare(fn(Model(src)), con, Q.sql(f"SELECT * FROM {cte_name}", cte_name, skip=RELATIONS))
+    assert r["ok"], r
