@@ -291,10 +291,23 @@ _FK = [
     ("payments.client_id", "fact_payments", "client_id", "dim_client", "client_id"),
     ("client.company_id", "dim_client", "company_id", "company", "company_id"),
 ]
-cte("dq_foreign_keys", tuple({t for r in _FK for t in (r[1], r[3])}), "\nUNION ALL\n".join(
-    f"SELECT '{n}' AS relationship, COUNT(*) AS orphan_rows FROM {f} x "
-    f"WHERE x.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {d} y "
-    f"WHERE CAST(y.{pk} AS BIGINT) = CAST(x.{fk} AS BIGINT))" for n, f, fk, d, pk in _FK))
+_FK_DATES = [
+    ("ptp.contact_date", "fact_ptp", "contact_date"), ("ptp.promise_date", "fact_ptp", "promise_date"),
+    ("ptp.payment_date", "fact_ptp", "payment_date"), ("dialer.call_date", "fact_dialer", "call_date"),
+    ("presence.WorkDate", "fact_operator_presence", "WorkDate"),
+    ("contacts.contact_date", "fact_contacts", "contact_date"),
+    ("enriched.payment_date", "fact_ptp_enriched", "payment_date"),
+    ("payments.payment_date", "fact_payments", "payment_date"),
+]
+cte("dq_foreign_keys", tuple({t for r in _FK for t in (r[1], r[3])} | {f for _, f, _ in _FK_DATES}
+                             | {"dim_date"}),
+    "\nUNION ALL\n".join(
+        [f"SELECT '{n}' AS relationship, COUNT(*) AS orphan_rows FROM {f} x "
+         f"WHERE x.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {d} y "
+         f"WHERE CAST(y.{pk} AS BIGINT) = CAST(x.{fk} AS BIGINT))" for n, f, fk, d, pk in _FK]
+        + [f"SELECT '{n}' AS relationship, COUNT(*) AS orphan_rows FROM {f} x "
+           f"WHERE x.{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dim_date y WHERE y.Date = x.{c})"
+           for n, f, c in _FK_DATES]))
 
 cte("dq_fanout", ("dialer_base", "fact_dialer", "contact_base", "fact_contacts", "payments",
                   "fact_payments"), "\nUNION ALL\n".join(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrears.plans.facts import contact_base, dialer_base
+from arrears.plans.kpi import dim_date
 from arrears.plans.model import Model
 
 col = F.col
@@ -78,6 +79,20 @@ def fk_checks(m: Model) -> list[tuple[str, DataFrame, str, DataFrame, str]]:
     ]
 
 
+def fk_date_checks(m: Model) -> list[tuple[str, DataFrame, str]]:
+    """Role-playing date keys that must exist in the calendar (dim_date)."""
+    return [
+        ("ptp.contact_date", m.fact_ptp, "contact_date"),
+        ("ptp.promise_date", m.fact_ptp, "promise_date"),
+        ("ptp.payment_date", m.fact_ptp, "payment_date"),
+        ("dialer.call_date", m.fact_dialer, "call_date"),
+        ("presence.WorkDate", m.fact_operator_presence, "WorkDate"),
+        ("contacts.contact_date", m.fact_contacts, "contact_date"),
+        ("enriched.payment_date", m.fact_ptp_enriched, "payment_date"),
+        ("payments.payment_date", m.fact_payments, "payment_date"),
+    ]
+
+
 def foreign_keys(m: Model) -> DataFrame:
     """Per relationship: non-null foreign keys with no dimension row.
 
@@ -86,12 +101,18 @@ def foreign_keys(m: Model) -> DataFrame:
     are counted per key (partial aggregation: a hot key costs one row per
     task), matched once against the tagged union of all dimension keys and
     summed per relationship. One shuffle, however many relationships."""
-    checks = fk_checks(m)
+    # Keys are compared as bigint; dates as their day number.
+    def as_key(c):
+        return lambda df: (F.unix_date(col(c)) if dict(df.dtypes)[c] == "date" else col(c)).cast("bigint")
+
+    calendar = dim_date(m)
+    checks = [(n, f, as_key(fk), d, as_key(pk)) for n, f, fk, d, pk in fk_checks(m)]
+    checks += [(n, f, as_key(c), calendar, as_key("Date")) for n, f, c in fk_date_checks(m)]
     by_fact: dict[int, tuple[DataFrame, list]] = {}
     for name, fact, fk, dim, pk in checks:
         by_fact.setdefault(id(fact), (fact, []))[1].append((name, fk, dim, pk))
     dim_ids: dict[int, str] = {}
-    dims_: list[tuple[str, DataFrame, str]] = []
+    dims_: list[tuple[str, DataFrame, object]] = []
     for _, _, _, dim, pk in checks:
         if id(dim) not in dim_ids:
             dim_ids[id(dim)] = f"d{len(dim_ids)}"
@@ -100,10 +121,10 @@ def foreign_keys(m: Model) -> DataFrame:
     streams = []
     for fact, rels in by_fact.values():
         arr = F.array(*[F.struct(F.lit(n).alias("rel"), F.lit(dim_ids[id(d)]).alias("dim"),
-                                 col(fk).cast("bigint").alias("fk")) for n, fk, d, _ in rels])
+                                 fk(fact).alias("fk")) for n, fk, d, _ in rels])
         streams.append(fact.select(F.explode(arr).alias("_r")).select("_r.*"))
     refs = _union(streams).groupBy("rel", "dim", "fk").agg(F.count(F.lit(1)).alias("_n"))
-    keys = _union([d.select(F.lit(tag).alias("_dim"), col(pk).cast("bigint").alias("_key"))
+    keys = _union([d.select(F.lit(tag).alias("_dim"), pk(d).alias("_key"))
                    for tag, d, pk in dims_]).where(col("_key").isNotNull()).distinct()
     j = refs.join(keys.withColumn("_hit", F.lit(1)),
                   (refs["dim"] == keys["_dim"]) & (refs["fk"] == keys["_key"]), "left")
