@@ -365,24 +365,24 @@ def _inventory_sql() -> str:
         f"FROM {n}" for n in SCHEMAS)
 
 
-cte("op_scan_inventory", tuple(__import__("arrears.sources.schemas", fromlist=["SCHEMAS"]).SCHEMAS),
+cte("view_scan_inventory", tuple(__import__("arrears.sources.schemas", fromlist=["SCHEMAS"]).SCHEMAS),
     _inventory_sql())
 
-cte("op_month_window", ("ptp_overview",), f"""
+cte("view_month_window", ("ptp_overview",), f"""
 SELECT ptp_id, case_id, promise_date FROM ptp_overview
 WHERE promise_date >= DATE '{_M0}' AND promise_date < DATE '{_M1}'""")
 
-cte("op_not_in_null", ("ptp_base",), """
+cte("view_not_in_null", ("ptp_base",), """
 SELECT case_id, ref_number, state FROM ptp_base
 WHERE rn = 1 AND state NOT IN ('Expired', 'Canceled')""")
 
-cte("op_eav_303", ("case_attributes",), """
+cte("view_eav_303", ("case_attributes",), """
 SELECT case_id, attribute_value FROM case_attributes WHERE attribute_type = 303""")
 
-cte("op_try_cast_sip", ("users",), """
+cte("view_try_cast_sip", ("users",), """
 SELECT user_id, sip_account AS sip_text, TRY_CAST(TRIM(sip_account) AS INTEGER) AS sip_number FROM users""")
 
-cte("op_interval_join_15m", ("contact_base", "dialer_calls"), """
+cte("view_interval_join_15m", ("contact_base", "dialer_calls"), """
 SELECT cb.contact_id, COUNT(*) AS matches
 FROM contact_base cb
 JOIN dialer_calls d
@@ -390,22 +390,22 @@ JOIN dialer_calls d
  AND d.call_date BETWEEN cb.contact_date - INTERVAL 15 MINUTE AND cb.contact_date + INTERVAL 15 MINUTE
 GROUP BY cb.contact_id""")
 
-cte("op_interval_latest", ("manual_campaign_match",), """
+cte("view_interval_latest", ("manual_campaign_match",), """
 SELECT contact_id, dialer_contact_id, campaign_id, campaign_name, dialer_call_id
 FROM manual_campaign_match WHERE rn = 1""")
 
-cte("op_join_norm_name", ("ptp_overview", "users"), f"""
+cte("view_join_norm_name", ("ptp_overview", "users"), f"""
 SELECT o.ptp_id, LOWER(TRIM(o.operator)) AS operator_norm, u.user_id AS operator_id
 FROM ptp_overview o
 LEFT JOIN users u ON LOWER(TRIM(u.full_name)) = LOWER(TRIM(o.operator))""")
 
-cte("op_join_two_hop", ("cases", "client", "company"), """
+cte("view_join_two_hop", ("cases", "client", "company"), """
 SELECT c.case_id, c.client_id, co.company_id, co.company_name
 FROM cases c
 LEFT JOIN client cl ON cl.client_id = c.client_id
 LEFT JOIN company co ON co.company_id = cl.company_id""")
 
-cte("op_exists_prev_payment", ("payments",), f"""
+cte("view_exists_prev_payment", ("payments",), f"""
 SELECT pay.payment_id, pay.ref_number, pay.payment_date,
        CASE WHEN EXISTS (SELECT 1 FROM payments h
                          WHERE h.ref_number = pay.ref_number AND h.payment_date < pay.payment_date
@@ -416,29 +416,29 @@ SELECT pay.payment_id, pay.ref_number, pay.payment_date,
 FROM payments pay
 WHERE pay.payment_date >= DATE '{_M0}' AND pay.payment_date < DATE '{_M1}'""")
 
-cte("op_exists_prev_month", ("ptp_base", "payments"), f"""
+cte("view_exists_prev_month", ("ptp_base", "payments"), f"""
 SELECT p.case_id, p.ref_number,
        CASE WHEN EXISTS (SELECT 1 FROM payments h WHERE h.ref_number = p.ref_number
                          AND h.payment_date >= DATE '{_PM}' AND h.payment_date < DATE '{_M0}')
             THEN 1 ELSE 0 END AS has_previous_payment
 FROM ptp_base p WHERE p.rn = 1""")
 
-cte("op_anti_unpaid", ("ptp_base", "payments"), f"""
+cte("view_anti_unpaid", ("ptp_base", "payments"), f"""
 SELECT p.case_id, p.ref_number FROM ptp_base p
 WHERE p.rn = 1 AND NOT EXISTS (SELECT 1 FROM payments pay WHERE pay.ref_number = p.ref_number
                                AND pay.payment_date >= DATE '{_M0}' AND pay.payment_date < DATE '{_M1}')""")
 
-cte("op_cross_presence", ("dim_operators", "work_dates"), """
+cte("view_cross_presence", ("dim_operators", "work_dates"), """
 SELECT o.user_id AS users_id, w.WorkDate FROM dim_operators o CROSS JOIN work_dates w
 WHERE o.is_operator = 'Yes'""")
 
-cte("op_star_join", ("fact_payments", "dim_client", "dim_cases"), """
+cte("view_star_join", ("fact_payments", "dim_client", "dim_cases"), """
 SELECT p.payment_id, cl.company_name, c.provider, c.case_status_id
 FROM fact_payments p
 LEFT JOIN dim_client cl ON cl.client_id = p.client_id
 LEFT JOIN dim_cases c ON c.case_id = p.case_id""")
 
-cte("op_agg_cc", ("contact_events",), f"""
+cte("view_agg_cc", ("contact_events",), f"""
 SELECT LOWER(TRIM(insert_user)) AS user_name, CAST(contact_date AS DATE) AS contact_date,
        COUNT(*) AS contact_count
 FROM contact_events
@@ -446,20 +446,20 @@ WHERE target_type_id IN (1, 2, 5, 6) AND insert_user NOT IN ('system_user', 'aut
   AND contact_date >= DATE '{S}' AND contact_date < DATE '{E}' + INTERVAL 1 DAY
 GROUP BY 1, 2""")
 
-cte("op_dedup_contact_ptp", ("ptp_dedup",), """
+cte("view_dedup_contact_ptp", ("ptp_dedup",), """
 SELECT contact_id, ptp_contact_date, promise_capital, promise_capital_total, promise_date
 FROM ptp_dedup WHERE rn = 1""")
 
-cte("op_dedup_bridge", ("dialer_contact_dedup",), """
+cte("view_dedup_bridge", ("dialer_contact_dedup",), """
 SELECT unique_id, sip_account, contact_id FROM dialer_contact_dedup WHERE rn = 1""")
 
-cte("op_dedup_ptp_month", ("ptp_base",), """
+cte("view_dedup_ptp_month", ("ptp_base",), """
 SELECT case_id, client_id, ref_number, client_ref_number, operator, promise_date,
        promise_capital_total, promise_capital, contact_date, number_of_installments,
        payment_number, state
 FROM ptp_base WHERE rn = 1""")
 
-cte("op_dialer_state", ("fact_dialer",), """
+cte("view_dialer_state", ("fact_dialer",), """
 SELECT dialer_call_id,
        CASE WHEN billsec_sec = 0 THEN 'NO_ANSWER'
             WHEN billsec_sec > 3 AND dialer_sip_account IS NULL THEN 'NO_OPERATOR'

@@ -93,8 +93,8 @@ for _name, _fn in [
 ]:
     MODEL_REPORTS[_name] = (_fn, _name)
 
-MODEL_REPORTS["star_join"] = (views.star_join, "op_star_join")
-MODEL_REPORTS["dialer_state"] = (views.dialer_state, "op_dialer_state")
+MODEL_REPORTS["star_join"] = (views.star_join, "view_star_join")
+MODEL_REPORTS["dialer_state"] = (views.dialer_state, "view_dialer_state")
 for _name, (_fn, _cte) in MODEL_REPORTS.items():
     add(_name, mdl(_fn), Q.table(_cte))
 
@@ -116,7 +116,7 @@ for _name, _fn, _b in [
     _sql_name = {"rolling_60d": "contact_base", "agg_max_time": "contact_time",
                  "agg_min_time": "installment_time", "agg_promise_sum": "promise_base",
                  "agg_provider_max": "case_attribute_provider",
-                 "union_paid_unpaid": "ptp_union"}.get(_name, "op_" + _name)
+                 "union_paid_unpaid": "ptp_union"}.get(_name, "view_" + _name)
     add(_name, _b(_fn), Q.table(_sql_name))
 
 from arrears.plans import reports  # noqa: E402

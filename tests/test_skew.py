@@ -98,7 +98,7 @@ def planted_env(spark):
     ("fact_ptp", facts.fact_ptp, orders_params),
     ("fact_ptp_enriched", facts.fact_ptp_enriched, orders_params),
     ("fact_payments", facts.fact_payments, orders_params),
-    ("op_interval_join_15m", None, events_params),
+    ("view_interval_join_15m", None, events_params),
 ])
 def test_fact_on_skewed_rows(planted_env, name, fn, params):
     src, con = planted_env
