@@ -40,8 +40,8 @@ def dialer_contact_dedup(src: Sources) -> DataFrame:
 
 
 def dialer_base(src: Sources, p: Params) -> DataFrame:
-    d = src.dialer_calls
-    return d.where(col("call_date") >= F.lit(rolling_start(p.as_of, p.rolling_days))).select(
+    d = src.window("dialer_calls", "call_date", rolling_start(p.as_of, p.rolling_days))
+    return d.select(
         col("uniqueid").alias("dialer_call_id"), "queue_item_id", "disposition_code",
         "campaign_id", "campaign_name", "case_id", "debtor_id", "telecom_id", "client_id",
         "phone_number", col("call_date").alias("call_datetime"),
@@ -86,9 +86,8 @@ def fact_dialer(src: Sources, p: Params) -> DataFrame:
 
 # ========================================================== fact_contacts
 def contact_base(src: Sources, p: Params) -> DataFrame:
-    c = src.contact_events
-    return c.where((col("contact_date") >= F.lit(rolling_start(p.as_of, p.rolling_days)))
-                   & ~col("insert_user").isin(*C.EXCLUDED_LOGINS)).select(
+    c = src.window("contact_events", "contact_date", rolling_start(p.as_of, p.rolling_days))
+    return c.where(~col("insert_user").isin(*C.EXCLUDED_LOGINS)).select(
         "contact_id", "case_id", "telecom_id", "description", "contact_date",
         "status_type_id", "target_type_id", "contact_text",
         norm("insert_user").alias("operator_login"))
@@ -101,8 +100,7 @@ def manual_campaign_match(src: Sources, p: Params, base: DataFrame | None = None
     # Calls before (window start - tolerance) can never match: exact prune.
     lo = dt.datetime.combine(rolling_start(p.as_of, p.rolling_days), dt.time()) \
         - dt.timedelta(minutes=p.tolerance_minutes)
-    # A string literal keeps the bound independent of any time zone.
-    calls = (src.dialer_calls.where(col("call_date") >= F.lit(lo.isoformat(sep=" ")).cast("timestamp_ntz"))
+    calls = (src.window("dialer_calls", "call_date", lo)
              .select("uniqueid", "telecom_id", "case_id", "call_date", "campaign_id",
                      "campaign_name"))
     m = nearest_within(cb, calls, keys=["telecom_id", "case_id"], left_id="contact_id",
@@ -268,7 +266,7 @@ def ptp_month_base(src: Sources, p: Params) -> DataFrame:
     """Canonical promise per case and promise month (current month only):
     installments first, then largest total, then latest contact."""
     _, m0, m1 = month_bounds(p.as_of)
-    ptp = src.ptp_overview.where(_in("promise_date", m0, m1))
+    ptp = src.window("ptp_overview", "promise_date", m0, m1)
     return latest_per_key(
         ptp, ["case_id", F.year("promise_date"), F.month("promise_date")],
         [F.when(col("type") == "Installment", 1).otherwise(2).asc(),
@@ -283,7 +281,7 @@ def payment_history(src: Sources, p: Params) -> DataFrame:
     """Payments from the first day of last month to the end of this month:
     every row the month's classification can look at."""
     prev_m, _, m1 = month_bounds(p.as_of)
-    return src.payments.where(_in("payment_date", prev_m, m1)).select(
+    return src.window("payments", "payment_date", prev_m, m1).select(
         "payment_id", "ref_number", "payment_date", "payed_capital")
 
 
@@ -387,10 +385,9 @@ def cc_operator_activity(src: Sources, p: Params) -> DataFrame:
     then joined to users (the same result as joining first, with one row
     per group crossing the join instead of one per contact)."""
     end = p.as_of + dt.timedelta(days=1)
-    ce = src.contact_events.where(
+    ce = src.window("contact_events", "contact_date", p.calendar_start, end).where(
         col("target_type_id").isin(*C.CC_TARGET_TYPES)
-        & ~col("insert_user").isin(*C.EXCLUDED_LOGINS)
-        & _in("contact_date", p.calendar_start, end))
+        & ~col("insert_user").isin(*C.EXCLUDED_LOGINS))
     agg = (ce.groupBy(norm("insert_user").alias("user_name"),
                       F.to_date("contact_date").alias("contact_date"))
              .agg(F.count(F.lit(1)).alias("contact_count")))

@@ -35,6 +35,41 @@ class Sources:
             self._memo[name] = self._load(name)
         return self._memo[name]
 
+    def window(self, name: str, column: str, lo=None, hi=None) -> DataFrame:
+        """``name`` rows with ``lo <= column < hi`` (either bound optional).
+
+        When the relation is stored partitioned by the day of ``column``
+        (the ``_day`` folders written by the landing), the implied bound on
+        ``_day`` is added too: Spark cannot derive it from the timestamp
+        filter, and with it whole day folders are pruned at planning time.
+        The day bound is implied by the row bound, so rows are unchanged."""
+        import datetime as dt
+
+        from pyspark.sql import functions as F
+
+        from arrears.sources.sink import LANDING_PARTITIONS
+        df = self.rel(name)
+        c = F.col(column)
+        day = "_day" in df.columns and LANDING_PARTITIONS.get(name) == column
+
+        def as_date(v):
+            return v.date() if isinstance(v, dt.datetime) else v
+
+        def lit(v):
+            if isinstance(v, dt.datetime):   # zone-free timestamp literal
+                return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
+            return F.lit(v)
+
+        if lo is not None:
+            df = df.where(c >= lit(lo))
+            if day:
+                df = df.where(F.col("_day") >= F.lit(as_date(lo)))
+        if hi is not None:
+            df = df.where(c < lit(hi))
+            if day:
+                df = df.where(F.col("_day") <= F.lit(as_date(hi)))
+        return df
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in SCHEMAS:
             raise AttributeError(name)

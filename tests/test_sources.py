@@ -82,3 +82,22 @@ def test_reports_from_gold_and_checkpoint_equal_direct(spark):
         assert sorted(map(tuple, fn(ck).collect()), key=repr) == want, fn.__name__
     plan = ck.fact_dialer._jdf.queryExecution().executedPlan().toString()
     assert "Scan ExistingRDD" in plan or "LogicalRDD" in plan or "RDDScan" in plan
+
+
+def test_landed_tables_prune_day_folders(spark):
+    import contextlib
+    import io
+    src = DriverSources(spark, SF_SMALL)
+    out = _scratch(spark)
+    land_bronze(src, out, relations=["contact_events", "dialer_calls", "dialer_contact",
+                                     "ptp_overview", "users", "cases"])
+    landed = TableSources(spark, out)
+    p = events_params()
+    df = facts.fact_contacts(landed, p)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    assert "PartitionFilters: [isnotnull(_day#" in buf.getvalue()
+    assert ">= 2023-12-02)" in buf.getvalue()
+    want = sorted(map(tuple, facts.fact_contacts(src, p).collect()), key=repr)
+    assert sorted(map(tuple, df.collect()), key=repr) == want
