@@ -54,6 +54,13 @@ class Params:
     # Operator flag for a missing / non-numeric sip: source code says "Yes"
     # (an error replaced by "Yes"); the documented rule would say "No".
     strict_sip: bool = False
+    # "Inactive" attendance: the source code uses the leaving date only; the
+    # documentation also requires user_status <> 1.
+    require_inactive_status: bool = False
+    # OLD money: "prev_month" = an earlier payment since the first day of the
+    # previous month (source code); "30d" = within the 30 days before
+    # (documentation).
+    old_money_window: str = "prev_month"
     # Weights of the composite quality score (not given by the source).
     quality_weights: tuple[float, float] = (0.5, 0.5)
     extra: dict = field(default_factory=dict, compare=False)

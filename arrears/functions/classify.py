@@ -140,14 +140,19 @@ def is_operator(sip_number: Column, strict: bool = False) -> Column:
 
 
 def attendance_status(work_day: Column, start: Column, end: Column, activity: Column,
-                      training_days: int = C.TRAINING_DAYS) -> Column:
+                      training_days: int = C.TRAINING_DAYS,
+                      user_status: Column | None = None) -> Column:
     """Ordered rules: not_employed, inactive, training, present, absent.
     ``end`` is the leaving date (already defaulted to ``as_of``). A null
-    hire date makes the first comparison unknown: the status is null."""
+    hire date makes the first comparison unknown: the status is null. With
+    ``user_status`` given, "inactive" also needs a status other than 1."""
     training_end = F.date_add(start, training_days)
+    gone = work_day >= end
+    if user_status is not None:
+        gone = gone & ~user_status.eqNullSafe(1)
     return (F.when(start.isNull(), F.lit(None).cast("string"))
             .when(work_day < start, "not_employed")
-            .when(work_day >= end, "inactive")
+            .when(gone, "inactive")
             .when((work_day >= start) & (work_day < training_end), "training")
             .when(activity.isNotNull() & (activity > 0), "present")
             .otherwise("absent"))

@@ -278,10 +278,12 @@ def ptp_month_base(src: Sources, p: Params) -> DataFrame:
 
 
 def payment_history(src: Sources, p: Params) -> DataFrame:
-    """Payments from the first day of last month to the end of this month:
-    every row the month's classification can look at."""
-    prev_m, _, m1 = month_bounds(p.as_of)
-    return src.window("payments", "payment_date", prev_m, m1).select(
+    """Payments from the first day of last month (or 30 days before this
+    month, whichever is earlier) to the end of this month: every row the
+    month's classification can look at."""
+    prev_m, m0, m1 = month_bounds(p.as_of)
+    lo = min(prev_m, m0 - dt.timedelta(days=30)) if p.old_money_window == "30d" else prev_m
+    return src.window("payments", "payment_date", lo, m1).select(
         "payment_id", "ref_number", "payment_date", "payed_capital")
 
 
@@ -289,7 +291,10 @@ def previous_payment_flags(src: Sources, p: Params) -> DataFrame:
     """(ref_number, payment_date, has_previous_payment): an earlier payment of
     the same ref exists since the first day of the payment's previous month."""
     h = payment_history(src, p)
-    start = F.add_months(F.trunc("payment_date", "MM"), -1)
+    if p.old_money_window == "30d":
+        start = F.date_sub("payment_date", 30)
+    else:
+        start = F.add_months(F.trunc("payment_date", "MM"), -1)
     return earlier_in_window(h, "ref_number", "payment_date", start)
 
 
@@ -426,5 +431,6 @@ def fact_operator_presence(src: Sources, p: Params) -> DataFrame:
     return x.select(
         col("user_id").alias("users_id"), "user_name", "full_name", "insert_date",
         "update_date", "sip_account", "WorkDate", "contact_count",
-        K.attendance_status(col("WorkDate"), col("insert_date"), end,
-                            col("contact_count")).alias("attendance_status"))
+        K.attendance_status(col("WorkDate"), col("insert_date"), end, col("contact_count"),
+                            user_status=col("user_status") if p.require_inactive_status else None)
+        .alias("attendance_status"))

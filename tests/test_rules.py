@@ -160,3 +160,27 @@ def test_null_state_is_not_an_open_promise(spark):
     src = RowSources(spark, {"ptp_overview": [row(1, None), row(2, "Active"), row(3, "Expired")]})
     got = sorted(r.case_id for r in facts.ptp_without_payment(src, Params(as_of=D(2001, 7, 15))).collect())
     assert got == [2]          # NOT IN drops the null state as well as closed ones
+
+
+def test_documented_rule_options(spark):
+    # inactive needs user_status <> 1 when asked
+    rows = [(D(2024, 1, 12), D(2024, 1, 2), D(2024, 1, 10), 3, 1),
+            (D(2024, 1, 12), D(2024, 1, 2), D(2024, 1, 10), 3, 0)]
+    df = spark.createDataFrame(rows, "w date, s date, e date, a bigint, st int")
+    code = [r[0] for r in df.select(K.attendance_status(F.col("w"), F.col("s"), F.col("e"), F.col("a"))).collect()]
+    doc = [r[0] for r in df.select(K.attendance_status(F.col("w"), F.col("s"), F.col("e"), F.col("a"),
+                                                       user_status=F.col("st"))).collect()]
+    assert code == ["inactive", "inactive"] and doc == ["present", "inactive"]
+    # OLD money within 30 days vs since the first day of last month
+    t = TS(2001, 7, 1)
+    ptp = [(1, 5, 1, "REF5", "C", "op", 1, "Single", 1, 1, t, D(2001, 7, 20), None,
+            5.0, 5.0, 0.0, 1, "5511", None, "Active")]
+    pays = [("a", "REF5", 5, 1, D(2001, 6, 2), 1.0, 0.0, 0.0, 0.0),
+            ("b", "REF5", 5, 1, D(2001, 7, 10), 1.0, 0.0, 0.0, 0.0)]
+    src = RowSources(spark, {"ptp_overview": ptp, "payments": pays})
+    p = Params(as_of=D(2001, 7, 15))
+    by_mode = {}
+    for mode in ("prev_month", "30d"):
+        rows = facts.fact_ptp_enriched(src, p.with_(old_money_window=mode)).collect()
+        by_mode[mode] = {r.payment_id: r.money_type for r in rows}
+    assert by_mode == {"prev_month": {"b": "OLD MONEY"}, "30d": {"b": "NEW MONEY"}}
