@@ -63,8 +63,8 @@ def land_bronze(src: Sources, out_base: str, fmt: str = "parquet", source_name:
 GOLD_PARTITIONS = {
     "fact_dialer": "call_date",
     "fact_contacts": "contact_date",
-    "fact_payments": None,
-    "fact_ptp": None,
+    "fact_payments": "payment_date",
+    "fact_ptp": "contact_date",
     "fact_ptp_enriched": None,
     "cc_operator_activity": "contact_date",
     "fact_operator_presence": "WorkDate",
