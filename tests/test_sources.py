@@ -56,7 +56,7 @@ def test_partition_pruning_on_landed_events(spark):
 def test_gold_write(spark):
     m = Model(DriverSources(spark, SF_SMALL))
     out = _scratch(spark)
-    write_gold(m, out, names=["fact_dialer", "fact_payments"])
+    write_gold(m, out, names=["fact_dialer", "cc_operator_activity"])
     back = read_table(spark, os.path.join(out, "fact_dialer"))
     assert back.count() == m.fact_dialer.count()
 
