@@ -57,3 +57,12 @@ def test_results_do_not_depend_on_partitioning(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert a == b
+
+
+def test_interval_count_forms_no_pairs(spark):
+    """The +-15 min count is a union + running window: no join at all, so no
+    (contact, call) pair is ever produced, however hot a key is."""
+    p = QUERIES["interval_join_15m"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in p and "Window" in p
+    m = QUERIES["interval_latest"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert m.count("Join") <= 2      # only the bridge lookup of the matched call
