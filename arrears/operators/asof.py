@@ -38,12 +38,13 @@ def _copies(ts: Column, tolerance_minutes: int, minutes: int) -> Column:
     return F.explode(F.sequence(_bucket(ts, minutes), _bucket(reach, minutes)))
 
 
-def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                   left_id: str, left_ts: str, right_ts: str, tie: str,
-                   payload: Sequence[str], tolerance_minutes: int,
-                   bucket_minutes: int = 60) -> DataFrame:
-    """Return ``left_id`` + ``payload`` columns of the matched right row
-    (only left rows that have a match; join back with a left join)."""
+def match_rows(left: DataFrame, right: DataFrame, keys: Sequence[str],
+               left_id: str, left_ts: str, right_ts: str, tie: str,
+               payload: Sequence[str], tolerance_minutes: int,
+               bucket_minutes: int = 60) -> DataFrame:
+    """(``left_id``, ``match``) for every left row with a match, where
+    ``match`` is struct(ts, tie, *payload) of the latest right row within
+    the tolerance."""
     bucket_minutes = max(1, int(bucket_minutes))
     tol = F.expr(f"INTERVAL {int(tolerance_minutes)} MINUTES")
     keycols = [F.col(k) for k in keys]
@@ -72,10 +73,27 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str],
     best = (stream.withColumn("__best", F.max("__rec").over(w))
                   .where((F.col("__kind") == 1) & F.col("__best").isNotNull())
                   .where(F.col("__best.ts") >= F.col("__lts") - tol))
-    # A left id may occur on several rows: keep its overall latest match.
-    per_id = best.groupBy("__lid").agg(F.max("__best").alias("__best"))
-    return per_id.select(F.col("__lid").alias(left_id),
-                         *[F.col(f"__best.{c}").alias(c) for c in payload])
+    # One row per left row that has a match. A left id may occur on several
+    # rows: ``latest_per_id`` keeps its overall latest match.
+    return best.select(F.col("__lid").alias(left_id), F.col("__best").alias("match"))
+
+
+def latest_per_id(matches: DataFrame, left_id: str, payload: Sequence[str]) -> DataFrame:
+    """Reduce ``match_rows`` output to one row per left id (the latest match)
+    and flatten the payload. Extra fields added to ``match`` ride along."""
+    per_id = matches.groupBy(left_id).agg(F.max("match").alias("match"))
+    return per_id.select(left_id, *[F.col(f"match.{c}").alias(c) for c in payload])
+
+
+def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str],
+                   left_id: str, left_ts: str, right_ts: str, tie: str,
+                   payload: Sequence[str], tolerance_minutes: int,
+                   bucket_minutes: int = 60) -> DataFrame:
+    """Return ``left_id`` + ``payload`` columns of the matched right row
+    (only left rows that have a match; join back with a left join)."""
+    rows = match_rows(left, right, keys, left_id, left_ts, right_ts, tie, payload,
+                      tolerance_minutes, bucket_minutes)
+    return latest_per_id(rows, left_id, payload)
 
 
 def _all(conds: Sequence[Column]) -> Column:

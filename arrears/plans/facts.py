@@ -13,7 +13,7 @@ from arrears.config import Params
 from arrears.functions import classify as K
 from arrears.functions.dates import at_time, month_bounds, rolling_start, year_start_prev
 from arrears.functions.text import money_sum, norm, try_int
-from arrears.operators.asof import nearest_within
+from arrears.operators.asof import latest_per_id, match_rows
 from arrears.operators.calendar import explode_workdays
 from arrears.operators.dedup import latest_per_key
 from arrears.operators.exists import earlier_in_window
@@ -103,15 +103,19 @@ def manual_campaign_match(src: Sources, p: Params, base: DataFrame | None = None
     calls = (src.window("dialer_calls", "call_date", lo)
              .select("uniqueid", "telecom_id", "case_id", "call_date", "campaign_id",
                      "campaign_name"))
-    m = nearest_within(cb, calls, keys=["telecom_id", "case_id"], left_id="contact_id",
-                       left_ts="contact_date", right_ts="call_date", tie="uniqueid",
-                       payload=["uniqueid", "campaign_id", "campaign_name"],
-                       tolerance_minutes=p.tolerance_minutes, bucket_minutes=p.match_bucket_minutes)
+    m = match_rows(cb, calls, keys=["telecom_id", "case_id"], left_id="contact_id",
+                   left_ts="contact_date", right_ts="call_date", tie="uniqueid",
+                   payload=["uniqueid", "campaign_id", "campaign_name"],
+                   tolerance_minutes=p.tolerance_minutes, bucket_minutes=p.match_bucket_minutes)
+    # Bridge lookup before the per-contact reduction: the reduction's
+    # partitioning by contact id then serves the join back to the contacts.
     dc = dialer_contact_dedup(src).select(col("unique_id").alias("_uid"),
-                                          col("contact_id").alias("dialer_contact_id"))
-    return (m.join(dc, m["uniqueid"] == dc["_uid"], "left")
-             .select("contact_id", "dialer_contact_id", "campaign_id", "campaign_name",
-                     col("uniqueid").alias("dialer_call_id")))
+                                          col("contact_id").alias("_dcid"))
+    m = (m.join(dc, col("match.uniqueid") == dc["_uid"], "left")
+          .select("contact_id", col("match").withField("dialer_contact_id", col("_dcid")).alias("match")))
+    return (latest_per_id(m, "contact_id",
+                          ["dialer_contact_id", "campaign_id", "campaign_name", "uniqueid"])
+            .withColumnRenamed("uniqueid", "dialer_call_id"))
 
 
 def ptp_dedup(src: Sources) -> DataFrame:
