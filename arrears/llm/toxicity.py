@@ -1,13 +1,15 @@
 """Toxicity severity by cumulative-link ordinal regression.
 
 P(grade > k) = sigmoid(w.x - theta_k): one weight vector shared by all ordered thresholds.
-x marks which of at most ``FEATURES`` words a text holds. The expected severity is the sum
+x marks which of at most ``FEATURES`` words and word beginnings (4 to 6 letters, for inflected
+and compounded forms) a text holds. The expected severity is the sum
 of P(grade > k) over the thresholds; a text is rejected if P(grade > 0) is at least 1/2.
 
 The model is fitted on a bounded sample: at most ``SAMPLE`` labelled rows of each class, those
-with the smallest hash of their id, weighted back to the class sizes of all labels. Given only
-toxic 0 or 1, ``severity_grades`` grades toxic rows by how many words that mark toxic rows
-they hold (``GRADE_STEPS``). Scoring reads every whole text.
+with the smallest hash of their id, weighted back to the class sizes of all labels. Copies
+and near copies in the sample (same smallest shingle hash) count once, else a copied text's
+chance words would pass for markers. Given only toxic 0 or 1, toxic rows are graded by how
+many marking features they hold (``GRADE_STEPS``). Scoring reads every whole text.
 
 Edge cases: null and blank texts hold no feature and score the base rate. Null labels are
 left out; repeated labels of an id count once (the highest). Without toxic labels every
@@ -21,28 +23,46 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrears.llm.common import words
+from arrears.llm.common import stage, words
 
 SAMPLE = 3000
 FEATURES = 1000
-#: Toxic rows with at least this many marking words have grade 1, 2.
-GRADE_STEPS = (0, 3)
-#: A marking word stands in so many times more toxic than clean rows, and in this share of toxic rows.
-MARK_LIFT, MARK_SHARE = 10.0, 0.02
-LEAST_ROWS = 5
+BEGINNINGS = (4, 5, 6)
+#: Toxic rows with at least this many marking features have grade 1, 2.
+GRADE_STEPS = (0, 6)
+#: A marking feature stands in so many times more toxic than clean rows, and in this share of toxic rows.
+MARK_LIFT, MARK_SHARE = 10.0, 0.005
+#: Features need this many standard errors of log odds.
+LEAST_Z = 3.0
+
+
+def features(text: str | None) -> set[str]:
+    """Distinct words of a text and their beginnings (marked by a star)."""
+    held = set(b" ".join(words(text)).decode("utf-8", "replace").split(" ")) - {""}
+    out = set(held)
+    for k in BEGINNINGS:
+        out.update([w[:k] + "*" for w in held if len(w) >= k])
+    return out
+
+
+def sketch(text: str | None) -> int:
+    """Smallest hash of the three-word shingles: equal for most near copies."""
+    parts = words(text)
+    return min((xxhash.xxh64_intdigest(b" ".join(parts[k:k + 3])) >> 1 for k in range(max(1, len(parts) - 2))), default=0)
 
 
 @dataclass
 class Model:
-    weights: dict[bytes, float]
+    weights: dict[str, float]
     thresholds: list[float]
 
     def probabilities(self, text: str | None) -> list[float]:
         """P(grade > k) for each threshold."""
-        score = sum(self.weights[w] for w in self.weights.keys() & set(words(text)))
+        score = sum(self.weights[w] for w in self.weights.keys() & features(text))
         return [1 / (1 + float(np.exp(min(t - score, 700.0)))) for t in self.thresholds]
 
 
@@ -51,7 +71,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_ordinal(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, grades: int,
-                l2: float = 1e-4, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+                l2: float = 2e-5, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by full-batch Adam on the penalised likelihood.
 
     Thresholds stay ordered: the first is free, each further one adds exp of a parameter."""
@@ -82,7 +102,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, grades:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, seed: int):
-    """(id, grade, distinct words) of the sampled rows, and the class sizes of all labels."""
+    """(id, grade, features) of the sampled rows without copies, and the class sizes of all labels."""
     clean = labels.where(F.col("grade").isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(
         F.max("grade").alias("grade"))
     sizes = {r[0]: r[1] for r in clean.groupBy("grade").count().collect()}  # one row per grade
@@ -95,19 +115,19 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, seed
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
         F.broadcast(picked), "id")  # at most SAMPLE rows per grade
 
-    @F.pandas_udf("array<string>")
-    def distinct(texts: pd.Series) -> pd.Series:
-        return pd.Series([[w.decode("utf-8", "replace") for w in set(words(t))] for t in texts])
+    @F.pandas_udf("struct<held:array<string>,sketch:bigint>")
+    def held(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"held": [sorted(features(t)) for t in texts], "sketch": [sketch(t) for t in texts]})
 
-    return marked.select("id", "grade", distinct("text").alias("held")), sizes
+    rows = marked.withColumn("f", held("text")).groupBy("grade", "f.sketch").agg(
+        F.min_by(F.struct("id", "f.held"), F.struct("id", F.size("f.held"))).alias("r"))
+    return rows.select("r.id", "grade", "r.held"), sizes
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", seed: int = 42) -> Model:
     """Fit on labelled rows. A label is 0 or a positive number; with no grade above 1, toxic
     rows are graded by ``GRADE_STEPS``."""
-    from arrears.llm.common import stage
-
     labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("grade"))
     held, sizes = _sample(docs, labels, id_col, text_col, seed)
     if held is None or not any(g > 0 for g in sizes) or 0 not in sizes:
@@ -121,10 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rate_t = (F.col("t") + 0.5) / (n_toxic + 1)
     rate_c = (F.col("c") + 0.5) / (n_clean + 1)
     odds = F.log(rate_t / (1 - rate_t)) - F.log(rate_c / (1 - rate_c))
-    least = min(LEAST_ROWS, max(1, n_toxic // 4))
     chosen = (each.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-              .where(F.col("t") + F.col("c") >= least)
               .withColumn("z", F.abs(odds) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)))
+              .where(F.col("z") >= LEAST_Z)
               .orderBy(F.desc("z"), "word").limit(FEATURES).collect())
     place = {r["word"]: k for k, r in enumerate(chosen)}
     marks = {r["word"] for r in chosen if r["t"] >= MARK_SHARE * n_toxic
@@ -141,9 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([values.index(g) for g in y])
     x = np.zeros((len(rows), len(place)), dtype=np.float64)
     for k, r in enumerate(rows):
-        x[k, [place[w] for w in r["held"]]] = 1.0
+        x[k, [place[w] for w in set(r["held"])]] = 1.0
     w, theta = fit_ordinal(x, y, weight, len(values))
-    return Model({word.encode(): float(w[k]) for word, k in place.items()}, theta.tolist())
+    return Model({word: float(w[k]) for word, k in place.items()}, theta.tolist())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
