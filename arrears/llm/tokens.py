@@ -1,51 +1,116 @@
-"""Token ids of whole texts, with a cache of white-space separated pieces.
+"""Token ids of whole texts by the tokenizers library, with caches.
 
-No token of the tokenizers used here spans ASCII white space (their pre-tokenizers split or
-drop it, and no special token holds any), so the ids of a text are the ids of its pieces in
-order. The cache keeps the ids of pieces already seen, is cleared when it reaches its size,
-and serves all tasks of a Python worker.
+The ids of a text are the ids of its white-space separated pieces in order, provided that the
+pre-tokenizer splits or drops white space and no special token holds any. Pieces already seen
+come from a cache that all tasks of a Python worker share.
+
+A tokenizer whose pipeline is NFC, white space, lower case / one split pattern / byte level /
+BPE gets a shorter way for pieces of Latin letters: the pattern cuts them here and the
+library's BPE model merges each part. Any other piece, and any other tokenizer, takes the
+library's whole pipeline.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import regex
+
+CACHE_PIECES = 400_000
+#: Characters below this one take the short way; their case and letter rules are stable.
+LATIN_END = "ɐ"
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others, in
+    order, for the characters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    other = (b for b in range(256) if b not in plain)
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(other)}}
 
-CACHE_PIECES = 300_000
+
+def split_pattern(spec: dict) -> str | None:
+    """The split pattern of a tokenizer that allows the short way."""
+    steps = [s.get("type") for s in ((spec.get("normalizer") or {}).get("normalizers") or [])]
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    cut = before[0] if before else {}
+    if steps == ["NFC", "Replace", "Lowercase"] and [b.get("type") for b in before] == ["Split", "ByteLevel"] \
+            and cut.get("invert") and cut.get("behavior") == "Removed" and not before[1].get("add_prefix_space") \
+            and not before[1].get("use_regex") and spec["model"].get("type") == "BPE":
+        return cut["pattern"].get("Regex")
+    return None
 
 
 class PieceEncoder:
-    """ids of texts by the tokenizers library; ``definition`` is the tokenizer's JSON."""
+    """ids of texts; ``definition`` is the tokenizer's JSON."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        spec = json.loads(definition)
         self.tokenizer = Tokenizer.from_str(definition)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        pattern = split_pattern(spec)
+        self.pattern = regex.compile(pattern) if pattern else None
+        self.special = {t["content"][0] for t in spec.get("added_tokens", [])}
+        self.letters = byte_letters()
+        self.model = self.tokenizer.model
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """ids of each text as little-endian integers of ``dtype``; none for null."""
-        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
         out = []
-        for k in range(0, len(split), 256):
-            out += self._encode(split[k:k + 256])
+        for k in range(0, len(texts), 64):
+            split = [t.encode("utf-8", "replace").split() if t else [] for t in texts[k:k + 64]]
+            self._learn({p for pieces in split for p in pieces})
+            out += [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
         return out
 
-    def _encode(self, split: list[list[bytes]]) -> list[bytes]:
-        known = self.known
-        new = {p for parts in split for p in parts if p not in known}
-        if new:
-            if len(known) + len(new) > CACHE_PIECES:
-                known.clear()
-                new = {p for parts in split for p in parts}
-            order = list(new)
-            found = self.tokenizer.encode_batch([p.decode() for p in order], add_special_tokens=False)
-            known.update((p, np.array(e.ids, dtype=self.dtype).tobytes()) for p, e in zip(order, found))
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+    def _learn(self, pieces: set[bytes]) -> None:
+        new = pieces.difference(self.known)
+        if len(self.known) + len(new) > CACHE_PIECES:
+            self.known.clear()
+            new = pieces
+        if len(self.parts) > CACHE_PIECES:
+            self.parts.clear()
+        rest = []
+        for p in new:
+            text = p.decode()
+            if self.pattern is None:
+                rest.append(text)
+            elif p.isalpha():  # ASCII letters only: one part
+                self.known[p] = self._part(text.lower())
+            elif max(text) < LATIN_END and self.special.isdisjoint(text):
+                self.known[p] = self._short(text)
+            else:
+                rest.append(text)
+        if rest:
+            found = self.tokenizer.encode_batch(rest, add_special_tokens=False)
+            self.known.update((t.encode(), np.array(e.ids, dtype=self.dtype).tobytes()) for t, e in zip(rest, found))
+
+    def _short(self, text: str) -> bytes:
+        if text.isascii():
+            text = text.lower()
+        else:
+            text = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+        return b"".join(map(self._part, self.pattern.findall(text)))
+
+    def _part(self, part: str) -> bytes:
+        """ids of one part of the split, merged by the library's BPE model."""
+        ids = self.parts.get(part)
+        if ids is None:
+            word = part if part.isascii() and part.isalnum() else "".join([self.letters[b] for b in part.encode()])
+            ids = array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+            self.parts[part] = ids
+        return ids
 
 
 @lru_cache(maxsize=4)
