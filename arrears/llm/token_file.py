@@ -92,14 +92,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:
             rows = []
-            for i, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                if file is None:
-                    name = f"part-{task:06d}-{k:06d}.arrow"
-                    file = _Writer(folder, name, length, encoder.dtype)
-                rows.append((i, name, *file.add(ids + end)))
-                if file.total >= FILE_TOKENS:
-                    file.close()
-                    file, k = None, k + 1
+            for at in range(0, batch.num_rows, 256):  # few texts at a time as Python objects
+                part = batch.slice(at, 256)
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                for i, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
+                    if file is None:
+                        name = f"part-{task:06d}-{k:06d}.arrow"
+                        file = _Writer(folder, name, length, encoder.dtype)
+                    rows.append((i, name, *file.add(ids + end)))
+                    if file.total >= FILE_TOKENS:
+                        file.close()
+                        file, k = None, k + 1
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64()))],

@@ -33,7 +33,7 @@ def piece_counts(docs: DataFrame, tokenizer_path: str, out_col: str, text_col: s
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
         encoder = piece_encoder(spec)
-        return pd.Series([len(x) // encoder.dtype.itemsize for x in encoder.encode(list(texts))], dtype="int64")
+        return pd.Series([len(x) // encoder.dtype.itemsize for x in encoder.encode([t.encode() if t else None for t in texts])], dtype="int64")
 
     return docs.withColumn(out_col, count(F.col(text_col)))
 

@@ -17,6 +17,7 @@ import os
 import unicodedata
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import regex
@@ -57,7 +58,6 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         pattern = split_pattern(spec)
         self.pattern = regex.compile(pattern) if pattern else None
         self.special = {t["content"][0] for t in spec.get("added_tokens", [])}
@@ -65,11 +65,11 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.code = "H" if self.dtype.itemsize == 2 else "I"
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """ids of each text as little-endian integers of ``dtype``; none for null."""
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """ids of each text (UTF-8) as little-endian integers of ``dtype``; none for null."""
         out = []
         for k in range(0, len(texts), 64):
-            split = [t.encode("utf-8", "replace").split() if t else [] for t in texts[k:k + 64]]
+            split = [t.split() if t else [] for t in texts[k:k + 64]]
             self._learn({p for pieces in split for p in pieces})
             out += [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
         return out
@@ -77,18 +77,18 @@ class PieceEncoder:
     def _learn(self, pieces: set[bytes]) -> None:
         new = pieces.difference(self.known)
         if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-            new = pieces
-        if len(self.parts) > CACHE_PIECES:
-            self.parts.clear()
+            # The first pieces seen are the common ones: keep the older half.
+            self.known = dict(islice(self.known.items(), CACHE_PIECES // 2))
+            new = pieces.difference(self.known)
         rest = []
         for p in new:
-            text = p.decode()
+            if p in self.known:  # came as a part of another piece
+                continue
             if self.pattern is None:
-                rest.append(text)
+                rest.append(p.decode())
             elif p.isalpha():  # ASCII letters only: one part
-                self.known[p] = self._part(text.lower())
-            elif max(text) < LATIN_END and self.special.isdisjoint(text):
+                self.known[p] = self._part(p.lower())
+            elif max(text := p.decode()) < LATIN_END and self.special.isdisjoint(text):
                 self.known[p] = self._short(text)
             else:
                 rest.append(text)
@@ -101,15 +101,16 @@ class PieceEncoder:
             text = text.lower()
         else:
             text = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
-        return b"".join(map(self._part, self.pattern.findall(text)))
+        return b"".join([self._part(x.encode()) for x in self.pattern.findall(text)])
 
-    def _part(self, part: str) -> bytes:
-        """ids of one part of the split, merged by the library's BPE model."""
-        ids = self.parts.get(part)
+    def _part(self, part: bytes) -> bytes:
+        """ids of one part of the split, merged by the library's BPE model. A part is a piece
+        of its own as well, so it shares the cache."""
+        ids = self.known.get(part)
         if ids is None:
-            word = part if part.isascii() and part.isalnum() else "".join([self.letters[b] for b in part.encode()])
+            word = part.decode() if part.isalnum() else "".join([self.letters[b] for b in part])
             ids = array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
-            self.parts[part] = ids
+            self.known[part] = ids
         return ids
 
 
