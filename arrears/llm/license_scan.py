@@ -54,7 +54,7 @@ def _plan(phrase: str):
     cut = [len(phrase) * i // (k + 1) for i in range(k + 2)]
     pieces = [(phrase[a:b].encode(), a) for a, b in zip(cut, cut[1:])]
     body = regex.escape(phrase, literal_spaces=True)
-    return k, pieces, regex.compile(rf"(?b)(?<![^ ])(?:{body}){{e<={k}}}(?![^ ])".encode())
+    return k, pieces, regex.compile(rf"(?e)(?<![^ ])(?:{body}){{e<={k}}}(?![^ ])".encode())
 
 
 def _places(hay: bytes, needle: bytes):

@@ -102,7 +102,7 @@ def loss_tables(counts: DataFrame, size: int) -> np.ndarray | None:
     scale = np.array([total[1] / total[0], 1.0])
     first = (one * scale[:, None] + 1) / (total * scale + size)[:, None]
 
-    def line(key, group: pd.DataFrame) -> pd.DataFrame:
+    def line(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         model, previous = (int(k) for k in key)
         c = np.zeros(size)
         c[group["pair"].to_numpy() % size] = group["n"].to_numpy() * scale[model]

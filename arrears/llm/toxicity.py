@@ -63,7 +63,7 @@ class Model:
     def probabilities(self, text: str | None) -> list[float]:
         """P(grade > k) for each threshold."""
         score = sum(self.weights[w] for w in self.weights.keys() & features(text))
-        return [1 / (1 + float(np.exp(min(t - score, 700.0)))) for t in self.thresholds]
+        return [0.0 if t == float("inf") else 1 / (1 + float(np.exp(min(t - score, 700.0)))) for t in self.thresholds]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
