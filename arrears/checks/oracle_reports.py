@@ -6,7 +6,7 @@ from __future__ import annotations
 import datetime as dt
 
 from arrears import config as C
-from arrears.checks.oracle import E, O, S, cte, sql, table  # noqa: F401
+from arrears.checks.oracle import E, O, S, cte, sql, table, whole_number  # noqa: F401
 from arrears.functions.dates import month_bounds
 
 _PM, _M0, _M1 = (d.isoformat() for d in month_bounds(C.ORDERS_AS_OF))
@@ -309,12 +309,12 @@ cte("dq_foreign_keys", tuple({t for r in _FK for t in (r[1], r[3])} | {f for _,
            f"WHERE x.{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dim_date y WHERE y.Date = x.{c})"
            for n, f, c in _FK_DATES]))
 
-cte("dq_fanout", ("dialer_base", "fact_dialer", "contact_base", "fact_contacts", "payments",
+cte("dq_fanout", ("recent_calls", "fact_dialer", "recent_contacts", "fact_contacts", "payments",
                   "fact_payments"), "\nUNION ALL\n".join(
     f"SELECT '{n}' AS dataset, b.base_rows, f.fact_rows, f.fact_rows - b.base_rows AS extra_rows "
     f"FROM (SELECT COUNT(*) AS base_rows FROM {b}) b, (SELECT COUNT(*) AS fact_rows FROM {f}) f"
-    for n, b, f in [("fact_dialer", "dialer_base", "fact_dialer"),
-                    ("fact_contacts", "contact_base", "fact_contacts"),
+    for n, b, f in [("fact_dialer", "recent_calls", "fact_dialer"),
+                    ("fact_contacts", "recent_contacts", "fact_contacts"),
                     ("fact_payments", "payments", "fact_payments")]))
 
 _DOM = [
@@ -342,10 +342,10 @@ cte("dq_debtor_cases", ("cases",), """
 SELECT debtor_id, COUNT(*) AS cases FROM cases
 WHERE debtor_id IS NOT NULL GROUP BY debtor_id HAVING COUNT(*) > 1""")
 
-cte("dq_presence_completeness", ("dim_operators", "work_dates", "fact_operator_presence"), """
+cte("dq_presence_completeness", ("dim_operators", "business_days", "fact_operator_presence"), """
 SELECT o.operators, w.business_days, o.operators * w.business_days AS expected_rows, p.actual_rows
 FROM (SELECT COUNT(*) AS operators FROM dim_operators WHERE is_operator = 'Yes') o,
-     (SELECT COUNT(*) AS business_days FROM work_dates) w,
+     (SELECT COUNT(*) AS business_days FROM business_days) w,
      (SELECT COUNT(*) AS actual_rows FROM fact_operator_presence) p""")
 
 cte("dq_client_ids", ("fact_dialer", "fact_contacts", "fact_ptp", "fact_ptp_enriched",
@@ -372,27 +372,27 @@ cte("view_month_window", ("ptp_overview",), f"""
 SELECT ptp_id, case_id, promise_date FROM ptp_overview
 WHERE promise_date >= DATE '{_M0}' AND promise_date < DATE '{_M1}'""")
 
-cte("view_not_in_null", ("ptp_base",), """
-SELECT case_id, ref_number, state FROM ptp_base
-WHERE rn = 1 AND state NOT IN ('Expired', 'Canceled')""")
+cte("view_not_in_null", ("month_promise",), """
+SELECT case_id, ref_number, state FROM month_promise
+WHERE state NOT IN ('Expired', 'Canceled')""")
 
 cte("view_eav_303", ("case_attributes",), """
 SELECT case_id, attribute_value FROM case_attributes WHERE attribute_type = 303""")
 
-cte("view_try_cast_sip", ("users",), """
-SELECT user_id, sip_account AS sip_text, TRY_CAST(TRIM(sip_account) AS INTEGER) AS sip_number FROM users""")
+cte("view_try_cast_sip", ("users",), f"""
+SELECT user_id, sip_account AS sip_text, {whole_number('sip_account')} AS sip_number FROM users""")
 
-cte("view_interval_join_15m", ("contact_base", "dialer_calls"), """
+cte("view_interval_join_15m", ("recent_contacts", "dialer_calls"), """
 SELECT cb.contact_id, COUNT(*) AS matches
-FROM contact_base cb
+FROM recent_contacts cb
 JOIN dialer_calls d
   ON d.telecom_id = cb.telecom_id AND d.case_id = cb.case_id
  AND d.call_date BETWEEN cb.contact_date - INTERVAL 15 MINUTE AND cb.contact_date + INTERVAL 15 MINUTE
 GROUP BY cb.contact_id""")
 
-cte("view_interval_latest", ("manual_campaign_match",), """
+cte("view_interval_latest", ("call_match",), """
 SELECT contact_id, dialer_contact_id, campaign_id, campaign_name, dialer_call_id
-FROM manual_campaign_match WHERE rn = 1""")
+FROM call_match""")
 
 cte("view_join_norm_name", ("ptp_overview", "users"), f"""
 SELECT o.ptp_id, LOWER(TRIM(o.operator)) AS operator_norm, u.user_id AS operator_id
@@ -416,20 +416,20 @@ SELECT pay.payment_id, pay.ref_number, pay.payment_date,
 FROM payments pay
 WHERE pay.payment_date >= DATE '{_M0}' AND pay.payment_date < DATE '{_M1}'""")
 
-cte("view_exists_prev_month", ("ptp_base", "payments"), f"""
+cte("view_exists_prev_month", ("month_promise", "payments"), f"""
 SELECT p.case_id, p.ref_number,
        CASE WHEN EXISTS (SELECT 1 FROM payments h WHERE h.ref_number = p.ref_number
                          AND h.payment_date >= DATE '{_PM}' AND h.payment_date < DATE '{_M0}')
             THEN 1 ELSE 0 END AS has_previous_payment
-FROM ptp_base p WHERE p.rn = 1""")
+FROM month_promise p""")
 
-cte("view_anti_unpaid", ("ptp_base", "payments"), f"""
-SELECT p.case_id, p.ref_number FROM ptp_base p
-WHERE p.rn = 1 AND NOT EXISTS (SELECT 1 FROM payments pay WHERE pay.ref_number = p.ref_number
+cte("view_anti_unpaid", ("month_promise", "payments"), f"""
+SELECT p.case_id, p.ref_number FROM month_promise p
+WHERE NOT EXISTS (SELECT 1 FROM payments pay WHERE pay.ref_number = p.ref_number
                                AND pay.payment_date >= DATE '{_M0}' AND pay.payment_date < DATE '{_M1}')""")
 
-cte("view_cross_presence", ("dim_operators", "work_dates"), """
-SELECT o.user_id AS users_id, w.WorkDate FROM dim_operators o CROSS JOIN work_dates w
+cte("view_cross_presence", ("dim_operators", "business_days"), """
+SELECT o.user_id AS users_id, w.WorkDate FROM dim_operators o CROSS JOIN business_days w
 WHERE o.is_operator = 'Yes'""")
 
 cte("view_star_join", ("fact_payments", "dim_client", "dim_cases"), """
@@ -446,18 +446,18 @@ WHERE target_type_id IN (1, 2, 5, 6) AND insert_user NOT IN ('system_user', 'aut
   AND contact_date >= DATE '{S}' AND contact_date < DATE '{E}' + INTERVAL 1 DAY
 GROUP BY 1, 2""")
 
-cte("view_dedup_contact_ptp", ("ptp_dedup",), """
+cte("view_dedup_contact_ptp", ("last_promise",), """
 SELECT contact_id, ptp_contact_date, promise_capital, promise_capital_total, promise_date
-FROM ptp_dedup WHERE rn = 1""")
+FROM last_promise""")
 
-cte("view_dedup_bridge", ("dialer_contact_dedup",), """
-SELECT unique_id, sip_account, contact_id FROM dialer_contact_dedup WHERE rn = 1""")
+cte("view_dedup_bridge", ("bridge_latest",), """
+SELECT unique_id, sip_account, contact_id FROM bridge_latest""")
 
-cte("view_dedup_ptp_month", ("ptp_base",), """
+cte("view_dedup_ptp_month", ("month_promise",), """
 SELECT case_id, client_id, ref_number, client_ref_number, operator, promise_date,
        promise_capital_total, promise_capital, contact_date, number_of_installments,
        payment_number, state
-FROM ptp_base WHERE rn = 1""")
+FROM month_promise""")
 
 cte("view_dialer_state", ("fact_dialer",), """
 SELECT dialer_call_id,

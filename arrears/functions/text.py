@@ -23,8 +23,14 @@ def concat_text(prefix: str, c: Column) -> Column:
     return F.concat(F.lit(prefix), F.coalesce(c.cast("string"), F.lit("")))
 
 
+def try_number(c: Column | str) -> Column:
+    """Guarded text -> number of any form ('199.5', '2e2'); unparsable becomes null."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.trim(c.cast("string")).try_cast("double")
+
+
 def try_int(c: Column | str) -> Column:
-    """Guarded text -> number conversion: anything unparsable becomes null."""
+    """Guarded text -> whole number (the sip join key): anything else becomes null."""
     c = F.col(c) if isinstance(c, str) else c
     return F.trim(c.cast("string")).try_cast("int")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arrears.config import Params
 from arrears.functions.dates import rolling_start
-from arrears.plans.facts import case_provider, client_company, dim_operators  # noqa: F401
+from arrears.plans.facts import client_company, dim_operators, provider_rows  # noqa: F401
 from arrears.sources.catalog import Sources
 
 col = F.col
@@ -19,8 +19,8 @@ def dim_cases(src: Sources, p: Params) -> DataFrame:
     Catalyst applies it below the join (and pushes it into the scan)."""
     c = src.cases.where(col("case_status_id").isin(0, 1)
                         | (col("update_date") >= F.lit(rolling_start(p.as_of, p.rolling_days))))
-    prov = case_provider(src, p).withColumnRenamed("case_id", "_pcid")
-    return c.join(prov, c["case_id"] == prov["_pcid"], "left").select(
+    prov = provider_rows(src, p)
+    return c.join(prov, c["case_id"] == prov["_acid"], "left").select(
         "case_id", "client_id", "debtor_id", "ref_number", "client_ref_number",
         "case_status_id", "original_capital", "actual_capital", "department_id",
         "currency_id", F.to_date("insert_date").alias("insert_date"),

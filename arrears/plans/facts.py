@@ -12,7 +12,7 @@ from arrears import config as C
 from arrears.config import Params
 from arrears.functions import classify as K
 from arrears.functions.dates import at_time, month_bounds, rolling_start, year_start_prev
-from arrears.functions.text import money_sum, norm, try_int
+from arrears.functions.text import money_sum, norm, try_int, try_number
 from arrears.operators.asof import latest_per_id, match_rows
 from arrears.operators.calendar import explode_workdays
 from arrears.operators.dedup import latest_per_key
@@ -197,16 +197,18 @@ def installment_time(src: Sources, p: Params) -> DataFrame:
             .agg(F.date_format(F.min("insert_date"), "HH:mm:ss").alias("contact_time")))
 
 
-def case_provider(src: Sources, p: Params) -> DataFrame:
-    """(case_id, provider) for every case in ``cases``: provider is the max
-    type-303 attribute ("max"), or one row per such attribute ("join")."""
-    cases = src.cases.select("case_id")
+def provider_rows(src: Sources, p: Params) -> DataFrame:
+    """(_acid, provider): the max type-303 attribute of a case ("max"), or
+    one row per such attribute ("join", the source's plain join)."""
     if p.provider_mode == "join":
-        a = (src.case_attributes.where(col("attribute_type") == C.PROVIDER_ATTRIBUTE_TYPE)
-             .select(col("case_id").alias("_acid"), col("attribute_value").alias("provider")))
-    else:
-        a = attribute_max(src.case_attributes, C.PROVIDER_ATTRIBUTE_TYPE).withColumnRenamed(
-            "case_id", "_acid")
+        return (src.case_attributes.where(col("attribute_type") == C.PROVIDER_ATTRIBUTE_TYPE)
+                .select(col("case_id").alias("_acid"), col("attribute_value").alias("provider")))
+    return attribute_max(src.case_attributes, C.PROVIDER_ATTRIBUTE_TYPE).withColumnRenamed("case_id", "_acid")
+
+
+def case_provider(src: Sources, p: Params) -> DataFrame:
+    """(case_id, provider) for every case in ``cases``."""
+    cases, a = src.cases.select("case_id"), provider_rows(src, p)
     return cases.join(a, cases["case_id"] == a["_acid"], "left").select("case_id", "provider")
 
 
@@ -389,17 +391,22 @@ def fact_payments(src: Sources, p: Params | None = None) -> DataFrame:
 
 
 # ===================================================== operator activity
-def cc_operator_activity(src: Sources, p: Params) -> DataFrame:
-    """Contacts per operator login and day. Counted per (login, day) first,
-    then joined to users (the same result as joining first, with one row
-    per group crossing the join instead of one per contact)."""
+def activity_counts(src: Sources, p: Params) -> DataFrame:
+    """Counted contacts per normalised login and day."""
     end = p.as_of + dt.timedelta(days=1)
     ce = src.window("contact_events", "contact_date", p.calendar_start, end).where(
         col("target_type_id").isin(*C.CC_TARGET_TYPES)
         & ~col("insert_user").isin(*C.EXCLUDED_LOGINS))
-    agg = (ce.groupBy(norm("insert_user").alias("user_name"),
-                      F.to_date("contact_date").alias("contact_date"))
-             .agg(F.count(F.lit(1)).alias("contact_count")))
+    return (ce.groupBy(norm("insert_user").alias("user_name"),
+                       F.to_date("contact_date").alias("contact_date"))
+              .agg(F.count(F.lit(1)).alias("contact_count")))
+
+
+def cc_operator_activity(src: Sources, p: Params) -> DataFrame:
+    """Contacts per operator login and day. Counted per (login, day) first,
+    then joined to users (the same result as joining first, with one row
+    per group crossing the join instead of one per contact)."""
+    agg = activity_counts(src, p)
     u = src.users.select(col("user_id"), norm("user_name").alias("_login"))
     return (agg.join(u, agg["user_name"] == u["_login"], "left")
                .select("user_id", "user_name", "contact_date", "contact_count"))
@@ -407,7 +414,7 @@ def cc_operator_activity(src: Sources, p: Params) -> DataFrame:
 
 def dim_operators(src: Sources, p: Params) -> DataFrame:
     u = src.users
-    sip = try_int("sip_account")
+    sip = try_number("sip_account")
     return u.select(
         "user_id", "user_name", "full_name", "user_status",
         K.is_inactive(col("user_status")).alias("is_inactive"),

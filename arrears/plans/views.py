@@ -122,14 +122,7 @@ def star_join(m: Model) -> DataFrame:
 
 
 def agg_cc(src: Sources, p: Params) -> DataFrame:
-    import datetime as dt
-    end = p.as_of + dt.timedelta(days=1)
-    ce = src.contact_events.where(
-        col("target_type_id").isin(*C.CC_TARGET_TYPES) & ~col("insert_user").isin(*C.EXCLUDED_LOGINS)
-        & (col("contact_date") >= F.lit(p.calendar_start)) & (col("contact_date") < F.lit(end)))
-    return (ce.groupBy(norm("insert_user").alias("user_name"),
-                       F.to_date("contact_date").alias("contact_date"))
-              .agg(F.count(F.lit(1)).alias("contact_count")))
+    return facts.activity_counts(src, p)
 
 
 def dedup_contact_ptp(src: Sources, p: Params | None = None) -> DataFrame:

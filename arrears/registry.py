@@ -7,12 +7,13 @@ are identical to the oracle's.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from arrears.checks import oracle as Q
-from arrears.config import events_params, orders_params
+from arrears.config import EVENTS_AS_OF, events_params, orders_params
 from arrears.plans import dims, facts
 from arrears.sources.catalog import DriverSources
 
@@ -52,6 +53,13 @@ add("dim_cases", od(dims.dim_cases), Q.table("dim_cases"))
 add("dim_client", od(dims.dim_client), Q.table("dim_client"))
 add("dim_company", od(dims.dim_company), Q.table("dim_company"))
 
+# Variants: a look-back bound that cuts inside the events' month, and the source's plain provider join.
+EVENTS_CUT_AS_OF = EVENTS_AS_OF + dt.timedelta(days=45)
+add("rolling_60d_cut", ev(facts.contact_base, as_of=EVENTS_CUT_AS_OF),
+    Q.table("recent_contacts").replace(EVENTS_AS_OF.isoformat(), EVENTS_CUT_AS_OF.isoformat()))
+add("fact_ptp_plain_provider", od(facts.fact_ptp, provider_mode="join"), Q.table("fact_ptp_plain_provider"))
+add("dim_cases_plain_provider", od(dims.dim_cases, provider_mode="join"), Q.table("dim_cases_plain_provider"))
+
 # ---- everything else reads the shared model
 from arrears.checks import oracle_reports as R  # noqa: E402,F401  (registers CTEs)
 from arrears.plans import kpi, marts, quality, views  # noqa: E402
@@ -113,10 +121,10 @@ for _name, _fn, _b in [
     ("dedup_bridge", views.dedup_bridge, ev), ("dedup_ptp_month", views.dedup_ptp_month, od),
     ("union_paid_unpaid", views.union_paid_unpaid, od),
 ]:
-    _sql_name = {"rolling_60d": "contact_base", "agg_max_time": "contact_time",
-                 "agg_min_time": "installment_time", "agg_promise_sum": "promise_base",
-                 "agg_provider_max": "case_attribute_provider",
-                 "union_paid_unpaid": "ptp_union"}.get(_name, "view_" + _name)
+    _sql_name = {"rolling_60d": "recent_contacts", "agg_max_time": "promise_clock",
+                 "agg_min_time": "installment_clock", "agg_promise_sum": "promise_totals",
+                 "agg_provider_max": "case_provider",
+                 "union_paid_unpaid": "month_money"}.get(_name, "view_" + _name)
     add(_name, _b(_fn), Q.table(_sql_name))
 
 from arrears.plans import reports  # noqa: E402

@@ -39,6 +39,26 @@ def _p(base, where, *cols):
 
 _SUPPLIER_LOGIN = "concat(' Supplier#', lpad(cast(o_orderkey % 12 as string), 9, '0'), ' ')"
 
+
+def _calls(uniqueid: str, at: str, campaign: int) -> tuple[tuple[str, str], ...]:
+    return (("uniqueid", uniqueid),
+            ("queue_item_id", "event_id % 1000"),
+            ("disposition_code", "event_id % 6"),
+            ("campaign_id", f"{campaign} + event_id % 11"),
+            ("campaign_name", f"concat('Campaign_', cast({campaign} + event_id % 11 as string))"),
+            ("case_id", "user_id"),
+            ("debtor_id", "user_id % 700"),
+            ("telecom_id", "user_id"),
+            ("client_id", "user_id % 25"),
+            ("phone_number", "concat('55', cast(11 + user_id % 89 as string), '900000000')"),
+            ("call_date", at),
+            ("duration", "case when event_id % 41 = 0 then null else cast(floor(value) as int) + 10 end"),
+            ("billsec", "case when event_id % 37 = 0 then null else cast(floor(value) as int) end"),
+            ("disposition", "case event_id % 4 when 0 then 'ANSWERED' when 1 then 'NO ANSWER' "
+                            "when 2 then 'BUSY' else 'FAILED' end"),
+            ("hangup_cause", "case when event_id % 2 = 0 then 'NORMAL_CLEARING' else 'USER_BUSY' end"))
+
+
 ADAPTERS: dict[str, tuple[Part, ...]] = {
     "company": (_p("region", None,
                    ("company_id", "r_regionkey"),
@@ -88,8 +108,9 @@ ADAPTERS: dict[str, tuple[Part, ...]] = {
                  ("user_name", "lower(s_name)"),
                  ("full_name", "s_name"),
                  ("user_status", "case when s_suppkey % 5 = 0 then 0 else 1 end"),
-                 ("sip_account", "case when s_suppkey % 10 = 9 then 'n/a' when s_suppkey % 10 = 8 "
-                                 "then null else cast(195 + s_suppkey as string) end"),
+                 ("sip_account", "case when s_suppkey % 10 = 9 then 'n/a' when s_suppkey % 10 = 8 then null "
+                                 "when s_suppkey % 20 = 7 then '199.5' when s_suppkey % 20 = 17 then '200.0' "
+                                 "else cast(195 + s_suppkey as string) end"),
                  ("insert_date", "DATE '2024-01-01' + cast(s_suppkey % 20 as int)"),
                  ("update_date", "case when s_suppkey % 4 = 0 then null "
                                  "else DATE '2024-01-31' - cast(s_suppkey % 7 as int) end")),),
@@ -110,26 +131,14 @@ ADAPTERS: dict[str, tuple[Part, ...]] = {
                                            "else 'Negotiation call' end"),
                           ("insert_user", "case when event_id % 50 = 1 then 'system_user' else "
                                           "concat(' Supplier#', lpad(cast(user_id % 120 as string), 9, '0')) end")),),
-    "dialer_calls": (_p("events", "event_type = 'view'",
-                        ("uniqueid", "event_id"),
-                        ("queue_item_id", "event_id % 1000"),
-                        ("disposition_code", "event_id % 6"),
-                        ("campaign_id", "100 + event_id % 11"),
-                        ("campaign_name", "concat('Campaign_', cast(100 + event_id % 11 as string))"),
-                        ("case_id", "user_id"),
-                        ("debtor_id", "user_id % 700"),
-                        ("telecom_id", "user_id"),
-                        ("client_id", "user_id % 25"),
-                        ("phone_number", "concat('55', cast(11 + user_id % 89 as string), '900000000')"),
-                        ("call_date", "ts"),
-                        ("duration", "case when event_id % 41 = 0 then null else cast(floor(value) as int) + 10 end"),
-                        ("billsec", "case when event_id % 37 = 0 then null else cast(floor(value) as int) end"),
-                        ("disposition", "case event_id % 4 when 0 then 'ANSWERED' when 1 then 'NO ANSWER' "
-                                        "when 2 then 'BUSY' else 'FAILED' end"),
-                        ("hangup_cause", "case when event_id % 2 = 0 then 'NORMAL_CLEARING' else 'USER_BUSY' end")),),
+    # A second call follows four minutes after each first one.
+    "dialer_calls": (_p("events", "event_type = 'view'", *_calls("event_id", "ts", 100)),
+                     _p("events", "event_type = 'view'",
+                        *_calls("-event_id - 1", "ts + INTERVAL '4' MINUTE", 200))),
     "dialer_contact": (
-        _p("events", "event_type = 'view' and event_id % 8 <> 0",
-           ("unique_id", "event_id"),
+        # Every eighth row names a call that does not exist.
+        _p("events", "event_type = 'view'",
+           ("unique_id", "case when event_id % 8 = 0 then -1000000000 - event_id else event_id end"),
            ("sip_account", "case when event_id % 6 = 0 then null else cast(195 + user_id % 20 as string) end"),
            ("contact_id", "event_id + 1"),
            ("call_date", "ts")),
@@ -146,7 +155,8 @@ ADAPTERS: dict[str, tuple[Part, ...]] = {
                         ("ref_number", "concat('REF', cast(o_custkey as string))"),
                         ("client_ref_number", "concat('CREF', cast(o_custkey as string))"),
                         ("operator", _SUPPLIER_LOGIN),
-                        ("contact_id", "o_orderkey"),
+                        ("contact_id", "case when o_orderkey % 10 = 0 then null "
+                                       "else cast(floor(o_orderkey / 3) as bigint) end"),
                         ("type", "case when o_orderpriority in ('1-URGENT','2-HIGH') then 'Installment' "
                                  "else 'Single' end"),
                         ("payment_number", "1 + o_orderkey % 6"),
@@ -162,8 +172,8 @@ ADAPTERS: dict[str, tuple[Part, ...]] = {
                         ("phone_number", "concat('55', cast(11 + o_custkey % 89 as string), '900000000')"),
                         ("contact_attribute", "case o_orderkey % 4 when 0 then 'NULL' when 1 then null "
                                               "when 2 then 'Inbound' else 'WhatsApp' end"),
-                        ("state", "case o_orderstatus when 'O' then 'Active' when 'P' then 'Expired' "
-                                  "else 'Fulfilled' end")),),
+                        ("state", "case when o_orderkey % 13 = 0 then null when o_orderstatus = 'O' then 'Active' "
+                                  "when o_orderstatus = 'P' then 'Expired' else 'Fulfilled' end")),),
     "payments": (_p("lineitem_orders_customer", None,
                     ("payment_id", "concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', "
                                    "cast(l_partkey as string), '-', cast(l_suppkey as string))"),
@@ -175,17 +185,20 @@ ADAPTERS: dict[str, tuple[Part, ...]] = {
                     ("payed_plus_money", "l_extendedprice * l_tax"),
                     ("payed_administrative_assessment", "l_extendedprice * 0.02"),
                     ("payed_delay_charge", "l_extendedprice * l_discount")),),
-    "promises_information": (_p("orders", "o_orderkey % 3 <> 0",
+    # Every third order was noted by an operator who made no promise of it.
+    "promises_information": (_p("orders", None,
                                 ("case_id", "o_custkey"),
                                 ("contact_date", "o_orderdate - INTERVAL '10' DAY"),
-                                ("operator", _SUPPLIER_LOGIN),
+                                ("operator", f"case when o_orderkey % 3 = 0 then ' Supplier#other ' else {_SUPPLIER_LOGIN} end"),
                                 ("contact_time", "concat(lpad(cast(o_orderkey % 24 as string), 2, '0'), ':', "
                                                  "lpad(cast(o_orderkey % 60 as string), 2, '0'), ':00')")),),
-    "installment": (_p("orders", "o_orderkey % 4 <> 0",
+    # Every fourth instalment was entered a day after the contact.
+    "installment": (_p("orders", None,
                        ("installment_id", "o_orderkey"),
                        ("case_id", "o_custkey"),
                        ("ref_number", "concat('REF', cast(o_custkey as string))"),
-                       ("insert_date", "o_orderdate - INTERVAL '10' DAY + INTERVAL '9' HOUR"),
+                       ("insert_date", "case when o_orderkey % 4 = 0 then o_orderdate - INTERVAL '9' DAY "
+                                       "else o_orderdate - INTERVAL '10' DAY end + INTERVAL '9' HOUR"),
                        ("amount", "o_totalprice")),),
 }
 
