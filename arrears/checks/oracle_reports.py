@@ -6,11 +6,12 @@ from __future__ import annotations
 import datetime as dt
 
 from arrears import config as C
+from arrears.sources import driver_dates as D
 from arrears.checks.oracle import E, O, S, cte, sql, table, whole_number  # noqa: F401
 from arrears.functions.dates import month_bounds
 
-_PM, _M0, _M1 = (d.isoformat() for d in month_bounds(C.ORDERS_AS_OF))
-_LAST = (month_bounds(C.ORDERS_AS_OF)[2] - dt.timedelta(days=1)).isoformat()
+_PM, _M0, _M1 = (d.isoformat() for d in month_bounds(D.ORDERS_AS_OF))
+_LAST = (month_bounds(D.ORDERS_AS_OF)[2] - dt.timedelta(days=1)).isoformat()
 
 
 def _ratio(n: str, d: str) -> str:
@@ -51,8 +52,8 @@ GROUP BY operator_id""")
 
 cte("kpi_quality_score", ("kpi_effectivity", "kpi_dialer_score", "users"), f"""
 SELECT operator_id, effectivity, dialer_score,
-       {C.Params().quality_weights[0]} * COALESCE(effectivity, 0)
-         + {C.Params().quality_weights[1]} * COALESCE(dialer_score, 0) AS quality_score
+       {C.QUALITY_WEIGHTS[0]} * COALESCE(effectivity, 0)
+         + {C.QUALITY_WEIGHTS[1]} * COALESCE(dialer_score, 0) AS quality_score
 FROM (SELECT operator_id, {_ratio('SUM(paid_ptp)', 'SUM(total_ptp)')} AS effectivity,
              {_ratio('SUM(dialer_ptp)', 'SUM(answered_calls)')} AS dialer_score
       FROM (SELECT u.user_id AS operator_id, e.total_ptp, e.paid_ptp, 0 AS dialer_ptp,
@@ -154,7 +155,7 @@ SELECT payment_date, CAST(year(payment_date) AS INTEGER) AS Year,
 FROM fact_ptp GROUP BY payment_date""")
 
 _DW = _WOM.format(d="Date")
-cte("dim_date", ("fact_payments",), f"""
+cte("dim_date", ("payments", "ptp_overview", "contact_events", "dialer_calls"), f"""
 SELECT Date, CAST(year(Date) AS INTEGER) AS Year, CAST(month(Date) AS INTEGER) AS MonthNumber,
        CAST(quarter(Date) AS INTEGER) AS Quarter, strftime(Date, '%Y-%m') AS MonthYear,
        CAST(year(Date) * 100 + month(Date) AS INTEGER) AS YearMonthKey,
@@ -163,11 +164,14 @@ SELECT Date, CAST(year(Date) AS INTEGER) AS Year, CAST(month(Date) AS INTEGER) A
        {_DW} AS WeekOfMonth, strftime(Date, '%b') || ' W' || CAST({_DW} AS VARCHAR) AS WeekOfMonthLabel,
        make_date(CAST(year(Date) AS INTEGER), CAST(month(Date) AS INTEGER), ({_DW} - 1) * 7 + 1)
          AS WeekOfMonthKey
-FROM (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP),
-                                         CAST(DATE '{O}' + INTERVAL 365 DAY AS TIMESTAMP),
-                                         INTERVAL 1 DAY)) AS DATE) AS Date
-      FROM (SELECT make_date(CAST(year(MIN(payment_date)) AS INTEGER), 1, 1) AS lo
-            FROM fact_payments) b) d""")
+FROM (SELECT CAST(unnest(range(lo, hi + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS Date
+      FROM (SELECT CAST(date_trunc('year', min(d)) AS TIMESTAMP) AS lo,
+                   CAST(greatest(CAST(max(d) AS DATE), DATE '{max(D.EVENTS_AS_OF, D.ORDERS_AS_OF)}' + 365)
+                        AS TIMESTAMP) AS hi
+            FROM (SELECT CAST(payment_date AS TIMESTAMP) AS d FROM payments
+                  UNION ALL SELECT unnest([contact_date, promise_date, last_payment_date]::TIMESTAMP[]) FROM ptp_overview
+                  UNION ALL SELECT contact_date FROM contact_events
+                  UNION ALL SELECT call_date FROM dialer_calls)) b) d""")
 
 cte("dim_commission_rules_v", ("dim_commission_rules",),
     "SELECT client_id, commission_rate FROM dim_commission_rules")
@@ -196,8 +200,8 @@ FROM fact_ptp_enriched WHERE payment_date IS NOT NULL GROUP BY 1""")
 
 
 def _matrix_sql() -> str:
-    d0 = C.EVENTS_CALENDAR_START
-    days = [d0 + dt.timedelta(days=i) for i in range((C.EVENTS_AS_OF - d0).days + 1)]
+    d0 = D.EVENTS_CALENDAR_START
+    days = [d0 + dt.timedelta(days=i) for i in range((D.EVENTS_AS_OF - d0).days + 1)]
     cols = ",\n       ".join(
         f"MAX(CASE WHEN WorkDate = DATE '{d.isoformat()}' THEN attendance_status END) AS \"{d.isoformat()}\""
         for d in days if d.weekday() < 5)
@@ -259,6 +263,13 @@ _PK = {
     "dim_operators": ("user_id",),
     "dim_cases": ("case_id",),
     "dim_client": ("client_id",),
+    "fact_ptp": ("case_id", "client_id", "provider", "operator_norm", "operator_name", "operator_id", "type",
+                 "payment_number", "contact_date", "promise_date", "payment_date", "dpd", "ddd",
+                 "contact_attribute"),
+    "fact_ptp_enriched": ("case_id", "promise_date", "payment_id"),
+    "dim_company": ("client_id",),
+    "dim_date": ("Date",),
+    "dim_commission_rules": ("client_id",),
 }
 
 
@@ -274,21 +285,22 @@ def _pk_part(ds, keys):
 cte("dq_primary_keys", tuple(_PK), "\nUNION ALL\n".join(_pk_part(d, k) for d, k in _PK.items()))
 
 _FK = [
-    ("case.client_id", "dim_cases", "client_id", "dim_client", "client_id"),
+    ("case.client_id", "dim_cases", "client_id", "dim_company", "client_id"),
     ("cc.user_id", "cc_operator_activity", "user_id", "dim_operators", "user_id"),
     ("ptp.case_id", "fact_ptp", "case_id", "dim_cases", "case_id"),
-    ("ptp.client_id", "fact_ptp", "client_id", "dim_client", "client_id"),
+    ("ptp.client_id", "fact_ptp", "client_id", "dim_company", "client_id"),
     ("ptp.operator_id", "fact_ptp", "operator_id", "dim_operators", "user_id"),
     ("dialer.case_id", "fact_dialer", "case_id", "dim_cases", "case_id"),
-    ("dialer.client_id", "fact_dialer", "client_id", "dim_client", "client_id"),
+    ("dialer.client_id", "fact_dialer", "client_id", "dim_company", "client_id"),
     ("dialer.operator_id", "fact_dialer", "operator_id", "dim_operators", "user_id"),
-    ("commission.client_id", "dim_commission_rules", "client_id", "dim_client", "client_id"),
+    ("commission.client_id", "dim_commission_rules", "client_id", "dim_company", "client_id"),
     ("presence.users_id", "fact_operator_presence", "users_id", "dim_operators", "user_id"),
     ("contacts.case_id", "fact_contacts", "case_id", "dim_cases", "case_id"),
-    ("contacts.client_id", "fact_contacts", "client_id", "dim_client", "client_id"),
+    ("contacts.client_id", "fact_contacts", "client_id", "dim_company", "client_id"),
     ("contacts.operator_id", "fact_contacts", "operator_id", "dim_operators", "user_id"),
-    ("enriched.client_id", "fact_ptp_enriched", "client_id", "dim_client", "client_id"),
-    ("payments.client_id", "fact_payments", "client_id", "dim_client", "client_id"),
+    ("enriched.client_id", "fact_ptp_enriched", "client_id", "dim_company", "client_id"),
+    ("operator_day.users_id", "mart_operator_day", "users_id", "dim_operators", "user_id"),
+    ("payments.client_id", "fact_payments", "client_id", "dim_company", "client_id"),
     ("client.company_id", "dim_client", "company_id", "company", "company_id"),
 ]
 _FK_DATES = [
@@ -297,6 +309,7 @@ _FK_DATES = [
     ("presence.WorkDate", "fact_operator_presence", "WorkDate"),
     ("contacts.contact_date", "fact_contacts", "contact_date"),
     ("enriched.payment_date", "fact_ptp_enriched", "payment_date"),
+    ("operator_day.WorkDate", "mart_operator_day", "WorkDate"),
     ("payments.payment_date", "fact_payments", "payment_date"),
 ]
 cte("dq_foreign_keys", tuple({t for r in _FK for t in (r[1], r[3])} | {f for _, f, _ in _FK_DATES}
@@ -310,12 +323,16 @@ cte("dq_foreign_keys", tuple({t for r in _FK for t in (r[1], r[3])} | {f for _,
            for n, f, c in _FK_DATES]))
 
 cte("dq_fanout", ("recent_calls", "fact_dialer", "recent_contacts", "fact_contacts", "payments",
-                  "fact_payments"), "\nUNION ALL\n".join(
+                  "fact_payments", "promise_totals", "fact_ptp", "month_money", "fact_ptp_enriched", "view_agg_cc",
+                  "cc_operator_activity", "view_cross_presence", "fact_operator_presence"), "\nUNION ALL\n".join(
     f"SELECT '{n}' AS dataset, b.base_rows, f.fact_rows, f.fact_rows - b.base_rows AS extra_rows "
     f"FROM (SELECT COUNT(*) AS base_rows FROM {b}) b, (SELECT COUNT(*) AS fact_rows FROM {f}) f"
     for n, b, f in [("fact_dialer", "recent_calls", "fact_dialer"),
                     ("fact_contacts", "recent_contacts", "fact_contacts"),
-                    ("fact_payments", "payments", "fact_payments")]))
+                    ("fact_payments", "payments", "fact_payments"), ("fact_ptp", "promise_totals", "fact_ptp"),
+                    ("fact_ptp_enriched", "month_money", "fact_ptp_enriched"),
+                    ("cc_operator_activity", "view_agg_cc", "cc_operator_activity"),
+                    ("fact_operator_presence", "view_cross_presence", "fact_operator_presence")]))
 
 _DOM = [
     ("fact_contacts", "contact_channel", ("WhatsApp", "RCS", "SMS", "Email", "BOT", "Dialer", "Manual")),
@@ -432,11 +449,31 @@ cte("view_cross_presence", ("dim_operators", "business_days"), """
 SELECT o.user_id AS users_id, w.WorkDate FROM dim_operators o CROSS JOIN business_days w
 WHERE o.is_operator = 'Yes'""")
 
-cte("view_star_join", ("fact_payments", "dim_client", "dim_cases"), """
-SELECT p.payment_id, cl.company_name, c.provider, c.case_status_id
-FROM fact_payments p
-LEFT JOIN dim_client cl ON cl.client_id = p.client_id
-LEFT JOIN dim_cases c ON c.case_id = p.case_id""")
+cte("view_star_join", ("fact_payments", "fact_dialer", "fact_contacts", "fact_ptp", "dim_client", "dim_cases",
+                       "dim_operators", "dim_date"), """
+SELECT f.fact, k.company_name, c.provider, c.case_status_id, o.is_operator, d.YearMonthKey,
+       CAST(count(*) AS BIGINT) AS row_count, CAST(sum(f.amount) AS DOUBLE) AS amount
+FROM (SELECT 'payments' AS fact, client_id, case_id, NULL AS operator_id, payment_date AS day,
+             CAST(payed_capital AS DECIMAL(19, 4)) AS amount FROM fact_payments
+      UNION ALL SELECT 'dialer', client_id, case_id, operator_id, call_date, 0 FROM fact_dialer
+      UNION ALL SELECT 'contacts', client_id, case_id, operator_id, contact_date, 0 FROM fact_contacts
+      UNION ALL SELECT 'ptp', client_id, case_id, operator_id, contact_date,
+                       CAST(promise_capital AS DECIMAL(19, 4)) FROM fact_ptp) f
+LEFT JOIN dim_client k ON k.client_id = f.client_id
+LEFT JOIN dim_cases c ON c.case_id = f.case_id
+LEFT JOIN dim_operators o ON o.user_id = f.operator_id
+LEFT JOIN dim_date d ON d.Date = f.day
+GROUP BY ALL""")
+
+cte("view_role_date", ("fact_ptp", "dim_date"), "\nUNION ALL\n".join(f"""
+SELECT '{role}' AS role, d.YearMonthKey, d.WeekOfMonth, count(*) AS promises,
+       {_money('promise_capital')} AS promise_capital, {_money('paid')} AS paid
+FROM fact_ptp p LEFT JOIN dim_date d ON d.Date = p.{role} GROUP BY ALL"""
+    for role in ("contact_date", "promise_date", "payment_date")))
+
+cte("view_bronze_landing", tuple(__import__("arrears.sources.schemas", fromlist=["SCHEMAS"]).SCHEMAS),
+    "SELECT relation, row_count, column_count + 2 AS column_count, row_count AS sourced_rows, "
+    f"row_count AS stamped_rows FROM ({_inventory_sql()})")
 
 cte("view_agg_cc", ("contact_events",), f"""
 SELECT LOWER(TRIM(insert_user)) AS user_name, CAST(contact_date AS DATE) AS contact_date,

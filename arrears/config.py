@@ -7,7 +7,7 @@ hard-codes a number. ``as_of`` replaces the wall clock everywhere.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # --- Fixed values (must equal the source system's rules) -------------------
 ROLLING_DAYS = 60                      # dialer / contact look-back window
@@ -25,22 +25,20 @@ RPC_TARGET_TYPE = 1
 RPC_STATUS_TYPES = (2, 300, 118, 119, 120)
 CLOSED_PTP_STATES = ("Expired", "Canceled")
 HIGH_DPD = 180
+SOURCE_UTC_OFFSET_HOURS = -3           # "today" of the source system
 # ---------------------------------------------------------------------------
 
-# As-of dates for the driver's synthetic tables: event relations cover
-# January 2024, order relations end in mid 2001.
-EVENTS_AS_OF = dt.date(2024, 1, 31)
-ORDERS_AS_OF = dt.date(2001, 7, 15)
-# First day of the attendance calendar / activity window for event data.
-EVENTS_CALENDAR_START = dt.date(2024, 1, 1)
-
+QUALITY_WEIGHTS = (0.5, 0.5)           # composite score (not given by the source)
 
 @dataclass(frozen=True)
 class Params:
-    """Run parameters; every plan takes one (defaults match the rules)."""
+    """Run parameters; every plan takes one. ``as_of`` stands for today and
+    must be given (``Params.today()`` takes the source's clock, UTC-3); the
+    other defaults match the rules."""
 
-    as_of: dt.date = EVENTS_AS_OF
-    calendar_start: dt.date = EVENTS_CALENDAR_START
+    as_of: dt.date
+    # First day of the attendance calendar; None: 1 January of as_of's year.
+    calendar_start: dt.date | None = None
     rolling_days: int = ROLLING_DAYS
     tolerance_minutes: int = MATCH_TOLERANCE_MINUTES
     # Width (minutes) of the time buckets the as-of match is split into.
@@ -61,19 +59,19 @@ class Params:
     # previous month (source code); "30d" = within the 30 days before
     # (documentation).
     old_money_window: str = "prev_month"
-    # Weights of the composite quality score (not given by the source).
-    quality_weights: tuple[float, float] = (0.5, 0.5)
-    extra: dict = field(default_factory=dict, compare=False)
+    quality_weights: tuple[float, float] = QUALITY_WEIGHTS
+
+    def __post_init__(self):
+        if self.calendar_start is None:
+            object.__setattr__(self, "calendar_start", dt.date(self.as_of.year, 1, 1))
+
+    @classmethod
+    def today(cls, utc_offset_hours: int = SOURCE_UTC_OFFSET_HOURS, **kw) -> "Params":
+        """Parameters as of the present day in the source's zone."""
+        zone = dt.timezone(dt.timedelta(hours=utc_offset_hours))
+        return cls(as_of=dt.datetime.now(zone).date(), **kw)
 
     def with_(self, **kw) -> "Params":
         d = {k: getattr(self, k) for k in self.__dataclass_fields__}
         d.update(kw)
         return Params(**d)
-
-
-def events_params(**kw) -> Params:
-    return Params(as_of=EVENTS_AS_OF, calendar_start=EVENTS_CALENDAR_START).with_(**kw)
-
-
-def orders_params(**kw) -> Params:
-    return Params(as_of=ORDERS_AS_OF, calendar_start=dt.date(ORDERS_AS_OF.year - 1, 1, 1)).with_(**kw)

@@ -31,12 +31,14 @@ def cpc_flag(billsec: Column, sip: Column) -> Column:
     return _flag((F.coalesce(billsec, F.lit(0)) >= C.CPC_MIN_BILLSEC) & sip.isNotNull())
 
 
-def dialer_state(billsec: Column, sip: Column) -> Column:
+def dialer_state(billsec: Column, sip: Column, is_bot: Column | None = None) -> Column:
     """Documented call states. Calls the rules leave uncovered (1-3 s; or
     4-39 s with an operator) get ``OTHER``; the bot rule is not specified,
-    so ``BOT`` is never emitted."""
+    so ``BOT`` is emitted only where ``is_bot`` (given by the caller) holds for an answered call."""
     b = F.coalesce(billsec, F.lit(0))
+    bot = F.lit(False) if is_bot is None else F.coalesce(is_bot, F.lit(False))
     return (F.when(b == 0, "NO_ANSWER")
+            .when(bot, "BOT")
             .when((b > C.NOT_CONNECTED_MIN_BILLSEC) & sip.isNull(), "NO_OPERATOR")
             .when((b >= C.CPC_MIN_BILLSEC) & sip.isNotNull(), "HUMAN (CPC)")
             .otherwise("OTHER"))

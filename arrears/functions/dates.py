@@ -3,6 +3,7 @@ as plain literals so Catalyst folds them and pushes them to the scan."""
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 
 from pyspark.sql import Column
@@ -15,7 +16,7 @@ def month_start(d: dt.date) -> dt.date:
 
 def add_months(d: dt.date, n: int) -> dt.date:
     y, m = divmod(d.year * 12 + d.month - 1 + n, 12)
-    return dt.date(y, m + 1, 1) if d.day == 1 else dt.date(y, m + 1, min(d.day, 28))
+    return dt.date(y, m + 1, min(d.day, calendar.monthrange(y, m + 1)[1]))
 
 
 def month_bounds(as_of: dt.date) -> tuple[dt.date, dt.date, dt.date]:
@@ -45,12 +46,3 @@ def seconds_of_day(hms: Column) -> Column:
 def at_time(day: Column, hms: Column) -> Column:
     """Timestamp of ``day`` plus an ``HH:mm:ss`` time of day."""
     return F.timestamp_add("SECOND", seconds_of_day(hms), day.cast("timestamp_ntz"))
-
-
-def weekday_mon0(d: Column) -> Column:
-    """0 = Monday ... 6 = Sunday."""
-    return F.weekday(d)
-
-
-def is_business_day(d: Column) -> Column:
-    return F.weekday(d) < 5

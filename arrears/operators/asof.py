@@ -14,6 +14,12 @@ end and each right row at ``t`` is copied into the buckets of
 all right rows any of its windows can see. A key holding a third of all rows is spread over as
 many tasks as it has busy buckets; a narrower bucket splits it further
 (more copies of the right side, smaller groups). Exact for any width.
+
+Rows of one key bunched at one instant never reach the stream: the right
+side enters as one row per (keys, time) by partial aggregation, the left
+side as distinct (keys, time), so a group holds at most its distinct
+times. The answer per (keys, time) then joins back to the left rows, a
+plain join whose hot keys adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -47,35 +53,29 @@ def match_rows(left: DataFrame, right: DataFrame, keys: Sequence[str],
     the tolerance."""
     bucket_minutes = max(1, int(bucket_minutes))
     tol = F.expr(f"INTERVAL {int(tolerance_minutes)} MINUTES")
-    keycols = [F.col(k) for k in keys]
-    not_null = [c.isNotNull() for c in keycols]
-
-    l = (left.select(*keycols, F.col(left_id).alias("__lid"), F.col(left_ts).alias("__lts"))
-             .where(F.col("__lts").isNotNull())
-             .where(_all(not_null))
+    rows = _timed(left, keys, left_ts).select(*keys, F.col(left_ts).alias("__lts"), F.col(left_id).alias("__lid"))
+    l = (rows.select(*keys, "__lts").distinct()
              .withColumn("__t", F.col("__lts") + tol)
              .withColumn("__b", _bucket(F.col("__t"), bucket_minutes)))
     rec = F.struct(F.col(right_ts).alias("ts"), F.col(tie).alias("tie"),
                    *[F.col(c).alias(c) for c in payload])
-    r = (right.where(F.col(right_ts).isNotNull()).where(_all([F.col(k).isNotNull() for k in keys]))
-              .select(*keycols, F.col(right_ts).alias("__t"), rec.alias("__rec"))
+    r = (_timed(right, keys, right_ts).groupBy(*keys, F.col(right_ts).alias("__t")).agg(F.max(rec).alias("__rec"))
               .select(*keys, "__t", "__rec",
                       _copies(F.col("__t"), tolerance_minutes, bucket_minutes).alias("__b")))
 
     stream = (r.select(*keys, "__b", "__t", F.lit(0).alias("__kind"), "__rec",
-                       F.lit(None).cast(l.schema["__lid"].dataType).alias("__lid"),
                        F.lit(None).cast("timestamp_ntz").alias("__lts"))
               .unionByName(l.select(*keys, "__b", "__t", F.lit(1).alias("__kind"),
-                                    F.lit(None).cast(r.schema["__rec"].dataType).alias("__rec"),
-                                    "__lid", "__lts")))
+                                    F.lit(None).cast(r.schema["__rec"].dataType).alias("__rec"), "__lts")))
     w = (Window.partitionBy(*keys, "__b").orderBy("__t", "__kind")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    best = (stream.withColumn("__best", F.max("__rec").over(w))
-                  .where((F.col("__kind") == 1) & F.col("__best").isNotNull())
-                  .where(F.col("__best.ts") >= F.col("__lts") - tol))
+    best = (stream.withColumn("match", F.max("__rec").over(w))
+                  .where((F.col("__kind") == 1) & F.col("match").isNotNull())
+                  .where(F.col("match.ts") >= F.col("__lts") - tol)
+                  .select(*keys, "__lts", "match"))
     # One row per left row that has a match. A left id may occur on several
     # rows: ``latest_per_id`` keeps its overall latest match.
-    return best.select(F.col("__lid").alias(left_id), F.col("__best").alias("match"))
+    return rows.join(best, [*keys, "__lts"]).select(F.col("__lid").alias(left_id), "match")
 
 
 def latest_per_id(matches: DataFrame, left_id: str, payload: Sequence[str]) -> DataFrame:
@@ -96,11 +96,11 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return latest_per_id(rows, left_id, payload)
 
 
-def _all(conds: Sequence[Column]) -> Column:
-    out = F.lit(True)
-    for c in conds:
-        out = out & c
-    return out
+def _timed(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """Rows that can match: no key and no time is null."""
+    for c in [*keys, ts]:
+        df = df.where(F.col(c).isNotNull())
+    return df
 
 
 def count_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str,
@@ -113,24 +113,25 @@ def count_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id
     strictly before it) and at its end (rows at or before it)."""
     bucket_minutes = max(1, int(bucket_minutes))
     tol = F.expr(f"INTERVAL {int(tolerance_minutes)} MINUTES")
-    keycols = [F.col(k) for k in keys]
-    l = (left.where(_all([F.col(k).isNotNull() for k in keys] + [F.col(left_ts).isNotNull()]))
-             .select(*keycols, F.col(left_id).alias("__lid"), F.col(left_ts).alias("__lts"))
+    rows = _timed(left, keys, left_ts).select(*keys, F.col(left_ts).alias("__lts"), F.col(left_id).alias("__lid"))
+    l = (rows.select(*keys, "__lts").distinct()
              .withColumn("__b", _bucket(F.col("__lts") + tol, bucket_minutes)))
+    zero = F.lit(0).cast("bigint").alias("__n")
     starts = l.select(*keys, "__b", (F.col("__lts") - tol).alias("__t"), F.lit(0).alias("__kind"),
-                      F.lit(-1).alias("__sign"), "__lid")
+                      F.lit(-1).alias("__sign"), zero, "__lts")
     ends = l.select(*keys, "__b", (F.col("__lts") + tol).alias("__t"), F.lit(2).alias("__kind"),
-                    F.lit(1).alias("__sign"), "__lid")
-    r = (right.where(_all([F.col(k).isNotNull() for k in keys] + [F.col(right_ts).isNotNull()]))
-              .select(*keycols, F.col(right_ts).alias("__t"))
-              .select(*keys, "__t", _copies(F.col("__t"), tolerance_minutes, bucket_minutes).alias("__b"))
-              .select(*keys, "__b", "__t", F.lit(1).alias("__kind"), F.lit(0).alias("__sign"),
-                      F.lit(None).cast(l.schema["__lid"].dataType).alias("__lid")))
-    stream = starts.unionByName(ends).unionByName(r)
+                    F.lit(1).alias("__sign"), zero, "__lts")
+    r = (_timed(right, keys, right_ts).groupBy(*keys, F.col(right_ts).alias("__t"))
+              .agg(F.count(F.lit(1)).alias("__n"))
+              .select(*keys, "__t", "__n",
+                      _copies(F.col("__t"), tolerance_minutes, bucket_minutes).alias("__b"))
+              .select(*keys, "__b", "__t", F.lit(1).alias("__kind"), F.lit(0).alias("__sign"), "__n",
+                      F.lit(None).cast("timestamp_ntz").alias("__lts")))
     w = (Window.partitionBy(*keys, "__b").orderBy("__t", "__kind")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    seen = F.sum(F.when(F.col("__kind") == 1, 1).otherwise(0)).over(w)
-    marks = stream.withColumn("__seen", seen).where(F.col("__kind") != 1)
-    return (marks.groupBy(F.col("__lid").alias(left_id))
-                 .agg(F.sum(F.col("__sign") * F.col("__seen")).cast("bigint").alias(out))
-                 .where(F.col(out) > 0))
+    marks = (starts.unionByName(ends).unionByName(r)
+             .withColumn("__seen", F.sum("__n").over(w)).where(F.col("__kind") != 1)
+             .groupBy(*keys, "__lts").agg(F.sum(F.col("__sign") * F.col("__seen")).alias("__m"))
+             .where(F.col("__m") > 0))
+    return (rows.join(marks, [*keys, "__lts"]).groupBy(F.col("__lid").alias(left_id))
+                .agg(F.sum("__m").cast("bigint").alias(out)))

@@ -221,20 +221,27 @@ def high_dpd_paid(m: Model) -> DataFrame:
 
 # K16 -------------------------------------------------------------------
 def paid_by_payment_date(m: Model) -> DataFrame:
-    """Role-playing date: promise payments keyed by *payment* date with
-    that date's calendar attributes (computed from the date itself)."""
+    """Role-playing date: promise payments keyed by *payment* date with the
+    calendar's attributes of that day."""
     daily = m.fact_ptp.groupBy("payment_date").agg(money_sum("paid").alias("paid"))
-    cal = date_table(daily.select("payment_date"), "payment_date").select(
-        col("Date").alias("_d"), "Year", "MonthNumber", "YearMonthKey", "WeekOfMonth")
-    return (daily.join(cal, daily["payment_date"].eqNullSafe(cal["_d"]), "left")
+    cal = dim_date(m).select(col("Date").alias("_d"), "Year", "MonthNumber", "YearMonthKey", "WeekOfMonth")
+    return (daily.join(cal, daily["payment_date"] == cal["_d"], "left")
                  .select("payment_date", "Year", "MonthNumber", "YearMonthKey", "WeekOfMonth", "paid"))
 
 
 # CA1 -------------------------------------------------------------------
 def dim_date(m: Model) -> DataFrame:
-    """Reporting calendar from 1 January of the earliest payment year to a
-    year after as_of: one aggregate row, then one generated row per day."""
-    lo = m.fact_payments.agg(F.min("payment_date").alias("_lo"))
-    days = lo.select(F.explode(dates_between(F.make_date(F.year("_lo"), F.lit(1), F.lit(1)),
-                                             F.lit(m.po.as_of + dt.timedelta(days=365)))).alias("Date"))
+    """Reporting calendar: from 1 January of the earliest day of any source
+    date column to a year after the latest as_of, or to the latest day if
+    that is later. One aggregate row, then one generated row per day."""
+    spans = None
+    for relation, c in (("payments", "payment_date"), ("ptp_overview", "contact_date"),
+                        ("ptp_overview", "promise_date"), ("ptp_overview", "last_payment_date"),
+                        ("contact_events", "contact_date"), ("dialer_calls", "call_date")):
+        part = m.src.rel(relation).agg(F.to_date(F.min(c)).alias("_lo"), F.to_date(F.max(c)).alias("_hi"))
+        spans = part if spans is None else spans.unionByName(part)
+    end = F.lit(max(m.pe.as_of, m.po.as_of) + dt.timedelta(days=365))
+    span = spans.agg(F.min("_lo").alias("_lo"), F.greatest(F.max("_hi"), end).alias("_hi"))
+    days = span.select(F.explode(dates_between(F.make_date(F.year("_lo"), F.lit(1), F.lit(1)),
+                                               col("_hi"))).alias("Date"))
     return date_table(days)

@@ -31,13 +31,30 @@ def dialer_outcomes(m: Model) -> DataFrame:
 
 
 # M2
+SCORE_STEP, SCORE_BUCKETS = 1 / 256, 4096
+
+
 def operator_ranking(m: Model) -> DataFrame:
-    """Rank of operators by quality score. The window has no partition key:
-    its input is the per-operator score table (one row per operator, a
-    dimension-sized set), never a fact."""
+    """Rank of operators by quality score (ties share a rank, null last).
+
+    Distinct scores are counted, cut into a fixed number of score buckets,
+    ranked inside their bucket and moved up by the operators in higher
+    buckets: only the bucket totals (at most ``SCORE_BUCKETS`` + 1 rows) are
+    ever summed in one task."""
     q = kpi.quality_score(m)
-    w = Window.orderBy(col("quality_score").desc())
-    return q.select("operator_id", "quality_score", F.rank().over(w).alias("score_rank"))
+    score = col("quality_score")
+    bucket = F.when(score.isNull(), -1).otherwise(
+        F.greatest(F.least(F.floor(score / SCORE_STEP), F.lit(SCORE_BUCKETS - 1)), F.lit(0))).cast("int")
+    scores = q.groupBy("quality_score").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", bucket)
+    higher = Window.orderBy(col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    totals = scores.groupBy("_b").agg(F.sum("_n").alias("_t"))
+    totals = totals.select("_b", F.coalesce(F.sum("_t").over(higher), F.lit(0)).alias("_above"))
+    inside = (Window.partitionBy("_b").orderBy(score.desc())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    ranks = (scores.withColumn("_ahead", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+             .join(totals, "_b")
+             .select(score.alias("_s"), (col("_above") + col("_ahead") + 1).cast("int").alias("score_rank")))
+    return q.join(ranks, score.eqNullSafe(col("_s"))).select("operator_id", "quality_score", "score_rank")
 
 
 # M3

@@ -7,20 +7,22 @@ Spark reuses identical sub-plans (and their shuffles).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from arrears.config import Params, events_params, orders_params
+from arrears.config import Params
 from arrears.plans import dims, facts
+from arrears.session import checkpoint_dir
 from arrears.sources.catalog import Sources
 
 
 class Model:
-    def __init__(self, src: Sources, events: Params | None = None, orders: Params | None = None):
+    def __init__(self, src: Sources, events: Params, orders: Params | None = None):
         self.src = src
-        self.pe = events or events_params()   # dialer, contacts, operators
-        self.po = orders or orders_params()   # promises, payments, cases
+        self.pe = events              # dialer, contacts, operators
+        self.po = orders or events    # promises, payments, cases
 
     @cached_property
     def fact_dialer(self) -> DataFrame:
@@ -71,7 +73,7 @@ class Model:
         return dims.dim_commission_rules(self.src)
 
     # ------------------------------------------------------------ lineage
-    FACTS = ("fact_dialer", "fact_contacts", "fact_ptp", "fact_ptp_enriched", "fact_payments",
+    DATASETS = ("fact_dialer", "fact_contacts", "fact_ptp", "fact_ptp_enriched", "fact_payments",
              "cc_operator_activity", "fact_operator_presence", "dim_operators", "dim_cases",
              "dim_client", "dim_company", "dim_commission_rules")
 
@@ -80,22 +82,25 @@ class Model:
         session's ``spark.checkpoint.dir``, a shared folder on a cluster) and
         use those from now on: later reports start from the files, so a lost
         executor never recomputes the raw history."""
-        for n in names or self.FACTS:
+        checkpoint_dir(self.src.spark)
+        for n in names or self.DATASETS:
             self.__dict__[n] = getattr(self, n).checkpoint(eager=True)
         return self
 
 
 class StoredModel(Model):
-    """A model whose datasets are read from tables written by
-    ``sources.sink.write_gold`` (one folder per dataset) instead of being
-    computed; anything not stored is computed from ``src`` as usual."""
-
-    def __init__(self, src: Sources, gold_base: str, fmt: str = "parquet", **kw):
-        super().__init__(src, **kw)
-        from pyspark.errors import AnalysisException
-        reader = src.spark.read.format(fmt)
-        for n in self.FACTS:
-            try:
-                self.__dict__[n] = reader.load(f"{gold_base.rstrip('/')}/{n}")
-            except AnalysisException:   # not written: computed from src instead
-                pass
+    """A model that reads the named datasets from tables written by
+    ``sources.sink.write_gold`` (one folder each) and computes only the
+    others from ``src``. A named table that is missing is an error."""
+
+    def __init__(self, src: Sources, gold_base: str, names: Sequence[str], events: Params,
+                 orders: Params | None = None, fmt: str = "parquet"):
+        super().__init__(src, events, orders)
+        unknown = set(names) - set(self.DATASETS)
+        if unknown:
+            raise ValueError(f"no such datasets: {sorted(unknown)}")
+        computed = Model(src, events, orders)
+        for n in names:
+            stored = src.spark.read.format(fmt).load(f"{gold_base.rstrip('/')}/{n}")
+            # A partition column comes back last: restore the declared order.
+            self.__dict__[n] = stored.select(*getattr(computed, n).columns)

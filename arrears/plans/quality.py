@@ -12,9 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrears.plans.facts import contact_base, dialer_base
+from arrears.plans.facts import PROMISE_KEYS, activity_counts, contact_base, dialer_base, promise_base
 from arrears.plans.kpi import dim_date
+from arrears.plans.marts import operator_day
 from arrears.plans.model import Model
+from arrears.plans.views import cross_presence, union_paid_unpaid
 
 col = F.col
 
@@ -37,6 +39,11 @@ def pk_keys(m: Model) -> dict[str, tuple[DataFrame, tuple[str, ...]]]:
         "dim_operators": (m.dim_operators, ("user_id",)),
         "dim_cases": (m.dim_cases, ("case_id",)),
         "dim_client": (m.dim_client, ("client_id",)),
+        "fact_ptp": (m.fact_ptp, PROMISE_KEYS),
+        "fact_ptp_enriched": (m.fact_ptp_enriched, ("case_id", "promise_date", "payment_id")),
+        "dim_company": (m.dim_company, ("client_id",)),
+        "dim_date": (dim_date(m), ("Date",)),
+        "dim_commission_rules": (m.dim_commission_rules, ("client_id",)),
     }
 
 
@@ -58,23 +65,27 @@ def primary_keys(m: Model) -> DataFrame:
 
 # DQ2
 def fk_checks(m: Model) -> list[tuple[str, DataFrame, str, DataFrame, str]]:
-    """The key relationships of the star (fact, fk, dimension, pk)."""
+    """The key relationships of the star (fact, fk, dimension, pk). Clients
+    are looked up in the company table keyed by client, which leaves the
+    reserved client ids out."""
+    client, case, seat = (m.dim_company, "client_id"), (m.dim_cases, "case_id"), (m.dim_operators, "user_id")
     return [
-        ("case.client_id", m.dim_cases, "client_id", m.dim_client, "client_id"),
-        ("cc.user_id", m.cc_operator_activity, "user_id", m.dim_operators, "user_id"),
-        ("ptp.case_id", m.fact_ptp, "case_id", m.dim_cases, "case_id"),
-        ("ptp.client_id", m.fact_ptp, "client_id", m.dim_client, "client_id"),
-        ("ptp.operator_id", m.fact_ptp, "operator_id", m.dim_operators, "user_id"),
-        ("dialer.case_id", m.fact_dialer, "case_id", m.dim_cases, "case_id"),
-        ("dialer.client_id", m.fact_dialer, "client_id", m.dim_client, "client_id"),
-        ("dialer.operator_id", m.fact_dialer, "operator_id", m.dim_operators, "user_id"),
-        ("commission.client_id", m.dim_commission_rules, "client_id", m.dim_client, "client_id"),
-        ("presence.users_id", m.fact_operator_presence, "users_id", m.dim_operators, "user_id"),
-        ("contacts.case_id", m.fact_contacts, "case_id", m.dim_cases, "case_id"),
-        ("contacts.client_id", m.fact_contacts, "client_id", m.dim_client, "client_id"),
-        ("contacts.operator_id", m.fact_contacts, "operator_id", m.dim_operators, "user_id"),
-        ("enriched.client_id", m.fact_ptp_enriched, "client_id", m.dim_client, "client_id"),
-        ("payments.client_id", m.fact_payments, "client_id", m.dim_client, "client_id"),
+        ("case.client_id", m.dim_cases, "client_id", *client),
+        ("cc.user_id", m.cc_operator_activity, "user_id", *seat),
+        ("ptp.case_id", m.fact_ptp, "case_id", *case),
+        ("ptp.client_id", m.fact_ptp, "client_id", *client),
+        ("ptp.operator_id", m.fact_ptp, "operator_id", *seat),
+        ("dialer.case_id", m.fact_dialer, "case_id", *case),
+        ("dialer.client_id", m.fact_dialer, "client_id", *client),
+        ("dialer.operator_id", m.fact_dialer, "operator_id", *seat),
+        ("commission.client_id", m.dim_commission_rules, "client_id", *client),
+        ("presence.users_id", m.fact_operator_presence, "users_id", *seat),
+        ("contacts.case_id", m.fact_contacts, "case_id", *case),
+        ("contacts.client_id", m.fact_contacts, "client_id", *client),
+        ("contacts.operator_id", m.fact_contacts, "operator_id", *seat),
+        ("enriched.client_id", m.fact_ptp_enriched, "client_id", *client),
+        ("operator_day.users_id", operator_day(m), "users_id", *seat),
+        ("payments.client_id", m.fact_payments, "client_id", *client),
         ("client.company_id", m.dim_client, "company_id", m.src.company, "company_id"),
     ]
 
@@ -89,6 +100,7 @@ def fk_date_checks(m: Model) -> list[tuple[str, DataFrame, str]]:
         ("presence.WorkDate", m.fact_operator_presence, "WorkDate"),
         ("contacts.contact_date", m.fact_contacts, "contact_date"),
         ("enriched.payment_date", m.fact_ptp_enriched, "payment_date"),
+        ("operator_day.WorkDate", operator_day(m), "WorkDate"),
         ("payments.payment_date", m.fact_payments, "payment_date"),
     ]
 
@@ -140,6 +152,10 @@ def fanout(m: Model) -> DataFrame:
         ("fact_dialer", dialer_base(m.src, m.pe), m.fact_dialer),
         ("fact_contacts", contact_base(m.src, m.pe), m.fact_contacts),
         ("fact_payments", m.src.payments, m.fact_payments),
+        ("fact_ptp", promise_base(m.src, m.po), m.fact_ptp),
+        ("fact_ptp_enriched", union_paid_unpaid(m.src, m.po), m.fact_ptp_enriched),
+        ("cc_operator_activity", activity_counts(m.src, m.pe), m.cc_operator_activity),
+        ("fact_operator_presence", cross_presence(m.src, m.pe), m.fact_operator_presence),
     ]
     parts = []
     for name, base, fact in pairs:
@@ -162,13 +178,16 @@ DOMAINS = {
 
 
 def value_domains(m: Model) -> DataFrame:
-    """Rows whose value is null or outside the allowed set, per column."""
+    """Rows whose value is null or outside the allowed set, per column. Each
+    dataset is read once, whatever the number of its checked columns."""
     parts = []
-    for (ds, c), allowed in DOMAINS.items():
-        df = getattr(m, ds)
-        bad = col(c).isNull() | ~col(c).isin(*allowed)
-        parts.append(df.agg(F.sum(F.when(bad, 1).otherwise(0)).cast("bigint").alias("bad_rows"))
-                     .select(F.lit(f"{ds}.{c}").alias("column_name"), "bad_rows"))
+    for ds in dict.fromkeys(d for d, _ in DOMAINS):
+        columns = {c: allowed for (d, c), allowed in DOMAINS.items() if d == ds}
+        counts = getattr(m, ds).agg(*[
+            F.sum(F.when(col(c).isNull() | ~col(c).isin(*allowed), 1).otherwise(0)).cast("bigint").alias(c)
+            for c, allowed in columns.items()])
+        parts.append(counts.select(F.inline(F.array(*[
+            F.struct(F.lit(f"{ds}.{c}").alias("column_name"), col(c).alias("bad_rows")) for c in columns]))))
     return _union(parts)
 
 
@@ -207,18 +226,16 @@ def presence_completeness(m: Model) -> DataFrame:
 # DQ8
 def client_ids(m: Model) -> DataFrame:
     """Per fact: rows on the reserved client ids (1, 999) and rows whose
-    client is not in the client table."""
+    client is not in the client table. Facts are counted per client first;
+    the counts meet the client table in one join."""
     facts_ = [("fact_dialer", m.fact_dialer), ("fact_contacts", m.fact_contacts),
               ("fact_ptp", m.fact_ptp), ("fact_ptp_enriched", m.fact_ptp_enriched),
               ("fact_payments", m.fact_payments)]
-    clients = m.src.client.select(col("client_id").cast("bigint").alias("_c")).distinct()
-    parts = []
-    for name, f in facts_:
-        f = f.select(col("client_id").cast("bigint").alias("cid"))
-        j = f.join(clients.withColumn("_known", F.lit(1)), f["cid"] == clients["_c"], "left")
-        parts.append(j.agg(
-            F.sum(F.when(col("cid").isin(1, 999), 1).otherwise(0)).cast("bigint").alias("reserved_rows"),
-            F.sum(F.when(col("cid").isNotNull() & col("_known").isNull(), 1).otherwise(0))
-            .cast("bigint").alias("unknown_client_rows"))
-            .select(F.lit(name).alias("dataset"), "reserved_rows", "unknown_client_rows"))
-    return _union(parts)
+    counts = _union([f.groupBy(col("client_id").cast("bigint").alias("cid")).agg(F.count(F.lit(1)).alias("_n"))
+                     .withColumn("dataset", F.lit(name)) for name, f in facts_])
+    clients = m.src.client.select(col("client_id").cast("bigint").alias("_c"), F.lit(1).alias("_known")).distinct()
+    j = counts.join(clients, counts["cid"] == clients["_c"], "left")
+    reserved, unknown = col("cid").isin(1, 999), col("cid").isNotNull() & col("_known").isNull()
+    return j.groupBy("dataset").agg(
+        F.sum(F.when(reserved, col("_n")).otherwise(0)).cast("bigint").alias("reserved_rows"),
+        F.sum(F.when(unknown, col("_n")).otherwise(0)).cast("bigint").alias("unknown_client_rows"))

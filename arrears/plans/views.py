@@ -16,9 +16,11 @@ from arrears.operators.asof import count_within
 from arrears.operators.calendar import explode_workdays
 from arrears.operators.exists import flag_if_exists, keys_with_rows, without_match
 from arrears.plans import facts
+from arrears.plans.kpi import dim_date
 from arrears.plans.model import Model
 from arrears.sources.catalog import Sources
 from arrears.sources.schemas import SCHEMAS
+from arrears.sources.sink import with_lineage
 
 col = F.col
 
@@ -113,12 +115,62 @@ def cross_presence(src: Sources, p: Params) -> DataFrame:
 
 
 def star_join(m: Model) -> DataFrame:
-    p = m.fact_payments
+    """The star's facts against client, company, case, operator and date.
+
+    Each fact is added up by its foreign keys first; the union of these sums
+    then meets every dimension once."""
+    def part(name, df, day, operator, amount):
+        keys = [col("client_id").cast("bigint").alias("client_id"), col("case_id").cast("bigint").alias("case_id"),
+                operator.cast("bigint").alias("operator_id"), col(day).alias("day")]
+        return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                      F.sum(amount.cast("decimal(19,4)")).cast("decimal(38,4)").alias("_a"))
+                  .select(F.lit(name).alias("fact"), "client_id", "case_id", "operator_id", "day", "_n", "_a"))
+
+    none = F.lit(None)
+    x = (part("payments", m.fact_payments, "payment_date", none, col("payed_capital"))
+         .unionByName(part("dialer", m.fact_dialer, "call_date", col("operator_id"), F.lit(0)))
+         .unionByName(part("contacts", m.fact_contacts, "contact_date", col("operator_id"), F.lit(0)))
+         .unionByName(part("ptp", m.fact_ptp, "contact_date", col("operator_id"), col("promise_capital"))))
     cl = m.dim_client.select(col("client_id").alias("_cl"), "company_name")
     cs = m.dim_cases.select(col("case_id").alias("_cs"), "provider", "case_status_id")
-    return (p.join(cl, p["client_id"] == cl["_cl"], "left")
-             .join(cs, p["case_id"] == cs["_cs"], "left")
-             .select("payment_id", "company_name", "provider", "case_status_id"))
+    op = m.dim_operators.select(col("user_id").alias("_op"), "is_operator")
+    cal = dim_date(m).select(col("Date").alias("_day"), "YearMonthKey")
+    return (x.join(cl, x["client_id"] == cl["_cl"], "left")
+             .join(cs, x["case_id"] == cs["_cs"], "left")
+             .join(op, x["operator_id"] == op["_op"], "left")
+             .join(cal, x["day"] == cal["_day"], "left")
+             .groupBy("fact", "company_name", "provider", "case_status_id", "is_operator", "YearMonthKey")
+             .agg(F.sum("_n").alias("row_count"), F.sum("_a").cast("double").alias("amount")))
+
+
+def role_date(m: Model) -> DataFrame:
+    """Promises by month with the calendar joined on the contact, the promise
+    and the payment date in turn: one pass over the fact emits a row per
+    role, added up by day before the calendar is joined."""
+    roles = F.inline(F.array(*[F.struct(F.lit(c).alias("role"), col(c).alias("day"))
+                               for c in ("contact_date", "promise_date", "payment_date")]))
+    money = [F.sum(col(c).cast("decimal(19,4)")).cast("decimal(38,4)").alias(c) for c in ("promise_capital", "paid")]
+    days = (m.fact_ptp.select(roles, "promise_capital", "paid").groupBy("role", "day")
+            .agg(F.count(F.lit(1)).alias("_n"), *money))
+    cal = dim_date(m).select(col("Date").alias("_day"), "YearMonthKey", "WeekOfMonth")
+    return (days.join(cal, days["day"] == cal["_day"], "left").groupBy("role", "YearMonthKey", "WeekOfMonth")
+            .agg(F.sum("_n").alias("promises"), F.sum("promise_capital").cast("double").alias("promise_capital"),
+                 F.sum("paid").cast("double").alias("paid")))
+
+
+def bronze_landing(src: Sources, p: Params | None = None) -> DataFrame:
+    """What the landing writes, per relation: rows, declared columns, rows
+    with the lineage source and with an ingestion time."""
+    out = None
+    for name in SCHEMAS:
+        df = with_lineage(src.rel(name), f"operational.{name}")
+        part = df.agg(F.count(F.lit(1)).alias("row_count"),
+                      F.count(F.when(col("_source") == f"operational.{name}", 1)).alias("sourced_rows"),
+                      F.count("_ingested_at").alias("stamped_rows")).select(
+            F.lit(name).alias("relation"), "row_count", F.lit(len(df.columns)).alias("column_count"),
+            "sourced_rows", "stamped_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def agg_cc(src: Sources, p: Params) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from arrears.checks import oracle as Q
-from arrears.config import EVENTS_AS_OF, events_params, orders_params
+from arrears.sources.driver_dates import EVENTS_AS_OF, events_params, orders_params
 from arrears.plans import dims, facts
 from arrears.sources.catalog import DriverSources
 
@@ -21,13 +21,6 @@ Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
 
 
-def register(name: str, sql: str | None):
-    def deco(fn):
-        REGISTRY[name] = (fn, sql)
-        return fn
-    return deco
-
-
 def ev(fn, **kw) -> Builder:
     return lambda spark, d: fn(DriverSources(spark, d), events_params(**kw))
 
@@ -67,7 +60,7 @@ from arrears.plans.model import Model  # noqa: E402
 
 
 def mdl(fn) -> Builder:
-    return lambda spark, d: fn(Model(DriverSources(spark, d)))
+    return lambda spark, d: fn(Model(DriverSources(spark, d), events_params(), orders_params()))
 
 
 add("dim_date", mdl(kpi.dim_date), Q.table("dim_date"))
@@ -102,6 +95,7 @@ for _name, _fn in [
     MODEL_REPORTS[_name] = (_fn, _name)
 
 MODEL_REPORTS["star_join"] = (views.star_join, "view_star_join")
+MODEL_REPORTS["role_date"] = (views.role_date, "view_role_date")
 MODEL_REPORTS["dialer_state"] = (views.dialer_state, "view_dialer_state")
 for _name, (_fn, _cte) in MODEL_REPORTS.items():
     add(_name, mdl(_fn), Q.table(_cte))
@@ -110,7 +104,7 @@ for _name, _fn, _b in [
     ("scan_inventory", views.scan_inventory, od), ("rolling_60d", facts.contact_base, ev),
     ("month_window", views.month_window, od), ("not_in_null", views.not_in_null, od),
     ("eav_303", views.eav_303, od), ("try_cast_sip", views.try_cast_sip, ev),
-    ("interval_join_15m", views.interval_join_15m, ev),
+    ("bronze_landing", views.bronze_landing, od), ("interval_join_15m", views.interval_join_15m, ev),
     ("interval_latest", views.interval_latest, ev), ("join_norm_name", views.join_norm_name, od),
     ("join_two_hop", views.join_two_hop, od), ("exists_prev_payment", views.exists_prev_payment, od),
     ("exists_prev_month", views.exists_prev_month, od), ("anti_unpaid", views.anti_unpaid, od),

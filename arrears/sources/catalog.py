@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arrears.sources import adapters
-from arrears.sources.schemas import SCHEMAS
+from arrears.sources.schemas import SCHEMAS, validate
 
 
 class Sources:
@@ -106,7 +106,10 @@ class TableSources(Sources):
         super().__init__(spark)
         self.base = base.rstrip("/")
         self.fmt = fmt
-        self._memo.update(overrides or {})
+        for name, df in (overrides or {}).items():
+            if errors := validate(df, name):
+                raise ValueError(f"{name}: {'; '.join(errors)}")
+            self._memo[name] = df
 
     def _load(self, name: str) -> DataFrame:
         return (self.spark.read.format(self.fmt).schema(SCHEMAS[name])

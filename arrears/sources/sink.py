@@ -21,12 +21,22 @@ def with_lineage(df: DataFrame, source: str) -> DataFrame:
     return df.withColumn("_ingested_at", F.current_timestamp()).withColumn("_source", F.lit(source))
 
 
+#: Files that one day's folder gets at most (raise it for large days).
+FILES_PER_DAY = 8
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                partition_by: Iterable[str] = ()) -> None:
+                partition_by: Iterable[str] = (), files_per_partition: int = FILES_PER_DAY) -> None:
     """Overwrite-style table write. Partitioning by a date column lets later
-    reads prune whole folders (date filters become partition filters)."""
-    w = df.write.format(fmt).mode(mode)
+    reads prune whole folders (date filters become partition filters). Rows
+    are first brought together by folder and one of ``files_per_partition``
+    hash slices, so a folder gets at most that many files instead of one per
+    task, and a hot day is written by as many tasks."""
     parts = list(partition_by)
+    if parts:
+        slice_ = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
+        df = df.repartition(*parts, slice_)
+    w = df.write.format(fmt).mode(mode)
     if parts:
         w = w.partitionBy(*parts)
     w.save(path)
@@ -59,7 +69,7 @@ def land_bronze(src: Sources, out_base: str, fmt: str = "parquet", source_name:
     return written
 
 
-# Fact -> partition column for the gold layer.
+# Dataset -> partition column for the gold layer.
 GOLD_PARTITIONS = {
     "fact_dialer": "call_date",
     "fact_contacts": "contact_date",
@@ -68,11 +78,16 @@ GOLD_PARTITIONS = {
     "fact_ptp_enriched": None,
     "cc_operator_activity": "contact_date",
     "fact_operator_presence": "WorkDate",
+    "dim_operators": None,
+    "dim_cases": None,
+    "dim_client": None,
+    "dim_company": None,
+    "dim_commission_rules": None,
 }
 
 
 def write_gold(model, out_base: str, fmt: str = "parquet", names: Iterable[str] | None = None) -> list[str]:
-    """Materialise facts as tables. Later reports read these instead of
+    """Materialise facts and dimensions as tables. Later reports read these instead of
     recomputing the facts from raw relations; the written table is also the
     lineage cut (a lost executor recomputes from the table, not the raw
     history)."""

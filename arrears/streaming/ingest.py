@@ -11,13 +11,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from arrears.session import checkpoint_dir
 from arrears.sources.schemas import struct
 from arrears.sources.sink import LANDING_PARTITIONS, with_lineage
 
 
 def checkpoint_path(spark: SparkSession, *parts: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir")
-    return "/".join([base.rstrip("/"), *parts])
+    return "/".join([checkpoint_dir(spark).rstrip("/"), *parts])
 
 
 def land_stream(spark: SparkSession, name: str, in_path: str, out_path: str,

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -14,7 +15,8 @@ SF_CHECK = "/root/testdata/sf0.01"
 def spark():
     from arrears.session import build_session
     s = build_session(master="local[4]", shuffle_partitions=8,
-                      extra={"spark.driver.memory": "4g"})
+                      extra={"spark.driver.memory": "4g",
+                             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-")})
     yield s
     s.stop()
 

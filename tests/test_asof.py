@@ -91,3 +91,32 @@ def test_wide_tolerance_widens_buckets(spark):
     right = [(5, 1, 1, T0 - dt.timedelta(minutes=170), 1), (6, 1, 1, T0 - dt.timedelta(minutes=190), 2)]
     got, cnt = run(spark, left, right, 180, 60)
     assert got == {1: (5, 1)} and cnt == {1: 1}
+
+
+def test_rows_bunched_at_one_instant(spark):
+    """A third of all rows on one key and one instant: the window sees one row
+    per distinct time, and every row still gets its answer."""
+    hot = [(k, 7, 7, T0) for k in range(2000)]
+    left = hot + [(10_000 + k, k, k, T0 + dt.timedelta(minutes=k % 40)) for k in range(200)]
+    right = [(k, 7, 7, T0, k % 3) for k in range(2000)] + [
+        (20_000 + k, k, k, T0 + dt.timedelta(minutes=20), k) for k in range(200)]
+    got, cnt = run(spark, left, right, 15, 60)
+    best, counts = brute(left[1990:], right, 15)
+    assert {k: got[k] for k in best} == best and {k: cnt[k] for k in counts} == counts
+    assert all(got[k] == (1999, 1) and cnt[k] == 2000 for k in range(2000))
+    l, r = spark.createDataFrame(left, L_SCHEMA), spark.createDataFrame(right, R_SCHEMA)
+    for df in (nearest_within(l, r, ["telecom_id", "case_id"], "contact_id", "contact_date", "call_date",
+                              "uniqueid", ["campaign_id"], 15),
+               count_within(l, r, ["telecom_id", "case_id"], "contact_id", "contact_date", "call_date", 15)):
+        plan = df._jdf.queryExecution().optimizedPlan()
+        window = next(n for n in _nodes(plan) if n.nodeName() == "Window")
+        groups = df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows(
+            spark._jsparkSession, window.child())
+        assert groups.filter("telecom_id = 7 and case_id = 7").count() <= 12     # times, copies and ends
+
+
+def _nodes(plan):
+    yield plan
+    children = plan.children()
+    for k in range(children.size()):
+        yield from _nodes(children.apply(k))

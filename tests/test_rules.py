@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from arrears.config import Params
+from arrears.sources.driver_dates import events_params, orders_params
 from arrears.functions import classify as K
 from arrears.plans import dims, facts
 from util import RowSources
@@ -95,7 +96,7 @@ def test_contact_match_and_promise_dedup(spark):
         "users": [(9, "alice", "Alice A", 1, "201", D(2024, 1, 1), None)],
         "cases": [(5, 3, 1, "REF5", "CREF5", 1, 1.0, 1.0, 1, 1, D(2024, 1, 1), D(2024, 1, 1), 0)],
     })
-    rows = {r.contact_id: r for r in facts.fact_contacts(src, Params()).collect()}
+    rows = {r.contact_id: r for r in facts.fact_contacts(src, events_params()).collect()}
     assert set(rows) == {1}                      # system_user dropped, null date dropped
     r = rows[1]
     assert (r.campaign_id, r.dialer_contact_id, r.contact_channel) == (11, 7001, "WhatsApp")
@@ -115,7 +116,7 @@ def test_dims_reserved_clients_and_providers(spark):
     assert comp == [(2, "B", 5)]
     cl = sorted(tuple(r) for r in dims.dim_client(src).collect())
     assert cl == [(1, 1, "A"), (5, 2, "B"), (6, None, None), (999, 1, "A")]
-    p = Params()
+    p = events_params()
     got = sorted((r.case_id, r.provider) for r in dims.dim_cases(src, p.with_(as_of=D(2001, 7, 15))).collect())
     assert got == [(10, "B"), (11, None)]
     joined = sorted((r.case_id, r.provider or "")
@@ -141,7 +142,7 @@ def test_shared_sip_fans_out_and_area_codes(spark):
         "dialer_contact": [(1, "201", 9, t)],
         "users": [(7, "a", "A", 1, "201", D(2024, 1, 1), None), (8, "b", "B", 1, "201", D(2024, 1, 1), None)],
     })
-    rows = facts.fact_dialer(src, Params()).collect()
+    rows = facts.fact_dialer(src, events_params()).collect()
     assert sorted(r.operator_id for r in rows) == [7, 8]          # kept; DQ reports it
     assert all(r.cpc_flag == 1 and r.answered_flag == 1 for r in rows)
     phones = [("5511999",), ("5520999",), ("55",), (None,)]

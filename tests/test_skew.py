@@ -11,7 +11,7 @@ import pytest
 from arrears.checks import oracle as Q
 from arrears.checks import oracle_reports  # noqa: F401  (registers CTEs)
 from arrears.checks.compare import compare
-from arrears.config import events_params, orders_params
+from arrears.sources.driver_dates import events_params, orders_params
 from arrears.plans import facts
 from arrears.sources.adapters import RELATIONS
 from util import RowSources
@@ -118,5 +118,5 @@ def test_report_on_skewed_rows(planted_env, name):
     from arrears.plans.model import Model
     src, con = planted_env
     fn, cte_name = MODEL_REPORTS[name]
-    r = compare(fn(Model(src)), con, Q.sql(f"SELECT * FROM {cte_name}", cte_name, skip=RELATIONS))
+    r = compare(fn(Model(src, events_params(), orders_params())), con, Q.sql(f"SELECT * FROM {cte_name}", cte_name, skip=RELATIONS))
     assert r["ok"], r

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from arrears.config import events_params
+from arrears.sources.driver_dates import events_params, orders_params
 from arrears.plans import facts
 from arrears.plans.model import Model
 from arrears.sources.catalog import DriverSources, TableSources
@@ -55,7 +55,7 @@ def test_partition_pruning_on_landed_events(spark):
 
 
 def test_gold_write(spark):
-    m = Model(DriverSources(spark, SF_SMALL))
+    m = Model(DriverSources(spark, SF_SMALL), events_params(), orders_params())
     out = _scratch(spark)
     write_gold(m, out, names=["fact_dialer", "cc_operator_activity"])
     back = read_table(spark, os.path.join(out, "fact_dialer"))
@@ -73,10 +73,10 @@ def test_reports_from_gold_and_checkpoint_equal_direct(spark):
     from arrears.plans.model import StoredModel
     src = DriverSources(spark, SF_SMALL)
     out = _scratch(spark)
-    direct = Model(src)
+    direct = Model(src, events_params(), orders_params())
     write_gold(direct, out, names=["fact_dialer", "fact_contacts", "fact_operator_presence"])
-    stored = StoredModel(src, out)      # the other datasets are computed
-    ck = Model(DriverSources(spark, SF_SMALL)).checkpoint("fact_dialer", "fact_contacts")
+    stored = StoredModel(src, out, ["fact_dialer", "fact_contacts", "fact_operator_presence"], events_params(), orders_params())
+    ck = Model(DriverSources(spark, SF_SMALL), events_params(), orders_params()).checkpoint("fact_dialer", "fact_contacts")
     for fn in (kpi.dialer_score, kpi.promise_by_cc, kpi.absence):
         want = sorted(map(tuple, fn(direct).collect()), key=repr)
         assert sorted(map(tuple, fn(stored).collect()), key=repr) == want, fn.__name__

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from arrears.config import events_params
+from arrears.sources.driver_dates import events_params
 from arrears.plans import facts
 from arrears.sources.catalog import DriverSources
 from arrears.sources.schemas import struct
