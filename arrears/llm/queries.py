@@ -67,7 +67,8 @@ def op5_token_rollup(spark: SparkSession, d: str) -> DataFrame:
     counted = stage(counted.select("doc_id", "source", "lang", "n_first", "n_second",
                                    F.md5(F.coalesce("text", F.lit(""))).alias("h")), "token-counts")
     first = counted.withColumn("tokenizer", F.lit("word_bpe_49k")).withColumnRenamed("n_first", "n_tokens")
-    kept = counted.groupBy("h").agg(F.min("doc_id").alias("keep_id"))
+    # A table of its own, so that both sides of the join are exchanged and a hot hash is split.
+    kept = stage(counted.groupBy("h").agg(F.min("doc_id").alias("keep_id")), "token-kept")
     tagged = stage(first.join(kept, "h").withColumn("copy", ~F.col("doc_id").eqNullSafe(F.col("keep_id"))), "token-tags")
     live = tagged.where("not copy")
     batches = {
