@@ -53,6 +53,14 @@ add("rolling_60d_cut", ev(facts.contact_base, as_of=EVENTS_CUT_AS_OF),
 add("fact_ptp_plain_provider", od(facts.fact_ptp, provider_mode="join"), Q.table("fact_ptp_plain_provider"))
 add("dim_cases_plain_provider", od(dims.dim_cases, provider_mode="join"), Q.table("dim_cases_plain_provider"))
 
+# The documented rules where the source's code differs from them.
+for _name, _fn, _b, _kw in [
+    ("dim_operators", facts.dim_operators, ev, {"strict_sip": True}),
+    ("fact_operator_presence", facts.fact_operator_presence, ev, {"strict_sip": True, "require_inactive_status": True}),
+    ("fact_ptp_enriched", facts.fact_ptp_enriched, od, {"old_money_window": "30d"}),
+]:
+    add(f"{_name}_documented", _b(_fn, **_kw), Q.table(f"{_name}_documented"))
+
 # ---- everything else reads the shared model
 from arrears.checks import oracle_reports as R  # noqa: E402,F401  (registers CTEs)
 from arrears.plans import kpi, marts, quality, views  # noqa: E402
