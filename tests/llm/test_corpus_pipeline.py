@@ -77,3 +77,10 @@ def test_stages_take_awkward_tables(spark, rows):
             assert out.where("doc_id is null").count() == docs.where("doc_id is null").count()
         docs = out
     assert docs.count() > 0 or not rows
+
+
+def test_every_query_is_registered():
+    import __spark_entry__ as entry
+
+    names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
+    assert len(names) == 11 and {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
