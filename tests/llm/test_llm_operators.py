@@ -460,41 +460,61 @@ def test_toxicity_edges(spark, docs, rows, nothing):
 
 # ---- language-model scores
 
-def test_lm_scores_against_brute_force(spark, docs, rows, nothing):
-    target = spark.createDataFrame([(k,) for k in (1, 2, 2, 20, 21, 22, 30)] + [(None,)], "doc_id long")
-    size = 8
-    got = lm_score.lm_scores(docs, target, vocabulary=size).collect()
+def lm_brute(rows, targets):
+    """(id, words, target loss, background loss) with plain counters."""
     w = [(r[0], words(r[1])) for r in rows]
-    top = [x for x, _ in sorted(Counter(x for _, d in w for x in d).items(), key=lambda x: (-x[1], x[0]))[:size - 1]]
-    code = {x: k + 1 for k, x in enumerate(top)}
+    model = [int(i in targets) for i, _ in w]
     pair, one = [Counter(), Counter()], [Counter(), Counter()]
-    coded = [(i, [code.get(x, 0) for x in d]) for i, d in w]
-    for i, c in coded:
-        m = int(i in (1, 2, 20, 21, 22, 30))
-        pair[m].update(zip([size, *c], c))
-        one[m].update(c)
+    events = [list(zip([b"", *d], [*d, b""])) if d else [] for _, d in w]
+    for m, ev in zip(model, events):
+        pair[m].update(ev)
+        one[m].update(x for _, x in ev)
     n = [sum(x.values()) for x in one]
-    scale = [n[1] / n[0], 1.0]
-
-    def loss(m, c):
-        out = []
-        for v, x in zip([size, *c], c):
-            first = (one[m][x] * scale[m] + 1) / (n[m] * scale[m] + size)
-            out.append(-np.log((pair[m][v, x] * scale[m] + lm_score.STRENGTH * first)
-                               / (before[m][v] * scale[m] + lm_score.STRENGTH)))
-        return float(np.mean(out))
-
-    before = [Counter(), Counter()]
-    for m in (0, 1):
-        for (v, _), k in pair[m].items():
-            before[m][v] += k
-    want = sorted((i or -1, len(c), *((round(loss(1, c), 4), round(loss(0, c), 4)) if c else (0, 0))) for i, c in coded)
-    found = sorted((r["doc_id"] or -1, r["n_tokens"], round(r["loss_target"] or 0, 4),
-                    round(r["loss_background"] or 0, 4)) for r in got)
-    assert np.allclose(found, want, atol=2e-4)
+    scale, size = [n[1] / n[0], 1.0], len(one[0] | one[1])
+    out = []
+    for (i, d), own, ev in zip(w, model, events):
+        here, held, losses = Counter(ev), Counter(x for _, x in ev), []
+        for m in (1, 0):
+            k, s, total = int(m == own), scale[m], 0.0
+            for v, x in ev:
+                first = ((one[m][x] - k * held[x]) * s + 1) / ((n[m] - k * len(ev)) * s + size)
+                total -= np.log(((pair[m][v, x] - k * here[v, x]) * s + lm_score.STRENGTH * first)
+                                / ((one[m][v] - k * held[v]) * s + lm_score.STRENGTH))
+            losses.append(total / len(ev) if ev else None)
+        out.append((i, len(d), *losses))
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 500, lm_score.BLOCK_WORDS])
+def test_lm_scores_against_brute_force(spark, docs, rows, nothing, block):
+    target = spark.createDataFrame([(k,) for k in (1, 2, 2, 20, 21, 22, 30)] + [(None,)], "doc_id long")
+    got = lm_score.lm_scores(docs, target, block_words=block).collect()
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[2] or 0, 6))
+    want = sorted(lm_brute(rows, {1, 2, 20, 21, 22, 30}), key=order)
+    found = sorted(((r["doc_id"], r["n_tokens"], r["loss_target"], r["loss_background"]) for r in got), key=order)
+    assert [r[:2] for r in found] == [r[:2] for r in want]
+    for a, b in zip(found, want):
+        assert a[2:] == (None, None) if b[2] is None else a[2:] == pytest.approx(b[2:], rel=1e-9)
     assert all(r["score"] == pytest.approx((r["loss_target"] or 0) - (r["loss_background"] or 0)) for r in got)
     assert lm_score.lm_scores(nothing, target).count() == 0
-    assert all(r["score"] == 0 for r in lm_score.lm_scores(docs, target.where("false")).collect())
+    alone = lm_score.lm_scores(docs, target.where("false")).collect()
+    assert len(alone) == len(rows) and all(r["score"] == 0 and r["loss_target"] is None for r in alone)
+
+
+def test_lm_vocabulary_is_whole(spark):
+    """A word that stands in two documents of a thousand decides between the models."""
+    rows = [(k, f"common words here rare{k % 500}x end") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    target = docs.where("doc_id < 250").select("doc_id")
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(docs, target, block_words=40).collect()}
+    assert max(got[k] for k in range(500, 750)) < min(got[k] for k in range(750, 1000))
+    want = {r[0]: r[2] - r[3] for r in lm_brute(rows, set(range(250)))}
+    assert got == pytest.approx(want)
+
+
+def test_lm_packing():
+    for values in ([], [0], [-1, 2**62, 5], list(range(3000))):
+        assert lm_score.unpack(lm_score.pack(np.array(values, dtype=np.int64))).tolist() == values
 
 
 def test_lm_scores_tell_held_out_topics_apart(spark):
