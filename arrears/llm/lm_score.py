@@ -19,8 +19,8 @@ sums go back to the blocks that asked. So a word that makes up a third of the co
 a block, a task holds a bounded share of the keys, and the driver only sees three totals. Words
 and bigrams are told apart by 63-bit hashes.
 
-The target ids join the documents before the blocks are made; Spark broadcasts them only
-below its size limit.
+The target ids meet the documents' ids only, not their texts; each block then gets the places
+of its target documents.
 
 Edge cases: null and word-less texts have 0 tokens, losses null and score 0. With no target
 or no background words the losses are null and the scores 0. Null ids and ids without label
@@ -45,7 +45,7 @@ STRENGTH = 50.0
 BLOCK_WORDS = 2_000_000
 #: At most about this many keys are added up at once, and at least so many shares a shuffle partition.
 SHARE_KEYS, SHARES = 2_000_000, 4
-BLOCKS = "block string, n_keys bigint, ids binary, known binary, target binary, sizes binary, codes binary, hashes binary"
+BLOCKS = "block string, n_keys bigint, doc_ids array<bigint>, ids binary, known binary, sizes binary, codes binary, hashes binary"
 QUESTIONS = "share int, block string, keys binary, background binary, target binary"
 ANSWERS = "share int, block string, background binary, target binary, vocabulary bigint, n_background bigint, n_target bigint"
 SCORES = "id bigint, n_tokens bigint, loss_target double, loss_background double, score double"
@@ -64,38 +64,44 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view("<i8").ravel()
 
 
-def _block(ids: list, target: list, coded: list[np.ndarray], place: dict[bytes, int]) -> dict:
+def _block(ids: list, coded: list[np.ndarray], place: dict[bytes, int]) -> dict:
     codes = np.concatenate(coded)
     sizes = np.array([len(c) for c in coded], dtype=np.int64)
     hashes = np.array([xxhash.xxh64_intdigest(w) | 1 for w in place], dtype="<u8")
-    known = np.array([i is not None for i in ids])
-    return {"block": uuid.uuid4().hex, "n_keys": len(place) + len(codes), "ids": pack(np.array([i or 0 for i in ids])),
-            "known": pack(known), "target": pack(np.array(target)), "sizes": pack(sizes), "codes": pack(codes),
-            "hashes": hashes.tobytes()}
+    return {"block": uuid.uuid4().hex, "n_keys": len(place) + len(codes), "doc_ids": ids,
+            "ids": pack(np.array([i or 0 for i in ids])), "known": pack(np.array([i is not None for i in ids])),
+            "sizes": pack(sizes), "codes": pack(codes), "hashes": hashes.tobytes()}
 
 
-def blocks(marked: DataFrame, block_words: int) -> DataFrame:
-    """Blocks of whole documents (see BLOCKS) from (id, target, text). Codes number the words
-    of the block by first use; 0 is the border."""
-    kinds = {"block": pa.string(), "n_keys": pa.int64()}
+def blocks(docs: DataFrame, block_words: int) -> DataFrame:
+    """Blocks of whole documents (see BLOCKS) from (id, text). Codes number the words of the
+    block by first use; 0 is the border."""
+    kinds = {"block": pa.string(), "n_keys": pa.int64(), "doc_ids": pa.list_(pa.int64())}
     schema = pa.schema([(c.split()[0], kinds.get(c.split()[0], pa.binary())) for c in BLOCKS.split(", ")])
 
     def cut(batches):
-        ids, target, coded, n, place = [], [], [], 0, {BORDER: 0}
+        ids, coded, n, place = [], [], 0, {BORDER: 0}
         for batch in batches:
-            for i, t, text in zip(*batch.columns):
+            for i, text in zip(*batch.columns):
                 found = words(text.as_py())
                 coded.append(np.fromiter((place.setdefault(w, len(place)) for w in found), np.int64, len(found)))
                 ids.append(i.as_py())
-                target.append(t.as_py())
                 n += len(found) + 1
                 if n >= block_words:
-                    yield pa.RecordBatch.from_pylist([_block(ids, target, coded, place)], schema)
-                    ids, target, coded, n, place = [], [], [], 0, {BORDER: 0}
+                    yield pa.RecordBatch.from_pylist([_block(ids, coded, place)], schema)
+                    ids, coded, n, place = [], [], 0, {BORDER: 0}
         if ids:
-            yield pa.RecordBatch.from_pylist([_block(ids, target, coded, place)], schema)
+            yield pa.RecordBatch.from_pylist([_block(ids, coded, place)], schema)
 
-    return marked.mapInArrow(cut, BLOCKS)
+    return docs.mapInArrow(cut, BLOCKS)
+
+
+def with_targets(index: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """The blocks plus ``target``: the places of their target documents (null: none). Rows of
+    ids meet, then one row per block."""
+    places = index.select("block", F.posexplode("doc_ids").alias("place", "id")).join(target_ids, "id", "left_semi")
+    target = stage(places.groupBy("block").agg(F.collect_list("place").alias("target")), "lm-targets")
+    return index.drop("doc_ids").join(target, "block", "left")
 
 
 class Events:
@@ -106,7 +112,10 @@ class Events:
     sorts them by share."""
 
     def __init__(self, row, shares: int):
-        self.sizes, self.target = unpack(row["sizes"]), unpack(row["target"])
+        self.sizes = unpack(row["sizes"])
+        self.target = np.zeros(self.sizes.size, dtype=np.int64)
+        if row["target"] is not None:
+            self.target[np.asarray(row["target"], dtype=np.int64)] = 1
         codes, hashes = unpack(row["codes"]), np.frombuffer(row["hashes"], dtype="<u8")
         self.lengths = np.where(self.sizes > 0, self.sizes + 1, 0)
         self.doc = np.repeat(np.arange(self.sizes.size), self.lengths)
@@ -206,10 +215,8 @@ def lm_scores(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", te
 
     ``target_ids`` holds the ids of the target documents; all others are the background."""
     spark = docs.sparkSession
-    target = target_ids.select(F.col(id_col).alias("id")).distinct().withColumn("target", F.lit(1))
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(target, "id", "left").select(
-        F.col("id").cast("long"), F.coalesce("target", F.lit(0)).alias("target"), "text")
-    index = stage(blocks(marked, block_words), "lm-blocks")
+    index = stage(blocks(docs.select(F.col(id_col).cast("long"), text_col), block_words), "lm-blocks")
+    index = with_targets(index, target_ids.select(F.col(id_col).cast("long").alias("id")))
     n_keys = index.agg(F.sum("n_keys")).first()[0] or 0
     shares = max(SHARES * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // SHARE_KEYS))
     answers = stage(questions(index, shares).groupBy("share").applyInPandas(_answer, ANSWERS), "lm-answers")
