@@ -11,14 +11,17 @@ The prefix sums over a source are made from sums of 4096 hash buckets, so a sour
 third of all rows is spread over 4096 groups. Order inside a source is the MD5 of the seed
 and the id: reruns agree, in any engine.
 
-Edge cases: a null or blank text has size 0 and is taken 0 times or more with 0 words. A
-null source is a source of its own, last in order. A null id hashes as the empty string;
-repeated ids are ordered by size. An empty table gives an empty mix. Columns added by the
-operator replace input columns of the same name.
+Edge cases: a null or blank text has size 0; like any document it is taken at most
+``max_epochs`` times, rounded up, and adds no words. A null source is a source of its own,
+last in order. A null id hashes as the empty string; repeated ids are ordered by size. An
+empty table gives an empty mix. Columns added by the operator replace input columns of the
+same name.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,7 +100,8 @@ def assign(docs: DataFrame, schedule, id_col: str = "doc_id", text_col: str = "t
     rest = F.col("target") - F.col("full") * F.col("source_size")
     first = F.when(F.col("target") > 0, F.least(at / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
     return (placed.withColumn("full", full.cast("long"))
-            .withColumn("epochs", F.col("full") + F.when(at + F.col("size") / 2 <= rest, 1).otherwise(0))
+            .withColumn("epochs", F.least(F.col("full") + F.when(at + F.col("size") / 2 <= rest, 1).otherwise(0),
+                                           F.lit(ceil(max_epochs))))
             .withColumn("position", F.when(F.col("epochs") > 0, demand_time(first, F.col("w0"), F.col("w1"))))
             .select(F.col("id").alias(id_col), "d.source", "size", "source_size", "target",
                     (F.col("size") * F.col("epochs")).alias("taken"), F.col("epochs").cast("int").alias("epochs"),

@@ -18,7 +18,8 @@ along stays bounded however large the benchmark is; the passes' spans are united
 
 Edge cases: null or word-less texts give a row without matches; word-less items have no
 windows; an item shorter than the window is one window; equal windows of several items match
-for each of them. Null ids and repeated rows are kept as they are. Empty tables give empty or
+for each of them; an item without id marks its places but is neither listed nor counted in
+the digest. Null ids and repeated rows are kept as they are. Empty tables give empty or
 match-free results. Extra columns of either input are not read.
 """
 
@@ -220,10 +221,12 @@ def digest(found: DataFrame) -> DataFrame:
         out = []
         for spans in matches:
             spans = [s for s in spans if s["kind"] == "phrase"]
-            items = sorted({str(s["item_id"]) for s in spans})
+            items = sorted({s["item_id"] for s in spans if s["item_id"] is not None})
             hit = sum(b - a for a, b in _merge([(s["start"], s["end"]) for s in spans]))
             out.append((hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest()))
         return pd.DataFrame(out, columns=["n_hit", "n_items", "items_sha256"])
 
-    return found.withColumn("d", sums("matches")).select(
+    # As strings: pandas would turn ids beside a null into floats.
+    named = F.transform("matches", lambda m: m.withField("item_id", m["item_id"].cast("string")))
+    return found.withColumn("d", sums(named)).select(
         "doc_id", "n_words", "d.n_hit", "d.n_items", "d.items_sha256", (F.col("d.n_hit") > 0).alias("contaminated"))

@@ -16,7 +16,7 @@ run AS (
           FROM doc, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
 hit AS (SELECT r, item_id, k, n FROM run JOIN win USING (n, phrase)),
 place AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hit) GROUP BY r),
-held AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+held AS (SELECT r, count(id) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -30,7 +30,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of every component of near copies. Null ids are kept."""
+    """Keep the smallest id of every component of near copies. Rows that share an id are one
+    document and stay or go together. Null ids are kept."""
     gone = simhash_groups(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
