@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Byte map of the word rule ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z:
 #: digits, a-z and every non-ASCII byte stay, A-Z become a-z, the rest becomes a space.
@@ -54,6 +55,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a row key for the place in a file; the others number the files.
+ROW_BITS = 40
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """The rows with ``_row`` (long), a key of each stored row: the number of its file and its
+    place there. The same in every read, however often ids or whole rows repeat. A frame that
+    is not read straight from files is stored first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = stage(docs, "rows")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(
+        [(path, k << ROW_BITS) for k, path in enumerate(files)], "_file string, _base long")
+    return placed.join(F.broadcast(numbers), "_file").select(
+        *[F.col(f"`{c}`") for c in docs.columns], (F.col("_base") + F.col("_place")).alias("_row"))
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package from the folder the driver has it in (a cluster
     that installs the package or ships it with --py-files finds it there as well)."""

@@ -13,9 +13,10 @@ and the id: reruns agree, in any engine.
 
 Edge cases: a null or blank text has size 0; like any document it is taken at most
 ``max_epochs`` times, rounded up, and adds no words. A null source is a source of its own,
-last in order. A null id hashes as the empty string; repeated ids are ordered by size. An
-empty table gives an empty mix. Columns added by the operator replace input columns of the
-same name.
+last in order. A null id hashes as the empty string; repeated ids are ordered by size. In the
+mix every row has a key of its own, so rows with null or repeated ids are taken like any other,
+each by its own epochs. An empty table gives an empty mix. Columns added by the operator
+replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrears.llm.common import stage
+from arrears.llm.common import row_keys, stage
 
 #: Words that count towards size.
 SIZE_WORD = r"[^\x20\x09-\x0D]+"
@@ -73,11 +74,20 @@ def assign(docs: DataFrame, schedule, id_col: str = "doc_id", text_col: str = "t
 
     ``schedule(rank)`` gives the Columns (w0, w1) for a source's rank by code point.
     """
-    sized = stage(docs.select(
+    sized = stage(_sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
+    return _place(sized, schedule, max_epochs).withColumnRenamed("id", id_col)
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more: Column) -> DataFrame:
+    """id, source, size, key and bucket of every row, and further columns to carry."""
+    return docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_size(F.col(text_col)).alias("size"),
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("key"),
-    ).withColumn("bucket", F.substring("key", 1, BUCKET_HEX)), "mix-sizes")
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("key"), *more,
+    ).withColumn("bucket", F.substring("key", 1, BUCKET_HEX))
+
 
+def _place(sized: DataFrame, schedule, max_epochs: float, *more: str) -> DataFrame:
+    """``assign`` of rows from ``_sized``; the columns ``more`` are carried and break ties."""
     buckets = stage(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
     by_source = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     ranked = by_source.withColumn(
@@ -91,7 +101,7 @@ def assign(docs: DataFrame, schedule, id_col: str = "doc_id", text_col: str = "t
     starts = starts.join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(
         "b.source", "b.bucket", "start", "source_size", "target", "w0", "w1")
 
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", *more).rowsBetween(
         Window.unboundedPreceding, -1)
     placed = sized.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d").join(
         starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket")))
@@ -103,9 +113,9 @@ def assign(docs: DataFrame, schedule, id_col: str = "doc_id", text_col: str = "t
             .withColumn("epochs", F.least(F.col("full") + F.when(at + F.col("size") / 2 <= rest, 1).otherwise(0),
                                            F.lit(ceil(max_epochs))))
             .withColumn("position", F.when(F.col("epochs") > 0, demand_time(first, F.col("w0"), F.col("w1"))))
-            .select(F.col("id").alias(id_col), "d.source", "size", "source_size", "target",
+            .select("id", "d.source", "size", "source_size", "target",
                     (F.col("size") * F.col("epochs")).alias("taken"), F.col("epochs").cast("int").alias("epochs"),
-                    "position", at.alias("offset"), "w0", "w1"))
+                    "position", at.alias("offset"), "w0", "w1", *more))
 
 
 def expand(assigned: DataFrame) -> DataFrame:
@@ -116,12 +126,14 @@ def expand(assigned: DataFrame) -> DataFrame:
     return used.withColumn("position", demand_time(u, F.col("w0"), F.col("w1")))
 
 
-def mix(docs: DataFrame, schedule, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The training mix: every input column of each used document, once per use, with
-    ``epoch`` and ``position``, range-sorted by position. A null id is used once at most:
-    its row cannot be told from others, so it joins null-safely with its own kind."""
-    uses = stage(expand(assign(docs, schedule, id_col, **kw)).select(
-        F.col(id_col).alias("_id"), "epoch", "position"), "mix-uses")
-    rows = docs.drop("epoch", "position")
-    joined = rows.join(uses, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
-    return joined.orderBy("position", id_col, "epoch")
+def mix(docs: DataFrame, schedule, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        max_epochs: float = 3.0, seed: int = 42) -> DataFrame:
+    """The training mix: every input column of each used row, once per use, with ``epoch`` and
+    ``position``. Sizes and uses go by a key of the stored row, never by its id."""
+    names = [c for c in docs.columns if c not in ("epoch", "position")]
+    rows = row_keys(docs.select(*[f"`{c}`" for c in names]) if len(names) < len(docs.columns) else docs)
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_tie")
+    sized = stage(_sized(rows, id_col, text_col, source_col, seed, tie, F.col("_row")), "mix-sizes")
+    uses = stage(expand(_place(sized, schedule, max_epochs, "_tie", "_row")).select("_row", "epoch", "position"),
+                 "mix-uses")
+    return rows.join(uses, "_row").drop("_row").orderBy("position", id_col, "epoch")

@@ -161,6 +161,20 @@ def test_mix_order_and_repeats(spark):
     assert Counter(r["doc_id"] for r in out) == Counter({k: v for k, v in placed.items() if v})
 
 
+def test_mix_takes_every_row_by_its_own_epochs(spark):
+    rows = [(None if k % 3 == 0 else -7 if k % 3 == 1 else k, f"t{k} " + "w " * (k % 7 + 1), "ab"[k % 2]) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = curriculum.mix(docs, repeating_weights).collect()
+    uses = Counter(r["text"] for r in out)
+    assert max(uses.values()) <= 3 and set(uses) <= {r[1] for r in rows}
+    assert len({(r["text"], r["epoch"]) for r in out}) == len(out)
+    placed = curriculum.assign(docs, repeating_weights).collect()
+    assert len(out) == sum(r["epochs"] for r in placed)
+    target = {r["source"]: r["target"] for r in placed}
+    for s, want in target.items():
+        assert abs(sum(len(PLAIN.findall(r["text"])) for r in out if r["source"] == s) - want) <= 9
+
+
 # ---- licences
 
 def test_license_scan(docs, rows, nothing):
