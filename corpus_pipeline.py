@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrears.llm.common import stage, table
+from arrears.llm.common import row_keys, stage, table
 from arrears.llm.curriculum import mix
 from arrears.llm.decontaminate import decontaminate
 from arrears.llm.queries import MAX_EPOCHS, N_SHARDS, repeating_weights
@@ -30,17 +30,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of every component of near copies. Rows that share an id are one
-    document and stay or go together. Null ids are kept."""
-    gone = simhash_groups(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of every component of near copies: the smallest id, and of rows that share
+    it the first stored. Decisions go by row, so an id may occur in several components. Rows
+    without id are all kept (a rule of the tests)."""
+    rows = row_keys(docs)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    groups = simhash_groups(rows.withColumn("_rank", rank), "_rank")
+    gone = groups.where("_rank._row <> component_id._row and not _rank.no_id").select("_rank._row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents with a benchmark passage. Null ids are kept."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = stage(found.where(F.size("matches") > 0).select("doc_id"), "contaminated")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Drop the rows with a benchmark passage, by row: ids may be null or shared."""
+    rows = row_keys(docs)
+    found = decontaminate(rows, table(spark, sf_dir, "benchmark"), "_row")
+    hit = stage(found.where(F.size("matches") > 0).select(F.col("doc_id").alias("_row")), "contaminated")
+    return rows.join(hit, "_row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """The pipeline against brute force, stage by stage, and on awkward tables."""
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
-from corpus_pipeline import STAGES, run
+from corpus_pipeline import STAGES, drop_benchmark, near_dedup, run
 
 from arrears.llm import toxicity
 from tests.llm.test_llm_operators import SCHEMA, awkward, brute_components, brute_hits, brute_print
@@ -79,6 +80,33 @@ def test_stages_take_awkward_tables(spark, rows):
     assert docs.count() > 0 or not rows
 
 
+def text_of(seed, n=40):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def with_ids(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_dedup_goes_by_row(spark):
+    a, b, c = text_of(1), text_of(2), text_of(3)
+    # Repeats of the kept id go; id 4 holds two texts, of which one is a copy of 3 and the other the least of its group.
+    docs = with_ids(spark, [(1, a), (1, a), (1, a), (2, a), (3, b), (4, b), (4, c), (5, c), (None, a)])
+    got = Counter((r["doc_id"], r["text"]) for r in near_dedup(spark, docs, SMALL).collect())
+    assert got == Counter([(1, a), (3, b), (4, c), (None, a)])
+
+
+def test_benchmark_passages_go_by_row(spark):
+    items = [r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    passage = max((t for t in items if t), key=len)
+    clean = text_of(4)
+    docs = with_ids(spark, [(None, clean), (None, passage), (1, clean), (1, f"{clean} {passage}"), (2, passage)])
+    got = Counter((r["doc_id"], r["text"]) for r in drop_benchmark(spark, docs, SMALL).collect())
+    assert got == Counter([(None, clean), (1, clean)])
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as entry
 
