@@ -107,21 +107,29 @@ def _phrase(lists: list[tuple[np.ndarray, int]]) -> np.ndarray:
     return at
 
 
-def _near(lists: list[np.ndarray], reach: int) -> list[tuple[int, int]]:
-    """Spans of at most ``reach`` words that hold a place of every list. Each place of the
-    rarest list is tried with every window start that could cover it."""
+def _near(lists: list[np.ndarray], reach: int, starts: np.ndarray) -> list[tuple[int, int]]:
+    """Spans of at most ``reach`` words of one document that hold a place of every list. Each
+    place of the rarest list is tried with every window start that could cover it; places that
+    miss a list in their document and reach are left out beforehand, all at once."""
     lists = sorted(lists, key=lambda x: x.size)
+    at = lists[0]
+    doc = np.searchsorted(starts, at, side="right") - 1
+    low = np.maximum(at - reach + 1, starts[doc]).astype(at.dtype)
+    high = np.minimum(at + reach, starts[doc + 1] - 1).astype(at.dtype)
+    for x in lists[1:]:
+        if not at.size:
+            break
+        held = np.searchsorted(x, low) < np.searchsorted(x, high)
+        at, low, high = at[held], low[held], high[held]
+    ranges = [(np.searchsorted(x, low).tolist(), np.searchsorted(x, high).tolist()) for x in lists]
     out = []
-    for p in lists[0].tolist():
-        near = [x[np.searchsorted(x, p - reach + 1):np.searchsorted(x, p + reach)] for x in lists]
-        if all(x.size for x in near):
-            for a in sorted({int(v) for x in near for v in x if v <= p}):
-                ends = [x[np.searchsorted(x, a):] for x in near]
-                last = max((int(e[0]) for e in ends if e.size), default=a)
-                last = max(last, p)
-                if all(e.size for e in ends) and last - a < reach:
-                    out.append((a, last + 1))
-                    break
+    for k, p in enumerate(at.tolist()):
+        near = [x[i[k]:j[k]].tolist() for x, (i, j) in zip(lists, ranges)]
+        for a in sorted({v for x in near for v in x if v <= p}):
+            ends = [next((v for v in x if v >= a), None) for x in near]
+            if None not in ends and max(*ends, p) - a < reach:
+                out.append((a, max(*ends, p) + 1))
+                break
     return out
 
 
@@ -159,7 +167,7 @@ def search_block(row: dict, windows: dict, proximity: bool, slop: int):
             note(at, at + len(window), "phrase", items)
         if proximity:
             distinct = [postings[bounds[t]:bounds[t + 1]] for t in dict.fromkeys(terms)]
-            for a, b in _near(distinct, len(window) + slop):
+            for a, b in _near(distinct, len(window) + slop, starts):
                 note(a, b, "near", items)
     return {k: _merge(v) for k, v in found.items()}, starts
 

@@ -257,6 +257,15 @@ def test_proximity(spark):
     assert spans == {1: [(0, 4, "near")], 2: [(0, 7, "near")], 3: [], 4: []}
 
 
+def test_proximity_at_a_document_border(spark):
+    docs = spark.createDataFrame([(1, "lemon x the"), (2, "big red the apple tree"), (3, "tree")],
+                                 "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(9, "the red big apple tree")], "item_id long, text string")
+    found = decontaminate.decontaminate(docs, items, proximity=True).collect()
+    spans = {r["doc_id"]: [(m["start"], m["end"], m["kind"]) for m in r["matches"]] for r in found}
+    assert spans == {1: [], 2: [(0, 5, "near")], 3: []}
+
+
 # ---- SimHash
 
 def brute_print(text):
