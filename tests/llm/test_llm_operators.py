@@ -116,6 +116,24 @@ def test_shard_is_a_uniform_shuffle(spark, nothing):
     assert sharding.shard(nothing, 3).count() == 0
 
 
+def test_shard_spreads_repeats(spark):
+    """Uses of a document, and a row that is a third of all, go where chance sends them."""
+    rows = [(k, f"t{k}") for k in range(800) for _ in range(3)] + [(None, "hot")] * 1200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sharding.shard(docs, 4, partitions=9).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+    uses, slots = defaultdict(list), defaultdict(list)
+    for r in got:
+        uses[r["doc_id"]].append((r["shard"], r["slot"]))
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(900)) for v in slots.values())
+    hot = uses.pop(None)
+    assert all(abs(sum(s == k for s, _ in hot) - 300) < 75 for k in range(4))
+    assert sum((s, t + 1) in set(hot) for s, t in hot) < 600  # by chance a third, 400
+    assert 20 < sum(len({s for s, _ in v}) == 1 for v in uses.values()) < 90  # by chance a sixteenth, 50
+    assert sum((s, t + 1) in v for v in uses.values() for s, t in v) < 20
+
+
 # ---- mixing
 
 def fill(sizes, weights, cap):
