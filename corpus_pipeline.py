@@ -41,9 +41,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the rows with a benchmark passage, by row: ids may be null or shared."""
+    """Drop the rows with a benchmark passage, exact or near (its words within a few more, in
+    any order), by row: ids may be null or shared."""
     rows = row_keys(docs)
-    found = decontaminate(rows, table(spark, sf_dir, "benchmark"), "_row")
+    found = decontaminate(rows, table(spark, sf_dir, "benchmark"), "_row", proximity=True)
     hit = stage(found.where(F.size("matches") > 0).select(F.col("doc_id").alias("_row")), "contaminated")
     return rows.join(hit, "_row", "left_anti").select(*docs.columns)
 

@@ -107,6 +107,16 @@ def test_benchmark_passages_go_by_row(spark):
     assert got == Counter([(None, clean), (1, clean)])
 
 
+def test_near_passages_go(spark):
+    items = [r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    passage = max((t for t in items if t), key=len).split()
+    lightly = " ".join(w for k in range(0, len(passage), 6) for w in (*passage[k:k + 6], "qqqq"))
+    turned = " ".join(w for k in range(0, len(passage), 2) for w in passage[k:k + 2][::-1])
+    far = " ".join(f"{w} qqqq qqqq" for w in passage)
+    docs = with_ids(spark, [(1, f"{text_of(5)} {lightly}"), (2, turned), (3, far), (4, text_of(6))])
+    assert {r["doc_id"] for r in drop_benchmark(spark, docs, SMALL).collect()} == {3, 4}
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as entry
 
