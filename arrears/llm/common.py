@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -47,11 +48,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,18 +60,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 ROW_BITS = 40
 
 
-def row_keys(docs: DataFrame) -> DataFrame:
-    """The rows with ``_row`` (long), a key of each stored row: the number of its file and its
-    place there. The same in every read, however often ids or whole rows repeat. A frame that
-    is not read straight from files is stored first."""
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, longer by underscores where a column of the frame has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_keys(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of each stored row (long), and the key's name, which no column has:
+    the number of its file and its place there. The same in every read, however often ids or
+    whole rows repeat. A frame that is not read straight from files is stored first."""
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = stage(docs, "rows")
-    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
-    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
-    numbers = docs.sparkSession.createDataFrame(
-        [(path, k << ROW_BITS) for k, path in enumerate(files)], "_file string, _base long")
-    return placed.join(F.broadcast(numbers), "_file").select(
-        *[F.col(f"`{c}`") for c in docs.columns], (F.col("_base") + F.col("_place")).alias("_row"))
+    key, path, base = (free_name(docs, x) for x in ("_row", "_path", "_base"))
+    stored = docs.metadataColumn("_metadata")
+    placed = docs.select("*", stored["file_path"].alias(path), stored["row_index"].alias(key))
+    # As the rows name their files: without the empty host of a path's URI.
+    files = sorted({re.sub(r"^([^:/]+):///", r"\1:/", f) for f in docs.inputFiles()})
+    numbers = docs.sparkSession.createDataFrame([(f, k << ROW_BITS) for k, f in enumerate(files)],
+                                                f"`{path}` string, `{base}` bigint")
+    known = F.coalesce(F.col(base), F.raise_error(F.concat(F.lit("unknown file "), F.col(path))).cast("bigint"))
+    return placed.join(numbers, path, "left").select(
+        *[F.col(f"`{c}`") for c in docs.columns], (known + F.col(key)).alias(key)), key
 
 
 def importable(spark: SparkSession) -> None:

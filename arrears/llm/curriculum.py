@@ -131,9 +131,9 @@ def mix(docs: DataFrame, schedule, id_col: str = "doc_id", text_col: str = "text
     """The training mix: every input column of each used row, once per use, with ``epoch`` and
     ``position``. Sizes and uses go by a key of the stored row, never by its id."""
     names = [c for c in docs.columns if c not in ("epoch", "position")]
-    rows = row_keys(docs.select(*[f"`{c}`" for c in names]) if len(names) < len(docs.columns) else docs)
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_tie")
-    sized = stage(_sized(rows, id_col, text_col, source_col, seed, tie, F.col("_row")), "mix-sizes")
-    uses = stage(expand(_place(sized, schedule, max_epochs, "_tie", "_row")).select("_row", "epoch", "position"),
+    rows, key = row_keys(docs.select(*[f"`{c}`" for c in names]) if len(names) < len(docs.columns) else docs)
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("tie")
+    sized = stage(_sized(rows, id_col, text_col, source_col, seed, tie, F.col(key).alias("row")), "mix-sizes")
+    uses = stage(expand(_place(sized, schedule, max_epochs, "tie", "row")).select(F.col("row").alias(key), "epoch", "position"),
                  "mix-uses")
-    return rows.join(uses, "_row").drop("_row").orderBy("position", id_col, "epoch")
+    return rows.join(uses, key).drop(key).orderBy("position", id_col, "epoch")

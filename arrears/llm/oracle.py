@@ -78,3 +78,77 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * us
        END END AS position
 FROM f
 """
+
+HARD_NEGATIVES = """
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q,
+           CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS id, a.label = b.label AS alike,
+           CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM v AS a, v AS b WHERE a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (
+    SELECT * FROM s WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id, br) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.ar, p.br ORDER BY s.score DESC, s.id, s.br) AS INTEGER) AS rank,
+       s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.ar = s.ar AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.ar, p.br ORDER BY s.score DESC, s.id, s.br) <= 10
+"""
+
+
+def _tree(name: str, source: str, depth: int) -> str:
+    """Levels of the trees over ``source`` (t, i, h: tree, place, digest) with the siblings of
+    every node (left, right; step: whether there is a level above)."""
+    out = [f"{name}0 AS MATERIALIZED (SELECT t, i, h, count(*) OVER (PARTITION BY t) AS n FROM {source})"]
+    for k in range(depth):
+        out.append(f"""{name}s{k} AS MATERIALIZED (
+            SELECT t, i, n > 1 AS step, CASE WHEN n > 1 THEN coalesce(lag(h, 2) OVER w, '') || coalesce(lag(h) OVER w, '') END AS l,
+                   CASE WHEN n > 1 THEN coalesce(lead(h) OVER w, '') || coalesce(lead(h, 2) OVER w, '') END AS r
+            FROM {name}{k} WINDOW w AS (PARTITION BY t, i // 3 ORDER BY i))""")
+        out.append(f"""{name}{k + 1} AS MATERIALIZED (
+            SELECT t, i // 3 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h,
+                   (any_value(n) + 2) // 3 AS n FROM {name}{k} GROUP BY t, i // 3)""")
+    return ",\n".join(out)
+
+
+def merkle(depth: int = 14, groups_depth: int = 6) -> str:
+    """Levels written out one by one: up to 3 ** depth documents a source, 3 ** groups_depth sources."""
+    field = lambda f, size: f"coalesce(CAST({size}(CAST({f} AS VARCHAR)) AS VARCHAR) || ':' || CAST({f} AS VARCHAR), '-')"
+    head = " || ".join(field(f, "strlen") for f in ("doc_id", "source", "lang", "n_chars"))
+    layers = []
+    for k in range(depth + groups_depth):  # one step towards the root each
+        s, place = (f"as{k}", f"s.t = f.t AND s.i = f.i // {3 ** k}") if k < depth else (
+            f"bs{k - depth}", f"s.i = f.gi // {3 ** (k - depth)}")
+        layers.append(f"""f{k + 1} AS MATERIALIZED (
+            SELECT f.doc_id, f.leaf, f.t, f.i, f.gi, f.subroot, f.proof || coalesce(s.l || s.r, '') AS proof,
+                   CASE WHEN s.step THEN sha256(s.l || f.fold || s.r) ELSE f.fold END AS fold
+            FROM f{k} AS f JOIN {s} AS s ON {place})""")
+    return f"""
+WITH bits AS (
+    SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY k) AS crc
+    FROM (SELECT unnest(range(256)) AS k)),
+leaf AS MATERIALIZED (
+    SELECT doc_id, source, sha256({head} || {field("text", "strlen")}) AS leaf,
+           CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                    lambda c: CAST(ord(c) AS BIGINT))), lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) % 2 = 0
+                THEN sha256({head} || {field("replace(text, chr(10), '')", "strlen")}) END AS changed
+    FROM documents, bits),
+d AS (
+    SELECT *, coalesce('=' || source, '') AS t, coalesce(changed, leaf) AS seen,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaf),
+x AS (SELECT t, i, leaf AS h FROM d),
+{_tree("a", "x", depth)},
+g AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, h FROM a{depth}),
+y AS (SELECT '' AS t, i, h FROM g),
+{_tree("b", "y", groups_depth)},
+f0 AS MATERIALIZED (
+    SELECT d.doc_id, d.leaf, d.t, d.i, g.i AS gi, g.h AS subroot, '' AS proof, d.seen AS fold FROM d JOIN g ON g.t = d.t),
+{", ".join(layers)}
+SELECT doc_id, leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root.h AS verified
+FROM f{len(layers)}, b{groups_depth} AS root
+"""

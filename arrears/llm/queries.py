@@ -11,8 +11,11 @@ from arrears.llm.common import fresh_path, stage, table
 from arrears.llm.curriculum import assign
 from arrears.llm.decontaminate import decontaminate, digest
 from arrears.llm.exact_dedup import exact_dedup
+from arrears.llm.hard_negatives import hard_negatives, prepare
 from arrears.llm.license_scan import license_scan
 from arrears.llm.lm_score import lm_scores
+from arrears.llm.merkle import manifest
+from arrears.llm.packing import pack, piece_digests
 from arrears.llm.shard import shard
 from arrears.llm.simhash import simhash_groups
 from arrears.llm.token_file import read_documents, starts, write_token_files
@@ -111,7 +114,28 @@ def op10_shard(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    return piece_digests(pack(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
+
+
+def op12_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(prepare(table(spark, d, "embeddings"), label=label), F.col("id") % 100 == 0)
+
+
+def op13_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Every second document, by the checksum of its id, is checked after it lost its line ends."""
+    hit = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    changed = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    siblings = F.transform("steps", lambda s: F.concat(s["left"], s["right"]))
+    return manifest(table(spark, d, "documents"), changed).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(siblings, ""), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_token_files, op3_license_scan, op4_toxicity, op5_token_rollup, op6_mix,
-    op7_lm_scores, op8_simhash, op9_exact_dedup, op10_shard)}
-ORACLE_SQL = {"op1_decontaminate": oracle.DECONTAMINATE, "op6_mix": oracle.MIX, "op9_exact_dedup": oracle.EXACT_DEDUP}
+    op7_lm_scores, op8_simhash, op9_exact_dedup, op10_shard, op11_best_fit_packing, op12_hard_negatives,
+    op13_merkle_manifest)}
+ORACLE_SQL = {"op1_decontaminate": oracle.DECONTAMINATE, "op6_mix": oracle.MIX, "op9_exact_dedup": oracle.EXACT_DEDUP,
+              "op12_hard_negatives": oracle.HARD_NEGATIVES, "op13_merkle_manifest": oracle.merkle()}

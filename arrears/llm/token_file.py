@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrears.llm.tokens import definition, piece_encoder
+from arrears.llm.tokens import definition, text_encoder
 
 LENGTH = 1024
 BATCH_SEQUENCES = 256
@@ -88,7 +88,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     spark, spec = docs.sparkSession, definition(tokenizer_path)
 
     def write(batches) -> Iterator[pa.RecordBatch]:
-        encoder, file, task, k = piece_encoder(spec), None, TaskContext.get().partitionId(), 0
+        encoder, file, task, k = text_encoder(spec), None, TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:
             rows = []

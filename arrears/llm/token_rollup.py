@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrears.llm.tokens import definition, piece_encoder
+from arrears.llm.tokens import definition, text_encoder
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
@@ -32,7 +32,7 @@ def piece_counts(docs: DataFrame, tokenizer_path: str, out_col: str, text_col: s
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        encoder = piece_encoder(spec)
+        encoder = text_encoder(spec)
         return pd.Series([len(x) // encoder.dtype.itemsize for x in encoder.encode([t.encode() if t else None for t in texts])], dtype="int64")
 
     return docs.withColumn(out_col, count(F.col(text_col)))

@@ -1,8 +1,10 @@
 """Token ids of whole texts by the tokenizers library, with caches.
 
-The ids of a text are the ids of its white-space separated pieces in order, provided that the
-pre-tokenizer splits or drops white space and no special token holds any. Pieces already seen
-come from a cache that all tasks of a Python worker share.
+``text_encoder`` picks the way from the tokenizer's definition. Where white space is dropped,
+the ids of a text are those of its white-space separated pieces in order (``PieceEncoder``).
+Where a byte-level tokenizer keeps it, they are those of its runs of white space with the word
+after them (``SpacedEncoder``). Any other tokenizer gets whole texts (``WholeEncoder``). What
+has been seen comes from a cache that all tasks of a Python worker share.
 
 A tokenizer whose pipeline is NFC, white space, lower case / one split pattern / byte level /
 BPE gets a shorter way for pieces of Latin letters: the pattern cuts them here and the
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -114,10 +117,104 @@ class PieceEncoder:
         return ids
 
 
+class WholeEncoder:
+    """ids of texts by the library's whole pipeline."""
+
+    def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([(t or b"").decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+
+
+#: Characters of Unicode's White_Space property (fixed values).
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+class SpacedEncoder(WholeEncoder):
+    """Byte-level BPE that keeps white space. The split never joins a character to white space
+    after it, so a run of white space with the word after it has the same ids on its own. Texts
+    that hold a special token take the whole pipeline."""
+
+    def __init__(self, definition: str):
+        super().__init__(definition)
+        self.special = [t["content"] for t in json.loads(definition).get("added_tokens", [])]
+        self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        out = []
+        for t in texts:
+            text = (t or b"").decode()
+            if any(s in text for s in self.special):
+                out += super().encode([t])
+                continue
+            found = self.chunks(text)
+            try:
+                out.append(b"".join(map(self.known.__getitem__, found)))
+            except KeyError:
+                if len(self.known) > CACHE_PIECES:  # the first chunks seen are the common ones
+                    self.known = dict(islice(self.known.items(), CACHE_PIECES // 2))
+                out.append(b"".join([self.known.get(c) or self._learn(c) for c in found]))
+        return out
+
+    def _learn(self, chunk: str) -> bytes:
+        ids = b"".join([self.parts.get(p) or self._part(p) for p, _ in self.split(chunk)])
+        self.known[chunk] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        if len(self.parts) > CACHE_PIECES:
+            self.parts = dict(islice(self.parts.items(), CACHE_PIECES // 2))
+        ids = array(self.code, [t.id for t in self.model.tokenize(part)]).tobytes()
+        self.parts[part] = ids
+        return ids
+
+
+#: Steps that work inside a word only, and pre-tokenizers that drop white space.
+INSIDE = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "BertNormalizer"}
+DROPS = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
+
+
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    return [] if not part else part.get(inner) or [part]
+
+
+def drops_white_space(spec: dict) -> bool:
+    """Whether the ids of a text are those of its white-space separated pieces."""
+    if any(set(t["content"]) & set(" \t\n\v\f\r") or t.get("lstrip") or t.get("rstrip") or t.get("single_word")
+           for t in spec.get("added_tokens", [])):
+        return False
+    if split_pattern(spec) is not None:
+        return True
+    before = _steps(spec.get("pre_tokenizer"), "pretokenizers")
+    return bool(before) and before[0].get("type") in DROPS and all(
+        s.get("type") in INSIDE for s in _steps(spec.get("normalizer"), "normalizers"))
+
+
+def keeps_words_apart(spec: dict) -> bool:
+    """Whether a tokenizer is byte-level BPE with the library's own split and nothing before it."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    return (spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+            and not before.get("add_prefix_space") and model.get("type") == "BPE" and not model.get("dropout")
+            and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])))
+
+
 @lru_cache(maxsize=4)
-def piece_encoder(definition: str) -> PieceEncoder:
-    """The worker's encoder of a tokenizer."""
-    return PieceEncoder(definition)
+def text_encoder(definition: str):
+    """The worker's encoder of a tokenizer: ``encode(texts)`` and ``dtype``."""
+    spec = json.loads(definition)
+    if drops_white_space(spec):
+        return PieceEncoder(definition)
+    return SpacedEncoder(definition) if keeps_words_apart(spec) else WholeEncoder(definition)
 
 
 def definition(path: str) -> str:
