@@ -31,22 +31,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of every component of near copies: the smallest id, and of rows that share
-    it the first stored. Decisions go by row, so an id may occur in several components. Rows
-    without id are all kept (a rule of the tests)."""
-    rows = row_keys(docs)
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
-    groups = simhash_groups(rows.withColumn("_rank", rank), "_rank")
-    gone = groups.where("_rank._row <> component_id._row and not _rank.no_id").select("_rank._row")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    it the first stored; rows without id come last. Decisions go by row, so an id may be null or
+    occur in several components."""
+    rows, key = row_keys(docs)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(key).alias("row"))
+    groups = simhash_groups(rows.select(rank.alias("rank"), "text"), "rank")
+    gone = groups.where("rank.row <> component_id.row").select(F.col("rank.row").alias(key))
+    return rows.join(gone, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the rows with a benchmark passage, exact or near (its words within a few more, in
-    any order), by row: ids may be null or shared."""
-    rows = row_keys(docs)
-    found = decontaminate(rows, table(spark, sf_dir, "benchmark"), "_row", proximity=True)
-    hit = stage(found.where(F.size("matches") > 0).select(F.col("doc_id").alias("_row")), "contaminated")
-    return rows.join(hit, "_row", "left_anti").select(*docs.columns)
+    """Drop the rows with a benchmark passage, exact or near (its words, each as often as in the
+    passage, within a few more, in any order), by row: ids may be null or shared."""
+    rows, key = row_keys(docs)
+    found = decontaminate(rows.select(F.col(key).alias("row"), "text"), table(spark, sf_dir, "benchmark"), "row", proximity=True)
+    hit = stage(found.where(F.size("matches") > 0).select(F.col("doc_id").alias(key)), "contaminated")
+    return rows.join(hit, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
