@@ -26,6 +26,7 @@ import numpy as np
 import regex
 
 CACHE_PIECES = 400_000
+SPACED_PARTS = 700_000
 #: Characters below this one take the short way; their case and letter rules are stable.
 LATIN_END = "ɐ"
 
@@ -132,23 +133,50 @@ class WholeEncoder:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
 
-#: Characters of Unicode's White_Space property (fixed values).
+#: Fixed value: characters of Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def latin_split() -> re.Pattern:
+    """The split of byte-level BPE (letters, digits, others, each with one space before; endings
+    after an apostrophe; white space but for the last before a word) with plain classes of the
+    characters below ``LATIN_END``, which the re module matches fast."""
+    kinds: dict[str, str] = {}
+    for c in map(chr, range(ord(LATIN_END))):
+        kinds[unicodedata.category(c)[0]] = kinds.get(unicodedata.category(c)[0], "") + re.escape(c)
+    letters, digits, white = kinds["L"], kinds["N"], "\t-\r \x85\xa0"
+    return re.compile(f" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{digits}]+| ?[^{white}{letters}{digits}]+"
+                      f"|[{white}]+(?![^{white}])|[{white}]+")
+
+
+class _Known(dict):
+    """ids of what has been seen; anything else is learned on the way."""
+
+    def __init__(self, learn, seen=()):
+        super().__init__(seen)
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self[key] = self.learn(key)
+        return ids
+
+
 class SpacedEncoder(WholeEncoder):
-    """Byte-level BPE that keeps white space. The split never joins a character to white space
-    after it, so a run of white space with the word after it has the same ids on its own. Texts
-    that hold a special token take the whole pipeline."""
+    """Byte-level BPE that keeps white space. Latin texts are split here and the library's BPE
+    model merges each part. The split never joins a character to white space
+    after it, so in other texts a run of white space with the word after it goes to the library
+    on its own. Texts that hold a special token go there whole."""
 
     def __init__(self, definition: str):
         super().__init__(definition)
         self.special = [t["content"] for t in json.loads(definition).get("added_tokens", [])]
+        self.wide = re.compile(f"[{LATIN_END}-\U0010ffff]").search
         self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-        self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
+        self.cut = latin_split().findall
+        self.split, self.merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.known, self.parts = _Known(self._chunk), _Known(self._part)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         out = []
@@ -156,27 +184,30 @@ class SpacedEncoder(WholeEncoder):
             text = (t or b"").decode()
             if any(s in text for s in self.special):
                 out += super().encode([t])
-                continue
-            found = self.chunks(text)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, found)))
-            except KeyError:
-                if len(self.known) > CACHE_PIECES:  # the first chunks seen are the common ones
-                    self.known = dict(islice(self.known.items(), CACHE_PIECES // 2))
-                out.append(b"".join([self.known.get(c) or self._learn(c) for c in found]))
+            elif self.wide(text):
+                self.known = self._trimmed(self.known)
+                out.append(b"".join(map(self.known.__getitem__, self.chunks(text))))
+            else:
+                self.parts = self._trimmed(self.parts)
+                out.append(b"".join(map(self.parts.__getitem__, self.cut(text))))
         return out
 
-    def _learn(self, chunk: str) -> bytes:
-        ids = b"".join([self.parts.get(p) or self._part(p) for p, _ in self.split(chunk)])
-        self.known[chunk] = ids
-        return ids
+    def _trimmed(self, known: _Known) -> _Known:
+        """The first seen are the common ones: the older half stays in a full cache."""
+        full = len(known) > SPACED_PARTS
+        return _Known(known.learn, islice(known.items(), SPACED_PARTS // 2)) if full else known
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join([self._merged(p) for p, _ in self.split(chunk)])
 
     def _part(self, part: str) -> bytes:
-        if len(self.parts) > CACHE_PIECES:
-            self.parts = dict(islice(self.parts.items(), CACHE_PIECES // 2))
-        ids = array(self.code, [t.id for t in self.model.tokenize(part)]).tobytes()
-        self.parts[part] = ids
-        return ids
+        """ids of one part of the split."""
+        if part.isascii():
+            return self._merged(part.translate(self.letters))
+        return self._merged("".join([self.letters[b] for b in part.encode()]))
+
+    def _merged(self, letters: str) -> bytes:
+        return array(self.code, [t.id for t in self.merge(letters)]).tobytes()
 
 
 #: Steps that work inside a word only, and pre-tokenizers that drop white space.

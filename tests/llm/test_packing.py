@@ -164,7 +164,7 @@ def test_spaced_texts_equal_the_library(text):
 
 
 def test_a_small_cache_changes_nothing(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_PIECES", 30)
+    monkeypatch.setattr(tokens, "SPACED_PARTS", 30)
     encoder = tokens.SpacedEncoder(tokens.definition(BYTES))
     library = Tokenizer.from_file(BYTES)
     for t in texts():
