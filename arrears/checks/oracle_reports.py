@@ -449,18 +449,26 @@ cte("view_cross_presence", ("dim_operators", "business_days"), """
 SELECT o.user_id AS users_id, w.WorkDate FROM dim_operators o CROSS JOIN business_days w
 WHERE o.is_operator = 'Yes'""")
 
-cte("view_star_join", ("fact_payments", "fact_dialer", "fact_contacts", "fact_ptp", "dim_client", "dim_cases",
-                       "dim_operators", "dim_date"), """
-SELECT f.fact, k.company_name, c.provider, c.case_status_id, o.is_operator, d.YearMonthKey,
-       CAST(count(*) AS BIGINT) AS row_count, CAST(sum(f.amount) AS DOUBLE) AS amount
+cte("view_star_join", ("fact_payments", "fact_dialer", "fact_contacts", "fact_ptp", "fact_ptp_enriched",
+                       "cc_operator_activity", "fact_operator_presence", "mart_operator_day", "dim_client", "dim_cases",
+                       "dim_operators", "dim_date", "dim_commission_rules"), """
+SELECT f.fact, k.company_name, own.company_name AS case_company, r.commission_rate, c.provider, c.case_status_id,
+       o.is_operator, d.YearMonthKey, CAST(count(*) AS BIGINT) AS row_count, CAST(sum(f.amount) AS DOUBLE) AS amount
 FROM (SELECT 'payments' AS fact, client_id, case_id, NULL AS operator_id, payment_date AS day,
              CAST(payed_capital AS DECIMAL(19, 4)) AS amount FROM fact_payments
       UNION ALL SELECT 'dialer', client_id, case_id, operator_id, call_date, 0 FROM fact_dialer
       UNION ALL SELECT 'contacts', client_id, case_id, operator_id, contact_date, 0 FROM fact_contacts
       UNION ALL SELECT 'ptp', client_id, case_id, operator_id, contact_date,
-                       CAST(promise_capital AS DECIMAL(19, 4)) FROM fact_ptp) f
+                       CAST(promise_capital AS DECIMAL(19, 4)) FROM fact_ptp
+      UNION ALL SELECT 'enriched', client_id, case_id, NULL, payment_date,
+                       CAST(payed_capital AS DECIMAL(19, 4)) FROM fact_ptp_enriched
+      UNION ALL SELECT 'activity', NULL, NULL, user_id, contact_date, contact_count FROM cc_operator_activity
+      UNION ALL SELECT 'presence', NULL, NULL, users_id, WorkDate, contact_count FROM fact_operator_presence
+      UNION ALL SELECT 'operator_day', NULL, NULL, users_id, WorkDate, promises FROM mart_operator_day) f
 LEFT JOIN dim_client k ON k.client_id = f.client_id
+LEFT JOIN dim_commission_rules r ON r.client_id = f.client_id
 LEFT JOIN dim_cases c ON c.case_id = f.case_id
+LEFT JOIN dim_client own ON own.client_id = c.client_id
 LEFT JOIN dim_operators o ON o.user_id = f.operator_id
 LEFT JOIN dim_date d ON d.Date = f.day
 GROUP BY ALL""")
@@ -471,9 +479,17 @@ SELECT '{role}' AS role, d.YearMonthKey, d.WeekOfMonth, count(*) AS promises,
 FROM fact_ptp p LEFT JOIN dim_date d ON d.Date = p.{role} GROUP BY ALL"""
     for role in ("contact_date", "promise_date", "payment_date")))
 
-cte("view_bronze_landing", tuple(__import__("arrears.sources.schemas", fromlist=["SCHEMAS"]).SCHEMAS),
-    "SELECT relation, row_count, column_count + 2 AS column_count, row_count AS sourced_rows, "
-    f"row_count AS stamped_rows FROM ({_inventory_sql()})")
+def _landing_sql() -> str:
+    from arrears.sources.schemas import SCHEMAS
+    from arrears.sources.sink import LANDING_PARTITIONS
+    days = lambda n: (f"COUNT(DISTINCT CAST({LANDING_PARTITIONS[n]} AS DATE))" if n in LANDING_PARTITIONS
+                      else "CAST(0 AS BIGINT)")
+    return "\nUNION ALL\n".join(
+        f"SELECT '{n}' AS relation, COUNT(*) AS row_count, {len(SCHEMAS[n].split(',')) + 2} AS column_count, "
+        f"COUNT(*) AS sourced_rows, COUNT(*) AS stamped_rows, {days(n)} AS days FROM {n}" for n in SCHEMAS)
+
+
+cte("view_bronze_landing", tuple(__import__("arrears.sources.schemas", fromlist=["SCHEMAS"]).SCHEMAS), _landing_sql())
 
 cte("view_agg_cc", ("contact_events",), f"""
 SELECT LOWER(TRIM(insert_user)) AS user_name, CAST(contact_date AS DATE) AS contact_date,
@@ -512,3 +528,147 @@ cte("sorted_fact_ptp_enriched", ("fact_ptp_enriched",),
     "payment_id NULLS FIRST")
 cte("sorted_fact_operator_presence", ("fact_operator_presence",),
     "SELECT * FROM fact_operator_presence ORDER BY WorkDate DESC, full_name NULLS FIRST, users_id")
+
+# ------------------------------------------------------------------- cube
+_DEC = "CAST(SUM(CAST({} AS DECIMAL(19, 4))) AS DECIMAL(38, 8))"
+#: Facts of the cube: source, client, operator, day, states.
+_CUBE = [
+    ("fact_dialer", "client_id", "operator_id", "call_date", {
+        "total_calls": "COUNT(*)", "answered_calls": "SUM(answered_flag)", "cpc_calls": "SUM(cpc_flag)",
+        "not_connected_calls": "SUM(operator_not_connected_flag)"}),
+    ("fact_contacts", "client_id", "operator_id", "contact_date", {
+        "contacts": "COUNT(*)", "promises": "SUM(has_promise)", "rpc_count": "SUM(is_rpc)",
+        "dialer_ptp": "COUNT(*) FILTER (has_promise = 1 AND contact_channel = 'Dialer')"}),
+    ("fact_ptp", "client_id", "operator_id", "contact_date", {
+        "ptp_count": "COUNT(*)", "paid_promised": _DEC.format("paid"),
+        "paid_high_dpd": _DEC.format("CASE WHEN dpd > 180 THEN paid ELSE 0 END")}),
+    ("""(SELECT e.client_id, e.promise_date, u.user_id AS operator_id, r.commission_rate AS rate, e.paid, e.money
+         FROM (SELECT client_id, operator, case_id, ref_number, promise_date,
+                      max(CAST(ptp_status = 'PAID' AS INTEGER)) AS paid, SUM(CAST(payed_capital AS DECIMAL(19, 4))) AS money
+               FROM fact_ptp_enriched GROUP BY ALL) e
+         LEFT JOIN users u ON lower(trim(u.full_name)) = lower(trim(e.operator))
+         LEFT JOIN dim_commission_rules r ON r.client_id = e.client_id)""", "client_id", "operator_id", "promise_date", {
+        "total_ptp": "COUNT(*)", "paid_ptp": "SUM(paid)", "enriched_paid": "CAST(SUM(money) AS DECIMAL(38, 8))",
+        "commission": "CAST(SUM(CAST(money AS DECIMAL(24, 4)) * CAST(rate AS DECIMAL(9, 4))) AS DECIMAL(38, 8))"}),
+    ("fact_payments", "client_id", "NULL", "payment_date", {"paid": _DEC.format("payed_capital")}),
+    ("cc_operator_activity", "NULL", "user_id", "contact_date", {"cc_contacts": "SUM(contact_count)"}),
+    ("fact_operator_presence", "NULL", "users_id", "WorkDate", {
+        "absent_days": "COUNT(*) FILTER (attendance_status = 'absent')",
+        "present_days": "COUNT(*) FILTER (attendance_status IN ('present', 'training'))",
+        "workdays": "COUNT(*) FILTER (attendance_status NOT IN ('inactive', 'not_employed'))"}),
+    ("dim_cases", "client_id", "NULL", "CAST(NULL AS DATE)", {"actual_capital": _DEC.format("actual_capital")}),
+]
+
+
+def _cube_sql() -> str:
+    from arrears.plans.cube import COUNTS, MONEY, RATIOS
+    parts = []
+    for source, client, seat, day, states in _CUBE:
+        cols = ", ".join(f"{states[c]} AS {c}" if c in states else f"NULL AS {c}" for c in (*COUNTS, *MONEY))
+        parts.append(f"SELECT CAST({client} AS BIGINT) AS client_id, CAST({seat} AS BIGINT) AS operator_id, "
+                     f"CAST(date_trunc('week', {day}) AS DATE) AS week, {cols} FROM {source} x GROUP BY 1, 2, 3")
+    sums = ", ".join([*[f"CAST(SUM({c}) AS BIGINT) AS {c}" for c in COUNTS], *[f"CAST(SUM({c}) AS DOUBLE) AS {c}" for c in MONEY]])
+    ratios = ", ".join(f"{_ratio(n, d)} AS {k}" for k, (n, d) in RATIOS.items())
+    return (f"SELECT *, {ratios} FROM (SELECT CAST(GROUPING_ID(client_id, operator_id, week) AS INTEGER) AS level, client_id, "
+            f"operator_id, week, {sums} FROM ({' UNION ALL '.join(parts)}) u GROUP BY CUBE (client_id, operator_id, week)) c")
+
+
+cte("kpi_cube", ("fact_dialer", "fact_contacts", "fact_ptp", "fact_ptp_enriched", "fact_payments", "cc_operator_activity",
+                 "fact_operator_presence", "dim_cases", "users", "dim_commission_rules"), _cube_sql())
+
+# ---------------------------------------------------------- stored tables
+cte("stored_calls_of_week", ("fact_dialer", "dim_date", "dim_client"), """
+SELECT f.call_date, d.YearMonthKey, k.company_name, COUNT(*) AS calls, CAST(SUM(f.answered_flag) AS BIGINT) AS answered_calls
+FROM fact_dialer f JOIN dim_date d ON d.Date = f.call_date JOIN dim_client k ON k.client_id = f.client_id
+WHERE d.WeekOfMonth = 2 AND k.company_name = 'ASIA' GROUP BY ALL""")
+
+cte("view_typed_users_load", ("users",), f"""
+WITH t AS (
+    SELECT user_id % 13 = 0 AS cut, user_id % 11 = 0 AND user_id % 13 <> 0 AS no_date,
+           sip_account IS NOT NULL AND {whole_number('sip_account')} IS NULL AND user_id % 13 <> 0 AS no_sip
+    FROM users)
+SELECT outcome, column_name, reason, n FROM (
+    SELECT 'read' AS outcome, '' AS column_name, '' AS reason, COUNT(*) AS n FROM t
+    UNION ALL SELECT 'accepted', '', '', COUNT(*) FROM t WHERE NOT (cut OR no_date OR no_sip)
+    UNION ALL SELECT 'rejected', '', '', COUNT(*) FROM t WHERE cut OR no_date OR no_sip
+    UNION ALL SELECT 'cell', '', 'not the declared fields', COUNT(*) FROM t WHERE cut
+    UNION ALL SELECT 'cell', 'insert_date', 'no date', COUNT(*) FROM t WHERE no_date
+    UNION ALL SELECT 'cell', 'sip_account', 'no int', COUNT(*) FROM t WHERE no_sip) x
+WHERE n > 0""")
+
+cte("view_try_cast_sip_number", ("users",), """
+SELECT user_id, sip_account AS sip_text, TRY_CAST(trim(sip_account) AS DOUBLE) AS sip_number FROM users""")
+
+cte("view_dialer_state_bot", ("fact_dialer",), """
+SELECT dialer_call_id,
+       CASE WHEN billsec_sec = 0 THEN 'NO_ANSWER' WHEN campaign_id % 11 = 0 THEN 'BOT'
+            WHEN billsec_sec > 3 AND dialer_sip_account IS NULL THEN 'NO_OPERATOR'
+            WHEN billsec_sec >= 40 AND dialer_sip_account IS NOT NULL THEN 'HUMAN (CPC)' ELSE 'OTHER' END AS dialer_state
+FROM fact_dialer""")
+
+# --------------------------------------------------- quality, with trouble
+cte("dq_fanout_plain", ("promise_totals", "fact_ptp_plain_provider", "dim_cases", "dim_cases_plain_provider"),
+    "\nUNION ALL\n".join(
+        f"SELECT '{n}' AS dataset, b.n AS base_rows, f.n AS fact_rows, f.n - b.n AS extra_rows "
+        f"FROM (SELECT COUNT(*) AS n FROM {b}) b, (SELECT COUNT(*) AS n FROM {f}) f"
+        for n, b, f in (("fact_ptp", "promise_totals", "fact_ptp_plain_provider"),
+                        ("dim_cases", "dim_cases", "dim_cases_plain_provider"))))
+
+cte("dq_documented_keys", ("fact_ptp", "fact_ptp_enriched"), "\nUNION ALL\n".join(
+    f"SELECT '{d}' AS dataset, CAST(SUM(n) AS BIGINT) AS row_count, CAST(SUM(n) FILTER ({no}) AS BIGINT) AS null_keys, "
+    f"COUNT(*) FILTER (n > 1) AS duplicate_keys, CAST(coalesce(SUM(n - 1) FILTER (n > 1), 0) AS BIGINT) AS surplus_rows "
+    f"FROM (SELECT {k}, COUNT(*) AS n FROM {d} GROUP BY ALL) g"
+    for d, k, no in (("fact_ptp", "case_id, contact_date, operator_norm",
+                      "case_id IS NULL OR contact_date IS NULL OR operator_norm IS NULL"),
+                     ("fact_ptp_enriched", "ref_number, date_trunc('month', promise_date) AS month",
+                      "ref_number IS NULL OR month IS NULL"))).replace(
+    "CAST(SUM(n) FILTER (", "CAST(coalesce(SUM(n) FILTER (").replace(") AS BIGINT) AS null_keys", "), 0) AS BIGINT) AS null_keys"))
+
+cte("dq_source_domains", ("dialer_calls", "ptp_overview", "contact_events"), "\nUNION ALL\n".join(
+    f"SELECT '{t}.{c}' AS column_name, COUNT(*) AS row_count, COUNT(*) FILTER ({c} IS NULL) AS null_rows, "
+    f"COUNT(*) FILTER ({c} NOT IN ({known})) AS unknown_rows FROM {t}"
+    for t, c, known in (("dialer_calls", "disposition", "'ANSWERED', 'NO ANSWER', 'FAILED'"),
+                        ("ptp_overview", "state", "'Active', 'Expired', 'Fulfilled', 'Canceled'"),
+                        ("contact_events", "target_type_id", "1, 2, 3, 4, 5, 6"))))
+
+cte("dq_cross_implications", ("fact_contacts", "fact_dialer", "fact_ptp_enriched"), "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS check_name, COUNT(*) AS premise_rows, COUNT(*) FILTER ({broken}) AS broken_rows FROM {t} WHERE {given}"
+    for n, t, given, broken in (
+        ("contact_campaign_without_bridge", "fact_contacts", "campaign_id IS NOT NULL", "dialer_contact_id IS NULL"),
+        ("answered_call_without_bridge", "fact_dialer", "answered_flag = 1", "contact_id IS NULL"),
+        ("payment_before_promise", "fact_ptp_enriched", "ptp_status = 'PAID'", "payment_date < promise_date"))))
+
+cte("dq_debtor_fanout", ("fact_dialer", "fact_contacts", "fact_ptp", "fact_payments", "cases"), """
+WITH f AS (SELECT 'fact_dialer' AS fact, CAST(case_id AS BIGINT) AS case_id FROM fact_dialer
+           UNION ALL SELECT 'fact_contacts', CAST(case_id AS BIGINT) FROM fact_contacts
+           UNION ALL SELECT 'fact_ptp', CAST(case_id AS BIGINT) FROM fact_ptp
+           UNION ALL SELECT 'fact_payments', CAST(case_id AS BIGINT) FROM fact_payments),
+owned AS (SELECT f.fact, c.debtor_id FROM f JOIN cases c ON CAST(c.case_id AS BIGINT) = f.case_id WHERE c.debtor_id IS NOT NULL),
+joined AS (SELECT o.fact, o.debtor_id, COUNT(*) AS n FROM owned o JOIN cases c ON c.debtor_id = o.debtor_id GROUP BY ALL)
+SELECT fact, (SELECT COUNT(*) FROM owned o WHERE o.fact = j.fact) AS fact_rows, CAST(SUM(n) AS BIGINT) AS joined_rows,
+       MAX(n) AS largest_debtor
+FROM joined j GROUP BY fact""")
+
+cte("dq_presence_gaps", ("view_cross_presence", "fact_operator_presence"), f"""
+SELECT g.users_id, COUNT(*) AS missing_days, MIN(g.WorkDate) AS first_missing
+FROM view_cross_presence g
+ANTI JOIN (SELECT users_id, WorkDate FROM fact_operator_presence WHERE (users_id + (WorkDate - DATE '{S}')) % 5 <> 0) p
+  ON p.users_id = g.users_id AND p.WorkDate = g.WorkDate
+GROUP BY g.users_id""")
+
+# --------------------------------------------------- streams, upkeep, profiles
+cte("view_calls_once", ("dialer_calls",), "SELECT DISTINCT uniqueid, CAST(1 AS BIGINT) AS copies FROM dialer_calls")
+
+
+def _profile_sql() -> str:
+    from arrears.sources.profile import FRACTIONS, PROFILED
+    parts = []
+    for name, (_, distinct, numbers) in PROFILED.items():
+        measures = [(c, "distinct", f"COUNT(DISTINCT {c})") for c in distinct]
+        measures += [(c, f"p{round(f * 100)}", f"COUNT({c})") for c in numbers for f in FRACTIONS]
+        parts += [f"SELECT '{name}' AS relation, '{c}' AS column_name, '{m}' AS measure, COUNT(*) AS rows, {exact} AS exact, "
+                  f"true AS within FROM {name}" for c, m, exact in measures]
+    return "\nUNION ALL\n".join(parts)
+
+
+cte("view_profile_report", ("dialer_calls", "contact_events", "payments"), _profile_sql())

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrears.plans.facts import PROMISE_KEYS, activity_counts, contact_base, dialer_base, promise_base
+from arrears.plans.dims import dim_cases
+from arrears.plans.facts import PROMISE_KEYS, activity_counts, contact_base, dialer_base, fact_ptp, promise_base
 from arrears.plans.kpi import dim_date
 from arrears.plans.marts import operator_day
 from arrears.plans.model import Model
@@ -166,7 +167,63 @@ def fanout(m: Model) -> DataFrame:
     return _union(parts).withColumn("extra_rows", col("fact_rows") - col("base_rows"))
 
 
+def fanout_plain(m: Model) -> DataFrame:
+    """The source's plain provider join (one row per attribute row) against the grain: promises
+    and cases with several attributes appear more than once."""
+    plain = m.po.with_(provider_mode="join")
+    kept = dim_cases(m.src, m.po)
+    parts = []
+    for name, base, fact in (("fact_ptp", promise_base(m.src, m.po), fact_ptp(m.src, plain)),
+                             ("dim_cases", kept, dim_cases(m.src, plain))):
+        both = base.select(F.lit(1).alias("b"), F.lit(0).alias("f")).unionByName(
+            fact.select(F.lit(0).alias("b"), F.lit(1).alias("f")))
+        parts.append(both.agg(F.sum("b").cast("bigint").alias("base_rows"), F.sum("f").cast("bigint").alias("fact_rows"))
+                     .select(F.lit(name).alias("dataset"), "base_rows", "fact_rows"))
+    return _union(parts).withColumn("extra_rows", col("fact_rows") - col("base_rows"))
+
+
+def documented_keys(m: Model) -> DataFrame:
+    """The keys that the documentation names, which the facts need not keep."""
+    parts = []
+    for name, df, keys in (
+        ("fact_ptp", m.fact_ptp, [col("case_id"), col("contact_date"), col("operator_norm")]),
+        ("fact_ptp_enriched", m.fact_ptp_enriched, [col("ref_number"), F.trunc("promise_date", "MM")]),
+    ):
+        null_part = F.lit(False)
+        for k in keys:
+            null_part = null_part | k.isNull()
+        counts = df.groupBy(*[k.alias(f"k{n}") for n, k in enumerate(keys)], null_part.alias("no_key")).agg(
+            F.count(F.lit(1)).alias("n"))
+        parts.append(counts.agg(
+            F.sum("n").cast("bigint").alias("row_count"),
+            F.sum(F.when(col("no_key"), col("n")).otherwise(0)).cast("bigint").alias("null_keys"),
+            F.sum(F.when(col("n") > 1, 1).otherwise(0)).cast("bigint").alias("duplicate_keys"),
+            F.sum(F.when(col("n") > 1, col("n") - 1).otherwise(0)).cast("bigint").alias("surplus_rows"),
+        ).select(F.lit(name).alias("dataset"), "row_count", "null_keys", "duplicate_keys", "surplus_rows"))
+    return _union(parts)
+
+
 # DQ4
+#: Columns whose source values leave the set that the rules know.
+SOURCE_DOMAINS = {
+    ("dialer_calls", "disposition"): ("ANSWERED", "NO ANSWER", "FAILED"),
+    ("ptp_overview", "state"): ("Active", "Expired", "Fulfilled", "Canceled"),
+    ("contact_events", "target_type_id"): (1, 2, 3, 4, 5, 6),
+}
+
+
+def source_domains(m: Model) -> DataFrame:
+    """Rows, nulls and values outside the known set, per checked column of the raw relations."""
+    parts = []
+    for (name, c), allowed in SOURCE_DOMAINS.items():
+        parts.append(m.src.rel(name).agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.sum(F.when(col(c).isNull(), 1).otherwise(0)).cast("bigint").alias("null_rows"),
+            F.sum(F.when(~col(c).isin(*allowed), 1).otherwise(0)).cast("bigint").alias("unknown_rows"),
+        ).select(F.lit(f"{name}.{c}").alias("column_name"), "row_count", "null_rows", "unknown_rows"))
+    return _union(parts)
+
+
 DOMAINS = {
     ("fact_contacts", "contact_channel"): ("WhatsApp", "RCS", "SMS", "Email", "BOT", "Dialer", "Manual"),
     ("fact_ptp", "was_paid"): ("paid", "not paid"),
@@ -203,7 +260,39 @@ def flag_implications(m: Model) -> DataFrame:
               .otherwise(0)).cast("bigint").alias("cpc_and_not_connected"))
 
 
+def cross_implications(m: Model) -> DataFrame:
+    """Implications between facts, which the source may break: a contact with a campaign has a
+    call with an operator; a call that counts as answered has a bridge row; money of a promise does not come
+    before it."""
+    c, d, e = m.fact_contacts, m.fact_dialer, m.fact_ptp_enriched
+    checks = [
+        ("contact_campaign_without_bridge", c, col("campaign_id").isNotNull(), col("dialer_contact_id").isNull()),
+        ("answered_call_without_bridge", d, col("answered_flag") == 1, col("contact_id").isNull()),
+        ("payment_before_promise", e, col("ptp_status") == "PAID", col("payment_date") < col("promise_date")),
+    ]
+    return _union([df.agg(F.count(F.when(given, 1)).alias("premise_rows"), F.count(F.when(given & broken, 1)).alias("broken_rows"))
+                   .select(F.lit(name).alias("check_name"), "premise_rows", "broken_rows") for name, df, given, broken in checks])
+
+
 # DQ6
+def debtor_fanout(m: Model) -> DataFrame:
+    """Rows that a join of cases by debtor would give for each fact, without the join: rows per
+    debtor times cases per debtor. Facts are counted per case first, so the largest debtor
+    costs one row per case and fact."""
+    def of(name, df):
+        return df.where(col("case_id").isNotNull()).groupBy(col("case_id").cast("bigint").alias("case_id")).agg(
+            F.count(F.lit(1)).alias("n")).withColumn("fact", F.lit(name))
+
+    counts = _union([of(n, f) for n, f in (("fact_dialer", m.fact_dialer), ("fact_contacts", m.fact_contacts),
+                                           ("fact_ptp", m.fact_ptp), ("fact_payments", m.fact_payments))])
+    owner = m.src.cases.where(col("debtor_id").isNotNull()).select(col("case_id").cast("bigint").alias("case_id"), "debtor_id")
+    degree = owner.groupBy("debtor_id").agg(F.count(F.lit(1)).alias("cases"))
+    held = counts.join(owner, "case_id").groupBy("fact", "debtor_id").agg(F.sum("n").alias("n")).join(degree, "debtor_id")
+    return held.groupBy("fact").agg(
+        F.sum("n").cast("bigint").alias("fact_rows"), F.sum(col("n") * col("cases")).cast("bigint").alias("joined_rows"),
+        F.max(col("n") * col("cases")).cast("bigint").alias("largest_debtor"))
+
+
 def debtor_many_cases(m: Model) -> DataFrame:
     """Debtors holding more than one case (the many-to-many trap)."""
     return (m.src.cases.where(col("debtor_id").isNotNull())
@@ -223,6 +312,21 @@ def presence_completeness(m: Model) -> DataFrame:
                       rows.alias("actual_rows"))
 
 
+def presence_gaps(m: Model, presence: DataFrame | None = None) -> DataFrame:
+    """Grid days that a presence table lacks, per operator."""
+    p = m.pe
+    have = (m.fact_operator_presence if presence is None else presence).select("users_id", "WorkDate")
+    grid = cross_presence(m.src, p)
+    return (grid.join(have.distinct(), ["users_id", "WorkDate"], "left_anti").groupBy("users_id")
+            .agg(F.count(F.lit(1)).alias("missing_days"), F.min("WorkDate").alias("first_missing")))
+
+
+def presence_gaps_planted(m: Model) -> DataFrame:
+    """The check over a presence table from which a fifth of the days was taken."""
+    held = (col("users_id") + F.datediff("WorkDate", F.lit(m.pe.calendar_start))) % 5 != 0
+    return presence_gaps(m, m.fact_operator_presence.where(held))
+
+
 # DQ8
 def client_ids(m: Model) -> DataFrame:
     """Per fact: rows on the reserved client ids (1, 999) and rows whose

@@ -11,16 +11,19 @@ from arrears import config as C
 from arrears.config import Params
 from arrears.functions import classify as K
 from arrears.functions.dates import month_bounds
-from arrears.functions.text import norm, try_int
+from arrears.functions.text import norm, try_int, try_number
 from arrears.operators.asof import count_within
 from arrears.operators.calendar import explode_workdays
 from arrears.operators.exists import flag_if_exists, keys_with_rows, without_match
 from arrears.plans import facts
 from arrears.plans.kpi import dim_date
+from arrears.plans.marts import operator_day
 from arrears.plans.model import Model
 from arrears.sources.catalog import Sources
 from arrears.sources.schemas import SCHEMAS
-from arrears.sources.sink import with_lineage
+from arrears.session import shared_path
+from arrears.sources.typed import load_report, read_lines, typed
+from arrears.sources.sink import LANDING_PARTITIONS, land_bronze, land_days
 
 col = F.col
 
@@ -115,31 +118,45 @@ def cross_presence(src: Sources, p: Params) -> DataFrame:
 
 
 def star_join(m: Model) -> DataFrame:
-    """The star's facts against client, company, case, operator and date.
+    """The star's eight facts against client, company, commission rule, case (and the company of
+    the case), operator and date.
 
     Each fact is added up by its foreign keys first; the union of these sums
     then meets every dimension once."""
-    def part(name, df, day, operator, amount):
-        keys = [col("client_id").cast("bigint").alias("client_id"), col("case_id").cast("bigint").alias("case_id"),
+    none = F.lit(None)
+
+    def part(name, df, day, operator=none, amount=F.lit(0), client=col("client_id"), case=col("case_id")):
+        keys = [client.cast("bigint").alias("client_id"), case.cast("bigint").alias("case_id"),
                 operator.cast("bigint").alias("operator_id"), col(day).alias("day")]
         return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
                                       F.sum(amount.cast("decimal(19,4)")).cast("decimal(38,4)").alias("_a"))
                   .select(F.lit(name).alias("fact"), "client_id", "case_id", "operator_id", "day", "_n", "_a"))
 
-    none = F.lit(None)
-    x = (part("payments", m.fact_payments, "payment_date", none, col("payed_capital"))
-         .unionByName(part("dialer", m.fact_dialer, "call_date", col("operator_id"), F.lit(0)))
-         .unionByName(part("contacts", m.fact_contacts, "contact_date", col("operator_id"), F.lit(0)))
-         .unionByName(part("ptp", m.fact_ptp, "contact_date", col("operator_id"), col("promise_capital"))))
+    seat = col("operator_id")
+    x = part("payments", m.fact_payments, "payment_date", amount=col("payed_capital"))
+    for other in (
+        part("dialer", m.fact_dialer, "call_date", seat), part("contacts", m.fact_contacts, "contact_date", seat),
+        part("ptp", m.fact_ptp, "contact_date", seat, col("promise_capital")),
+        part("enriched", m.fact_ptp_enriched, "payment_date", amount=col("payed_capital")),
+        part("activity", m.cc_operator_activity, "contact_date", col("user_id"), col("contact_count"), none, none),
+        part("presence", m.fact_operator_presence, "WorkDate", col("users_id"), col("contact_count"), none, none),
+        part("operator_day", operator_day(m), "WorkDate", col("users_id"), col("promises"), none, none),
+    ):
+        x = x.unionByName(other)
     cl = m.dim_client.select(col("client_id").alias("_cl"), "company_name")
-    cs = m.dim_cases.select(col("case_id").alias("_cs"), "provider", "case_status_id")
+    rule = m.dim_commission_rules.select(col("client_id").alias("_rc"), "commission_rate")
+    own = m.dim_client.select(col("client_id").alias("_cc"), col("company_name").alias("case_company"))
+    cs = m.dim_cases.select(col("case_id").alias("_cs"), "provider", "case_status_id", col("client_id").alias("_ccl"))
+    cs = cs.join(own, cs["_ccl"] == own["_cc"], "left").drop("_cc", "_ccl")
     op = m.dim_operators.select(col("user_id").alias("_op"), "is_operator")
     cal = dim_date(m).select(col("Date").alias("_day"), "YearMonthKey")
     return (x.join(cl, x["client_id"] == cl["_cl"], "left")
+             .join(rule, x["client_id"] == rule["_rc"], "left")
              .join(cs, x["case_id"] == cs["_cs"], "left")
              .join(op, x["operator_id"] == op["_op"], "left")
              .join(cal, x["day"] == cal["_day"], "left")
-             .groupBy("fact", "company_name", "provider", "case_status_id", "is_operator", "YearMonthKey")
+             .groupBy("fact", "company_name", "case_company", "commission_rate", "provider", "case_status_id",
+                      "is_operator", "YearMonthKey")
              .agg(F.sum("_n").alias("row_count"), F.sum("_a").cast("double").alias("amount")))
 
 
@@ -159,20 +176,50 @@ def role_date(m: Model) -> DataFrame:
 
 
 def bronze_landing(src: Sources, p: Params | None = None) -> DataFrame:
-    """What the landing writes, per relation: rows, declared columns, rows
-    with the lineage source and with an ingestion time."""
+    """Land every relation, then the first day of each event relation twice more, and report what
+    the files hold: rows, columns (without the day folder), rows with the lineage source, rows
+    with an ingestion time, days."""
+    base = shared_path(src.spark, "bronze")
+    land_bronze(src, base, files_per_day=1)
+    for name, c in LANDING_PARTITIONS.items():
+        first = src.rel(name).agg(F.to_date(F.min(c))).first()[0]
+        for _ in range(2):
+            land_days(src, base, name, [first] if first else [], files_per_day=1)
     out = None
     for name in SCHEMAS:
-        df = with_lineage(src.rel(name), f"operational.{name}")
+        df = src.spark.read.parquet(f"{base}/{name}")
+        days = F.count_distinct("_day") if "_day" in df.columns else F.lit(0).cast("bigint")
         part = df.agg(F.count(F.lit(1)).alias("row_count"),
                       F.count(F.when(col("_source") == f"operational.{name}", 1)).alias("sourced_rows"),
-                      F.count("_ingested_at").alias("stamped_rows")).select(
-            F.lit(name).alias("relation"), "row_count", F.lit(len(df.columns)).alias("column_count"),
-            "sourced_rows", "stamped_rows")
+                      F.count("_ingested_at").alias("stamped_rows"), days.alias("days")).select(
+            F.lit(name).alias("relation"), "row_count", F.lit(len(set(df.columns) - {"_day"})).alias("column_count"),
+            "sourced_rows", "stamped_rows", "days")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+#: Declared types of the users file; sip accounts are whole numbers.
+USERS_FILE = ("user_id int, user_name string, full_name string, user_status int, sip_account int, "
+              "insert_date date, update_date date")
+
+
+def typed_users_load(src: Sources, p: Params | None = None) -> DataFrame:
+    """What a typed load of the users' text export accepts and rejects. Every eleventh user's
+    hire date is no date, and every thirteenth line lost its last two fields."""
+    text = lambda c: F.coalesce(col(c).cast("string"), F.lit(""))
+    hired = F.when(col("user_id") % 11 == 0, F.lit("2024-13-01")).otherwise(text("insert_date"))
+    first = F.concat_ws(",", *[text(c) for c in ("user_id", "user_name", "full_name", "user_status", "sip_account")])
+    line = F.when(col("user_id") % 13 == 0, first).otherwise(F.concat_ws(",", first, hired, text("update_date")))
+    path = shared_path(src.spark, "users-text")
+    src.users.select(line.alias("value")).write.text(path)
+    return load_report(typed(read_lines(src.spark, path), USERS_FILE))
+
+
+def try_cast_sip_number(src: Sources, p: Params | None = None) -> DataFrame:
+    """The sip as any number (null where the text is none), as the operator rule reads it."""
+    return src.users.select("user_id", col("sip_account").alias("sip_text"), try_number("sip_account").alias("sip_number"))
+
+
 def agg_cc(src: Sources, p: Params) -> DataFrame:
     return facts.activity_counts(src, p)
 
@@ -198,3 +245,10 @@ def dialer_state(m: Model) -> DataFrame:
     d = m.fact_dialer
     return d.select("dialer_call_id",
                     K.dialer_state(col("billsec_sec"), col("dialer_sip_account")).alias("dialer_state"))
+
+
+def dialer_state_bot(m: Model) -> DataFrame:
+    """The states where a caller says which campaigns are bots (here: every eleventh)."""
+    d = m.fact_dialer
+    state = K.dialer_state(col("billsec_sec"), col("dialer_sip_account"), col("campaign_id") % 11 == 0)
+    return d.select("dialer_call_id", state.alias("dialer_state"))

@@ -63,7 +63,7 @@ for _name, _fn, _b, _kw in [
 
 # ---- everything else reads the shared model
 from arrears.checks import oracle_reports as R  # noqa: E402,F401  (registers CTEs)
-from arrears.plans import kpi, marts, quality, views  # noqa: E402
+from arrears.plans import cube, kpi, marts, quality, stored, views  # noqa: E402
 from arrears.plans.model import Model  # noqa: E402
 
 
@@ -99,12 +99,17 @@ for _name, _fn in [
     ("dq_debtor_cases", quality.debtor_many_cases),
     ("dq_presence_completeness", quality.presence_completeness),
     ("dq_client_ids", quality.client_ids),
+    ("kpi_cube", cube.kpi_cube), ("dq_fanout_plain", quality.fanout_plain),
+    ("dq_documented_keys", quality.documented_keys), ("dq_source_domains", quality.source_domains),
+    ("dq_cross_implications", quality.cross_implications), ("dq_debtor_fanout", quality.debtor_fanout),
+    ("dq_presence_gaps", quality.presence_gaps_planted), ("stored_calls_of_week", stored.calls_of_week),
 ]:
     MODEL_REPORTS[_name] = (_fn, _name)
 
 MODEL_REPORTS["star_join"] = (views.star_join, "view_star_join")
 MODEL_REPORTS["role_date"] = (views.role_date, "view_role_date")
 MODEL_REPORTS["dialer_state"] = (views.dialer_state, "view_dialer_state")
+MODEL_REPORTS["dialer_state_bot"] = (views.dialer_state_bot, "view_dialer_state_bot")
 for _name, (_fn, _cte) in MODEL_REPORTS.items():
     add(_name, mdl(_fn), Q.table(_cte))
 
@@ -121,7 +126,8 @@ for _name, _fn, _b in [
     ("agg_provider_max", lambda s, p: facts.attribute_max(s.case_attributes, 303), od),
     ("agg_cc", views.agg_cc, ev), ("dedup_contact_ptp", views.dedup_contact_ptp, ev),
     ("dedup_bridge", views.dedup_bridge, ev), ("dedup_ptp_month", views.dedup_ptp_month, od),
-    ("union_paid_unpaid", views.union_paid_unpaid, od),
+    ("union_paid_unpaid", views.union_paid_unpaid, od), ("typed_users_load", views.typed_users_load, ev),
+    ("try_cast_sip_number", views.try_cast_sip_number, ev),
 ]:
     _sql_name = {"rolling_60d": "recent_contacts", "agg_max_time": "promise_clock",
                  "agg_min_time": "installment_clock", "agg_promise_sum": "promise_totals",
@@ -129,6 +135,18 @@ for _name, _fn, _b in [
                  "union_paid_unpaid": "month_money"}.get(_name, "view_" + _name)
     add(_name, _b(_fn), Q.table(_sql_name))
 
+add("fact_payments_bucketed", od(stored.fact_payments_bucketed), Q.table("fact_payments"))
+add("dim_cases_bucketed", od(stored.dim_cases_bucketed), Q.table("dim_cases"))
+
+from arrears.plans import upkeep  # noqa: E402
+from arrears.sources import profile  # noqa: E402
+from arrears.streaming import match  # noqa: E402
+
+add("fact_ptp_upkept", od(upkeep.fact_ptp_upkept), Q.table("fact_ptp"))
+add("profile_report", od(profile.profile_report), Q.table("view_profile_report"))
+add("interval_latest_stream", ev(match.interval_latest_stream), Q.table("view_interval_latest"))
+add("calls_once_stream", ev(match.calls_once_stream), Q.table("view_calls_once"))
+
 from arrears.plans import reports  # noqa: E402
 
 add("sorted_fact_dialer", mdl(reports.dialer_listing), Q.table("sorted_fact_dialer"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Settings the plans rely on: AQE for runtime re-planning (partition
@@ -45,6 +48,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``. Only a local
+    session may leave that unset; it then gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            return checkpoint_dir(spark)  # refuses
+        base = "file://" + tempfile.mkdtemp(prefix="run-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cluster_conf(executors: int, cores_per_executor: int, input_tb: float) -> dict[str, str]:
     """Suggested settings for a large run (apply at submit time).
 

@@ -7,6 +7,8 @@ here picks a machine-local folder.
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,27 @@ def with_lineage(df: DataFrame, source: str) -> DataFrame:
 
 #: Files that one day's folder gets at most (raise it for large days).
 FILES_PER_DAY = 8
+#: Formats whose overwrite deletes before it writes; others replace a table at once by themselves.
+FILE_FORMATS = ("parquet", "orc", "json", "csv", "text", "avro")
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _clustered(df: DataFrame, parts: list[str], files_per_partition: int) -> DataFrame:
+    slice_ = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
+    return df.repartition(*parts, slice_)
+
+
+def restore_table(spark: SparkSession, path: str) -> bool:
+    """Put back the table that a replacement had set aside when it was cut short; whether there was one."""
+    here, fs = _file_system(spark, path)
+    if fs.exists(here) or not fs.exists(here.getParent()):
+        return False
+    kept = [s.getPath() for s in fs.listStatus(here.getParent()) if s.getPath().getName().startswith(f"{here.getName()}.old-")]
+    return bool(kept) and fs.rename(kept[0], here)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -31,15 +54,35 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     reads prune whole folders (date filters become partition filters). Rows
     are first brought together by folder and one of ``files_per_partition``
     hash slices, so a folder gets at most that many files instead of one per
-    task, and a hot day is written by as many tasks."""
-    parts = list(partition_by)
+    task, and a hot day is written by as many tasks.
+
+    An overwrite of files is written whole beside the table and then takes its
+    place by renames: a write that fails leaves the old table as it was."""
+    spark, parts = df.sparkSession, list(partition_by)
     if parts:
-        slice_ = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
-        df = df.repartition(*parts, slice_)
+        df = _clustered(df, parts, files_per_partition)
+    swap = mode == "overwrite" and fmt in FILE_FORMATS
+    target = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}" if swap else path
     w = df.write.format(fmt).mode(mode)
     if parts:
         w = w.partitionBy(*parts)
-    w.save(path)
+    w.save(target)
+    if swap:
+        restore_table(spark, path)
+        here, fs = _file_system(spark, path)
+        new, old = _file_system(spark, target)[0], _file_system(spark, target.replace(".new-", ".old-"))[0]
+        had = fs.exists(here)
+        if had and not fs.rename(here, old) or not fs.rename(new, here):
+            raise OSError(f"could not put {target} in place of {path}")
+        if had:
+            fs.delete(old, True)
+
+
+def replace_days(df: DataFrame, path: str, day: str = "_day", files_per_day: int = FILES_PER_DAY) -> None:
+    """Write rows so that the folders of the days they hold are replaced, whole, and all other
+    days stay as they are (dynamic partition overwrite). The same rows again change nothing."""
+    (_clustered(df, [day], files_per_day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(day).parquet(path))
 
 
 # Date columns the raw relations are partitioned by when landed.
@@ -53,7 +96,8 @@ LANDING_PARTITIONS = {
 
 
 def land_bronze(src: Sources, out_base: str, fmt: str = "parquet", source_name: str = "operational",
-                relations: Iterable[str] | None = None, partition: bool = True) -> list[str]:
+                relations: Iterable[str] | None = None, partition: bool = True,
+                files_per_day: int = FILES_PER_DAY) -> list[str]:
     """Write every source relation under ``out_base/<relation>`` with lineage
     columns (the bronze layer). Event relations are partitioned by day."""
     written = []
@@ -64,11 +108,30 @@ def land_bronze(src: Sources, out_base: str, fmt: str = "parquet", source_name:
             c = LANDING_PARTITIONS[name]
             df = df.withColumn("_day", F.to_date(c))
             parts = ["_day"]
-        write_table(df, f"{out_base.rstrip('/')}/{name}", fmt, partition_by=parts)
+        write_table(df, f"{out_base.rstrip('/')}/{name}", fmt, partition_by=parts, files_per_partition=files_per_day)
         written.append(name)
     return written
 
 
+def land_days(src: Sources, out_base: str, name: str, days: Iterable[dt.date], source_name: str = "operational",
+              files_per_day: int = FILES_PER_DAY) -> None:
+    """Land some days of an event relation again. Their folders are replaced; a day without
+    rows by now loses its folder; no other day is read or written."""
+    c, days = LANDING_PARTITIONS[name], sorted(set(days))
+    if not days:
+        return
+    spark, path = src.spark, f"{out_base.rstrip('/')}/{name}"
+    rows = src.window(name, c, days[0], days[-1] + dt.timedelta(days=1)).withColumn("_day", F.to_date(c))
+    rows = with_lineage(rows.where(F.col("_day").isin(days)), f"{source_name}.{name}")
+    held = {r[0] for r in rows.select("_day").distinct().collect()}  # at most the days asked for
+    if held:
+        replace_days(rows.where(F.col("_day").isin(held)), path, files_per_day=files_per_day)
+    for day in days:
+        if day not in held:
+            folder, fs = _file_system(spark, f"{path}/_day={day.isoformat()}")
+            fs.delete(folder, True)
+
+
 # Dataset -> partition column for the gold layer.
 GOLD_PARTITIONS = {
     "fact_dialer": "call_date",
