@@ -482,8 +482,14 @@ FROM fact_ptp p LEFT JOIN dim_date d ON d.Date = p.{role} GROUP BY ALL"""
 def _landing_sql() -> str:
     from arrears.sources.schemas import SCHEMAS
     from arrears.sources.sink import LANDING_PARTITIONS
-    days = lambda n: (f"COUNT(DISTINCT CAST({LANDING_PARTITIONS[n]} AS DATE))" if n in LANDING_PARTITIONS
-                      else "CAST(0 AS BIGINT)")
+    from arrears.plans.views import LEAST_ROWS_PER_DAY
+
+    def days(n):
+        if n not in LANDING_PARTITIONS:
+            return "CAST(0 AS BIGINT)"
+        d = f"COUNT(DISTINCT CAST({LANDING_PARTITIONS[n]} AS DATE))"
+        return f"CASE WHEN COUNT(*) >= {LEAST_ROWS_PER_DAY} * {d} THEN {d} ELSE 0 END"
+
     return "\nUNION ALL\n".join(
         f"SELECT '{n}' AS relation, COUNT(*) AS row_count, {len(SCHEMAS[n].split(',')) + 2} AS column_count, "
         f"COUNT(*) AS sourced_rows, COUNT(*) AS stamped_rows, {days(n)} AS days FROM {n}" for n in SCHEMAS)

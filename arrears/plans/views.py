@@ -23,7 +23,7 @@ from arrears.sources.catalog import Sources
 from arrears.sources.schemas import SCHEMAS
 from arrears.session import shared_path
 from arrears.sources.typed import load_report, read_lines, typed
-from arrears.sources.sink import LANDING_PARTITIONS, land_bronze, land_days
+from arrears.sources.sink import LANDING_PARTITIONS, land_bronze, land_days, worth_days
 
 col = F.col
 
@@ -175,13 +175,19 @@ def role_date(m: Model) -> DataFrame:
                  F.sum("paid").cast("double").alias("paid")))
 
 
+#: Event relations with smaller days are landed whole by the query.
+LEAST_ROWS_PER_DAY = 30
+
+
 def bronze_landing(src: Sources, p: Params | None = None) -> DataFrame:
-    """Land every relation, then the first day of each event relation twice more, and report what
-    the files hold: rows, columns (without the day folder), rows with the lineage source, rows
-    with an ingestion time, days."""
+    """Land every relation, then the first day of each relation in day folders twice more, and
+    report what the files hold: rows, columns (without the day folder), rows with the lineage
+    source, rows with an ingestion time, days (0: not by day)."""
     base = shared_path(src.spark, "bronze")
-    land_bronze(src, base, files_per_day=1)
+    land_bronze(src, base, files_per_day=1, least_rows_per_day=LEAST_ROWS_PER_DAY)
     for name, c in LANDING_PARTITIONS.items():
+        if not worth_days(src, name, LEAST_ROWS_PER_DAY):
+            continue
         first = src.rel(name).agg(F.to_date(F.min(c))).first()[0]
         for _ in range(2):
             land_days(src, base, name, [first] if first else [], files_per_day=1)

@@ -95,16 +95,26 @@ LANDING_PARTITIONS = {
 }
 
 
+def worth_days(src: Sources, name: str, least_rows: int) -> bool:
+    """Whether a relation's days hold ``least_rows`` rows on average; below it folders by day
+    would only make small files."""
+    if name not in LANDING_PARTITIONS:
+        return False
+    rows, days = src.rel(name).agg(F.count(F.lit(1)), F.count_distinct(F.to_date(LANDING_PARTITIONS[name]))).first()
+    return rows >= least_rows * days
+
+
 def land_bronze(src: Sources, out_base: str, fmt: str = "parquet", source_name: str = "operational",
                 relations: Iterable[str] | None = None, partition: bool = True,
-                files_per_day: int = FILES_PER_DAY) -> list[str]:
+                files_per_day: int = FILES_PER_DAY, least_rows_per_day: int = 0) -> list[str]:
     """Write every source relation under ``out_base/<relation>`` with lineage
-    columns (the bronze layer). Event relations are partitioned by day."""
+    columns (the bronze layer). Event relations are partitioned by day, unless their days are
+    too small (``least_rows_per_day``)."""
     written = []
     for name in relations or SCHEMAS:
         df = with_lineage(src.rel(name), f"{source_name}.{name}")
         parts: list[str] = []
-        if partition and name in LANDING_PARTITIONS:
+        if partition and name in LANDING_PARTITIONS and (not least_rows_per_day or worth_days(src, name, least_rows_per_day)):
             c = LANDING_PARTITIONS[name]
             df = df.withColumn("_day", F.to_date(c))
             parts = ["_day"]
