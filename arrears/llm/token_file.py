@@ -1,8 +1,9 @@
 """Token-id output in Arrow's file format with equal-length sequences.
 
-Documents are range-partitioned and sorted by id. Each task encodes its range and writes
-files whose batches hold two fixed-size-list columns: ``ids`` and ``mask`` (true: a token,
-false: padding after the last token of a file). Documents follow one another without gaps;
+Documents are range-partitioned and sorted by id, then by text, so a repeated attempt writes
+the same order and an id that many rows share is no single range. Each task encodes its range
+and writes files whose batches hold two fixed-size-list columns of plain bytes and integers:
+``ids`` and ``mask`` (1: a token, 0: padding after the last token of a file). Documents follow one another without gaps;
 every file ends padded to a whole sequence, so sequence k of a file starts at token
 k * length and any document or sequence is a slice of a memory-mapped buffer. File names sort
 in document order. A task writes under a temporary name and renames when the file is whole,
@@ -11,8 +12,8 @@ so a repeated or speculative attempt replaces a file by an equal one and never s
 The index (one row per document: id, file, first token in the file, number of tokens) is a
 table beside the files. ``starts`` adds the global position from the files' totals.
 
-Edge cases: null and empty texts hold the end id only. Null ids sort first; repeated ids keep
-a file order of their own. An empty table writes no file. Extra columns are not read.
+Edge cases: null and empty texts hold the end id only. Null ids sort first; repeated ids go by
+the hash of their text, then by the text, and whole repeated rows are equal. An empty table writes no file. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ class _Writer:
         self.path, self.part = f"{base}/{name}", f"{base}/.{name}.{uuid.uuid4().hex}"
         self.length, self.dtype, self.total = length, dtype, 0
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.sink = self.fs.open_output_stream(self.part)
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.held: list[bytes] = []
@@ -67,7 +68,7 @@ class _Writer:
         for k in range(0, end, size):
             cut = ids[k:min(k + size, end)]
             full = -(-cut.size // self.length) * self.length
-            mask = np.arange(full) < cut.size
+            mask = (np.arange(full) < cut.size).astype(np.uint8)
             cut = np.concatenate([cut, np.zeros(full - cut.size, dtype=self.dtype)])
             self.out.write_batch(pa.record_batch([
                 pa.FixedSizeListArray.from_arrays(pa.array(cut), self.length),
@@ -110,8 +111,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         if file is not None:
             file.close()
 
-    ranged = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")) \
-        .repartitionByRange("id").sortWithinPartitions("id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                       F.monotonically_increasing_id().alias("copy"))
+    order = ["id", F.xxhash64("text"), "text"]
+    # The copy number only tells the ranges of a repeated row apart.
+    ranged = rows.repartitionByRange("id", F.xxhash64("text"), "copy").sortWithinPartitions(*order).drop("copy")
     ranged.mapInArrow(write, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
@@ -133,9 +137,9 @@ class TokenFile:
         return self.at[1]
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of sequence k."""
+        """ids and mask of sequence k, both views of the mapped file."""
         batch = self.reader.get_batch(k // BATCH_SEQUENCES).slice(k % BATCH_SEQUENCES, 1)
-        return batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+        return batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy().view(np.bool_)
 
     def tokens(self, first: int, n: int) -> np.ndarray:
         size, parts = self.length * BATCH_SEQUENCES, []
