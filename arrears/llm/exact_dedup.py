@@ -8,8 +8,8 @@ as one row per task. The verdict returns to the rows over the hash pair (MD5, SH
 plain join whose hot keys adaptive execution splits.
 
 Edge cases: a null text counts as empty, and empty texts equal each other. Null ids lose
-ties against any id. Repeated rows (same id and text) share one verdict. An empty table
-gives an empty result. Extra columns of the input are neither read nor returned.
+ties against any id. Of repeated rows (same id and text) the first stored one can stay, the
+others never do. An empty table gives an empty result. Extra columns of the input are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -17,28 +17,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arrears.llm.common import row_keys
+
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``keep_id`` (of equal texts the longest original, then the
     smallest id), ``group_size``, ``kept``, ``text_sha256`` of the normalised text."""
+    stored, key = row_keys(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
+    rows = stored.select(
         F.col(id_col).alias("id"),
         F.char_length(text).alias("chars"),
         F.regexp_replace(text, ASCII_SPACE, "").alias("norm"),
+        F.col(key).alias("row"),
     )
     preferred = F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("no_id"),
-                         F.col("id").alias("id"))
+                         F.col("id").alias("id"), F.col("row").alias("row"))
     groups = (rows.groupBy(F.md5("norm").alias("h"), "norm")
               .agg(F.count("*").alias("group_size"), F.min(preferred).alias("keep"))
               .select("h", F.sha2("norm", 256).alias("sha"), "group_size", "keep"))
-    keyed = rows.select("id", "chars", F.md5("norm").alias("h"), F.sha2("norm", 256).alias("sha"))
+    keyed = rows.select("id", "row", F.md5("norm").alias("h"), F.sha2("norm", 256).alias("sha"))
     return keyed.join(groups, ["h", "sha"]).select(
         F.col("id").alias(id_col),
         F.col("keep.id").alias("keep_id"),
         "group_size",
-        (F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("chars") == -F.col("keep.chars"))).alias("kept"),
+        (F.col("row") == F.col("keep.row")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
