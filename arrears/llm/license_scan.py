@@ -1,7 +1,7 @@
 """Fuzzy search for short licence notices.
 
 A notice of m characters allows k = m // 8 edits (words under 11 characters: none), at most
-three. By the pigeonhole principle one of k + 1 pieces of the notice occurs unchanged in
+three, and none inside a word of three letters or fewer. By the pigeonhole principle one of k + 1 pieces of the notice occurs unchanged in
 every match, so exact searches for the pieces give all candidates. Around each candidate the
 regex library matches the notice with at most k edits between word borders and reports the
 span and the number of edits.
@@ -38,6 +38,8 @@ NOTICES = (
     ("creative commons attribution", "cc-by"),
     ("all rights reserved", "proprietary"),
 )
+#: Words of at most so many letters take no edit: "it license" is no "mit license".
+EXACT_LETTERS = 3
 RESULT = ("struct<n_words:bigint,n_base:bigint,first_word:bigint,last_word:bigint,"
           "base_labels:array<string>,labels:array<string>,score:double,"
           "spans:array<struct<label:string,first_word:bigint,last_word:bigint,edits:int,text:string>>>")
@@ -57,6 +59,16 @@ def _plan(phrase: str):
     return k, pieces, regex.compile(rf"(?e)(?<![^ ])(?:{body}){{e<={k}}}(?![^ ])".encode())
 
 
+def _short_words(phrase: str) -> list[bytes]:
+    return [w.encode() for w in phrase.split() if len(w) <= EXACT_LETTERS]
+
+
+def _holds(found: bytes, short: list[bytes]) -> bool:
+    """Whether the short words stand unchanged, in order, among the words found."""
+    left = iter(found.split(b" "))
+    return all(w in left for w in short)
+
+
 def _places(hay: bytes, needle: bytes):
     at = hay.find(needle)
     while at >= 0:
@@ -67,7 +79,7 @@ def _places(hay: bytes, needle: bytes):
 def fuzzy_spans(line: bytes, phrase: str) -> list[tuple[int, int, int]]:
     """(start, end, edits) of the matches of a notice in space-joined words."""
     k, pieces, pattern = _plan(phrase)
-    size = len(phrase)
+    size, short = len(phrase), _short_words(phrase)
     windows = sorted((max(0, at - off - k - 1), at - off + size + k + 1)
                      for piece, off in pieces for at in _places(line, piece))
     merged: list[list[int]] = []
@@ -81,7 +93,7 @@ def fuzzy_spans(line: bytes, phrase: str) -> list[tuple[int, int, int]]:
         # Lookarounds see the bytes outside of pos and endpos only on the left: stop at a border.
         end = line.find(b" ", min(b, len(line)))
         for m in pattern.finditer(line, a, len(line) if end < 0 else end):
-            if m.end() > m.start():
+            if m.end() > m.start() and _holds(m[0], short):
                 found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
     return found
 
