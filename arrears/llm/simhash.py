@@ -153,13 +153,13 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return both.mapInArrow(compare, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable. Alternating large-star and small-star
     steps; every round is a table in the shared folder."""
     edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                   .distinct(), "links")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select("b", "a"))
         # Minima are tables: both sides of the joins are then exchanged, and a hub is split.
         least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
@@ -174,7 +174,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
-    raise RuntimeError("components did not settle")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
