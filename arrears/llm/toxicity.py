@@ -1,15 +1,16 @@
 """Toxicity severity by cumulative-link ordinal regression.
 
 P(grade > k) = sigmoid(w.x - theta_k): one weight vector shared by all ordered thresholds.
-x marks which of at most ``FEATURES`` words and word beginnings (4 to 6 letters, for inflected
-and compounded forms) a text holds. The expected severity is the sum
+x marks which words and word beginnings (4 to 6 letters, for inflected and compounded forms) a
+text holds, of all those that tell toxic from clean rows by ``LEAST_Z`` standard errors. The expected severity is the sum
 of P(grade > k) over the thresholds; a text is rejected if P(grade > 0) is at least 1/2.
 
 The model is fitted on a bounded sample: at most ``SAMPLE`` labelled rows of each class, those
 with the smallest hash of their id, weighted back to the class sizes of all labels. Copies
 and near copies in the sample (same smallest shingle hash) count once, else a copied text's
 chance words would pass for markers. Given only toxic 0 or 1, toxic rows are graded by how
-many marking features they hold (``GRADE_STEPS``). Scoring reads every whole text.
+many marking features they hold (``GRADE_STEPS``): severity then says how many markers a text
+has, not what people think of it. Scoring reads every whole text.
 
 Edge cases: null and blank texts hold no feature and score the base rate. Null labels are
 left out; repeated labels of an id count once (the highest). Without toxic labels every
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from arrears.llm.common import stage, words
 
 SAMPLE = 3000
-FEATURES = 1000
 BEGINNINGS = (4, 5, 6)
 #: Toxic rows with at least this many marking features have grade 1, 2.
 GRADE_STEPS = (0, 6)
@@ -66,11 +66,25 @@ class Model:
         return [0.0 if t == float("inf") else 1 / (1 + float(np.exp(min(t - score, 700.0)))) for t in self.thresholds]
 
 
+class Marks:
+    """Sparse 0/1 matrix: the places (row, column) of its ones."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int]):
+        self.rows, self.columns, self.shape = rows, columns, shape
+
+    @property
+    def T(self) -> Marks:
+        return Marks(self.columns, self.rows, self.shape[::-1])
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=v[self.columns], minlength=self.shape[0])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, grades: int,
+def fit_ordinal(x: np.ndarray | Marks, y: np.ndarray, sample_weight: np.ndarray, grades: int,
                 l2: float = 2e-5, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by full-batch Adam on the penalised likelihood.
 
@@ -144,13 +158,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = (each.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
               .withColumn("z", F.abs(odds) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)))
               .where(F.col("z") >= LEAST_Z)
-              .orderBy(F.desc("z"), "word").limit(FEATURES).collect())
+              .orderBy(F.desc("z"), "word").collect())  # words of the bounded sample
     place = {r["word"]: k for k, r in enumerate(chosen)}
-    marks = {r["word"] for r in chosen if r["t"] >= MARK_SHARE * n_toxic
+    marks = {k for k, r in enumerate(chosen) if r["t"] >= MARK_SHARE * n_toxic
              and (r["t"] + 0.5) / (n_toxic + 1) >= MARK_LIFT * (r["c"] + 0.5) / (n_clean + 1)}
-    wanted = F.array(*[F.lit(w) for w in place]) if place else F.array().cast("array<string>")
-    rows = held.select("id", "grade", F.array_intersect("held", wanted).alias("held")).orderBy("grade", "id").collect()
 
+    @F.pandas_udf("array<int>")
+    def places(words_held: pd.Series) -> pd.Series:
+        return pd.Series([sorted(place[w] for w in held_by if w in place) for held_by in words_held])
+
+    rows = held.select("id", "grade", places("held").alias("held")).orderBy("grade", "id").collect()
     y = np.array([r["grade"] for r in rows])
     weight = np.array([sizes[g] / max(1, int((y == g).sum())) for g in y])
     if y.max() <= 1:
@@ -158,9 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                       for g, r in zip(y, rows)])
     values = sorted(set(y.tolist()))
     y = np.array([values.index(g) for g in y])
-    x = np.zeros((len(rows), len(place)), dtype=np.float64)
-    for k, r in enumerate(rows):
-        x[k, [place[w] for w in set(r["held"])]] = 1.0
+    x = Marks(np.repeat(np.arange(len(rows)), [len(r["held"]) for r in rows]),
+              np.array([k for r in rows for k in r["held"]], dtype=np.int64), (len(rows), len(place)))
     w, theta = fit_ordinal(x, y, weight, len(values))
     return Model({word: float(w[k]) for word, k in place.items()}, theta.tolist())
 
