@@ -12,8 +12,9 @@
    counts of the matrix row.
 4. After the exchange each slice is permuted again, which gives the slot in the shard.
 
-Shard sizes differ by at most one row. The same rows, seed and P give the same shards, in
-any order of input and after the loss of any executor.
+Shard sizes differ by at most one row. P follows from the number of rows (``ROWS``), not from
+a setting: the same rows and seed give the same shards, in any order of input, under any
+shuffle setting and after the loss of any executor.
 
 Edge cases: null or repeated ids, and repeats of a whole row, are spread like other rows;
 identical rows are interchangeable. Empty tables give an empty result. The added columns
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 from arrears.llm.common import stage
 from arrears.llm.hypergeometric import matrix
 
-#: Most source partitions; the matrix has about the square of this many numbers.
-MAX_PARTITIONS = 1024
+#: Rows of a source partition, and most of these: the matrix has about the square of their
+#: number. Beyond it partitions grow; no row is left out.
+ROWS, MAX_PARTITIONS = 2048, 1024
 #: Identical rows beyond this part of a mean partition are dealt over all partitions.
 HOT_PART = 4
 #: Copies that one row becomes in a task.
@@ -61,13 +63,13 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", seed: int = 42
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
     names = docs.columns
-    p = min(MAX_PARTITIONS, max(1, partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))))
     columns = [F.col(f"`{c}`") for c in names]
     keyed = docs.select(F.struct(*columns).alias("row"), F.xxhash64(F.lit(seed), *columns).alias("_h"))
-    source = F.pmod("_h", F.lit(p)).cast("int")
     copies = stage(keyed.groupBy("_h").agg(F.count("*").alias("n")), "shard-copies")
+    total = copies.agg(F.sum("n")).first()[0] or 0
+    p = min(MAX_PARTITIONS, max(1, partitions or -(-total // ROWS)))
+    source = F.pmod("_h", F.lit(p)).cast("int")
     counts = {r[0]: r[1] for r in copies.groupBy(source.alias("p")).agg(F.sum("n")).collect()}  # at most P rows
-    total = sum(counts.values())
     hot = copies.where(F.col("n") > max(1, total // (HOT_PART * p))).collect()  # at most HOT_PART * P rows
     for h, n in hot:
         counts[h % p] -= n
