@@ -9,7 +9,9 @@ the integrated schedule, is its training position; the mix is range-sorted by po
 
 The prefix sums over a source are made from sums of 4096 hash buckets, so a source with a
 third of all rows is spread over 4096 groups. Order inside a source is the MD5 of the seed
-and the id: reruns agree, in any engine.
+and the id, then id and size: reruns agree, in any engine. Rows of equal id and size are
+dealt into ``SUBS`` parts by stored row and added up first, so that an id (or null) with a
+third of all rows comes to a bucket as sums, and its rows are placed part by part.
 
 Edge cases: a null or blank text has size 0; like any document it is taken at most
 ``max_epochs`` times, rounded up, and adds no words. A null source is a source of its own,
@@ -31,6 +33,8 @@ from arrears.llm.common import row_keys, stage
 #: Words that count towards size.
 SIZE_WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_HEX = 3
+#: Parts of the rows with one id and size.
+SUBS = 64
 
 
 def word_size(text: Column) -> Column:
@@ -74,21 +78,24 @@ def assign(docs: DataFrame, schedule, id_col: str = "doc_id", text_col: str = "t
 
     ``schedule(rank)`` gives the Columns (w0, w1) for a source's rank by code point.
     """
-    sized = stage(_sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
-    return _place(sized, schedule, max_epochs).withColumnRenamed("id", id_col)
+    rows, key = row_keys(docs)
+    sized = stage(_sized(rows, key, id_col, text_col, source_col, seed), "mix-sizes")
+    return _place(sized, schedule, max_epochs).drop("row").withColumnRenamed("id", id_col)
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more: Column) -> DataFrame:
-    """id, source, size, key and bucket of every row, and further columns to carry."""
-    return docs.select(
+def _sized(rows: DataFrame, key: str, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """id, source, size, key, row (stored row), bucket and sub of every row."""
+    return rows.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_size(F.col(text_col)).alias("size"),
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("key"), *more,
-    ).withColumn("bucket", F.substring("key", 1, BUCKET_HEX))
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("key"), F.col(key).alias("row"),
+    ).withColumn("bucket", F.substring("key", 1, BUCKET_HEX)).withColumn("sub", F.pmod(F.xxhash64("row"), F.lit(SUBS)))
 
 
-def _place(sized: DataFrame, schedule, max_epochs: float, *more: str) -> DataFrame:
-    """``assign`` of rows from ``_sized``; the columns ``more`` are carried and break ties."""
-    buckets = stage(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
+def _place(sized: DataFrame, schedule, max_epochs: float) -> DataFrame:
+    """``assign`` of rows from ``_sized``, with their ``row``."""
+    alike = ["source", "bucket", "key", "id", "size", "sub"]
+    groups = stage(sized.groupBy(*alike).agg(F.sum("size").alias("group_size")), "mix-groups")
+    buckets = stage(groups.groupBy("source", "bucket").agg(F.sum("group_size").alias("bucket_size")), "mix-buckets")
     by_source = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     ranked = by_source.withColumn(
         "rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -101,10 +108,18 @@ def _place(sized: DataFrame, schedule, max_epochs: float, *more: str) -> DataFra
     starts = starts.join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(
         "b.source", "b.bucket", "start", "source_size", "target", "w0", "w1")
 
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", *more).rowsBetween(
+    before = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", "sub").rowsBetween(
         Window.unboundedPreceding, -1)
-    placed = sized.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d").join(
-        starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket")))
+    groups = groups.withColumn("before", F.coalesce(F.sum("group_size").over(before), F.lit(0))).alias("g").join(
+        starts.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source")) & (F.col("g.bucket") == F.col("s.bucket"))).select(
+            *[F.col(f"g.{c}") for c in alike], "before", "start", "source_size", "target", "w0", "w1")
+    groups = stage(groups, "mix-placed").alias("g")
+    placed = sized.alias("d").join(groups, (F.col("d.bucket") == F.col("g.bucket")) & (F.col("d.key") == F.col("g.key"))
+                                   & (F.col("d.size") == F.col("g.size")) & (F.col("d.sub") == F.col("g.sub"))
+                                   & F.col("d.source").eqNullSafe(F.col("g.source")) & F.col("d.id").eqNullSafe(F.col("g.id")))
+    placed = placed.select("d.*", "before", "start", "source_size", "target", "w0", "w1")
+    nth = F.row_number().over(Window.partitionBy(*alike).orderBy("row")) - 1
+    placed = placed.withColumn("ahead", F.col("before") + F.col("size") * nth)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     at = F.col("start") + F.col("ahead")
     rest = F.col("target") - F.col("full") * F.col("source_size")
@@ -113,9 +128,9 @@ def _place(sized: DataFrame, schedule, max_epochs: float, *more: str) -> DataFra
             .withColumn("epochs", F.least(F.col("full") + F.when(at + F.col("size") / 2 <= rest, 1).otherwise(0),
                                            F.lit(ceil(max_epochs))))
             .withColumn("position", F.when(F.col("epochs") > 0, demand_time(first, F.col("w0"), F.col("w1"))))
-            .select("id", "d.source", "size", "source_size", "target",
+            .select("id", "source", "size", "source_size", "target",
                     (F.col("size") * F.col("epochs")).alias("taken"), F.col("epochs").cast("int").alias("epochs"),
-                    "position", at.alias("offset"), "w0", "w1", *more))
+                    "position", at.alias("offset"), "w0", "w1", "row"))
 
 
 def expand(assigned: DataFrame) -> DataFrame:
@@ -132,8 +147,6 @@ def mix(docs: DataFrame, schedule, id_col: str = "doc_id", text_col: str = "text
     ``position``. Sizes and uses go by a key of the stored row, never by its id."""
     names = [c for c in docs.columns if c not in ("epoch", "position")]
     rows, key = row_keys(docs.select(*[f"`{c}`" for c in names]) if len(names) < len(docs.columns) else docs)
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("tie")
-    sized = stage(_sized(rows, id_col, text_col, source_col, seed, tie, F.col(key).alias("row")), "mix-sizes")
-    uses = stage(expand(_place(sized, schedule, max_epochs, "tie", "row")).select(F.col("row").alias(key), "epoch", "position"),
-                 "mix-uses")
+    sized = stage(_sized(rows, key, id_col, text_col, source_col, seed), "mix-sizes")
+    uses = stage(expand(_place(sized, schedule, max_epochs)).select(F.col("row").alias(key), "epoch", "position"), "mix-uses")
     return rows.join(uses, key).drop(key).orderBy("position", id_col, "epoch")
