@@ -10,22 +10,25 @@ serves many benchmarks.
 posting list of the rarest term in the block, shifts it by the term's offset, and
 intersects it with the shifted lists of the other terms from rare to frequent; what remains
 are the exact places of the phrase. Neighbouring windows of an item merge into spans.
-``proximity=True`` also reports places where all words of a window stand, in any order,
-within ``slop`` extra words.
+``proximity=True`` also reports places where all words of a whole window stand, each as often
+as in the window and in any order, within ``slop`` extra words.
 
-Items reach the tasks in passes of at most ``PASS_BYTES`` of benchmark text, so what is sent
-along stays bounded however large the benchmark is; the passes' spans are united per document.
+Items are dealt by hash into shares of about ``PASS_BYTES`` of text. A share is a row that
+meets the blocks in a join, so neither the driver nor a task holds more than a share of the
+benchmark; the spans of several shares are united per document.
 
 Edge cases: null or word-less texts give a row without matches; word-less items have no
-windows; an item shorter than the window is one window; equal windows of several items match
-for each of them; an item without id marks its places but is neither listed nor counted in
-the digest. Null ids and repeated rows are kept as they are. Empty tables give empty or
+windows; an item shorter than the window is one window, found as a phrase only; equal windows
+of several items match for each of them; an item without id marks its places but is neither
+listed nor counted in the digest. Null ids and repeated rows are kept as they are. Empty tables give empty or
 match-free results. Extra columns of either input are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -107,28 +110,32 @@ def _phrase(lists: list[tuple[np.ndarray, int]]) -> np.ndarray:
     return at
 
 
-def _near(lists: list[np.ndarray], reach: int, starts: np.ndarray) -> list[tuple[int, int]]:
-    """Spans of at most ``reach`` words of one document that hold a place of every list. Each
-    place of the rarest list is tried with every window start that could cover it; places that
-    miss a list in their document and reach are left out beforehand, all at once."""
-    lists = sorted(lists, key=lambda x: x.size)
-    at = lists[0]
+def _near(lists: list[tuple[np.ndarray, int]], reach: int, starts: np.ndarray) -> list[tuple[int, int]]:
+    """Spans of at most ``reach`` words of one document that hold of every list as many places
+    as it asks for. Each place of the rarest list is tried with every window start that could
+    cover it; places without enough of a list in their document and reach are left out
+    beforehand, all at once."""
+    lists = sorted(lists, key=lambda x: x[0].size)
+    at = lists[0][0]
     doc = np.searchsorted(starts, at, side="right") - 1
     low = np.maximum(at - reach + 1, starts[doc]).astype(at.dtype)
     high = np.minimum(at + reach, starts[doc + 1] - 1).astype(at.dtype)
-    for x in lists[1:]:
+    for x, need in lists:
         if not at.size:
             break
-        held = np.searchsorted(x, low) < np.searchsorted(x, high)
+        held = np.searchsorted(x, high) - np.searchsorted(x, low) >= need
         at, low, high = at[held], low[held], high[held]
-    ranges = [(np.searchsorted(x, low).tolist(), np.searchsorted(x, high).tolist()) for x in lists]
+    ranges = [(np.searchsorted(x, low).tolist(), np.searchsorted(x, high).tolist()) for x, _ in lists]
     out = []
     for k, p in enumerate(at.tolist()):
-        near = [x[i[k]:j[k]].tolist() for x, (i, j) in zip(lists, ranges)]
-        for a in sorted({v for x in near for v in x if v <= p}):
-            ends = [next((v for v in x if v >= a), None) for x in near]
-            if None not in ends and max(*ends, p) - a < reach:
-                out.append((a, max(*ends, p) + 1))
+        near = [(x[i[k]:j[k]].tolist(), need) for (x, need), (i, j) in zip(lists, ranges)]
+        for a in sorted({v for x, _ in near for v in x if v <= p}):
+            last = [bisect_left(x, a) + need - 1 for x, need in near]
+            if any(n >= len(x) for n, (x, _) in zip(last, near)):
+                break  # a later start holds no more
+            end = max(p, *(x[n] for n, (x, _) in zip(last, near)))
+            if end - a < reach:
+                out.append((a, end + 1))
                 break
     return out
 
@@ -143,7 +150,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def search_block(row: dict, windows: dict, proximity: bool, slop: int):
+def search_block(row: dict, windows: dict, size: int, proximity: bool, slop: int):
     """Matches of all windows in one index block: {(ordinal, item, kind): spans in words}."""
     names = row["terms"].split(b" ") if row["terms"] else []
     code = {w: k for k, w in enumerate(names)}
@@ -165,9 +172,9 @@ def search_block(row: dict, windows: dict, proximity: bool, slop: int):
         lists = [postings[bounds[t]:bounds[t + 1]] for t in terms]
         for at in _phrase([(x, k) for k, x in enumerate(lists)]).tolist():
             note(at, at + len(window), "phrase", items)
-        if proximity:
-            distinct = [postings[bounds[t]:bounds[t + 1]] for t in dict.fromkeys(terms)]
-            for a, b in _near(distinct, len(window) + slop, starts):
+        if proximity and len(window) == size:
+            wanted = [(postings[bounds[t]:bounds[t + 1]], n) for t, n in Counter(terms).items()]
+            for a, b in _near(wanted, size + slop, starts):
                 note(a, b, "near", items)
     return {k: _merge(v) for k, v in found.items()}, starts
 
@@ -179,30 +186,29 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_te
     items = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     n_bytes = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = max(1, -(-int(n_bytes) // PASS_BYTES))
-    parts = [_search_pass(index, items if passes == 1 else items.where(
-        F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k), window, proximity, slop) for k in range(passes)]
+    shares = items.groupBy(F.pmod(F.xxhash64("i", "t"), F.lit(passes)).cast("int").alias("share")).agg(
+        F.collect_list(F.struct("i", "t")).alias("items"))  # about PASS_BYTES
+    asked = index.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).join(shares, "share", "left")
+    found = asked.mapInArrow(_searcher(window, proximity, slop), FOUND)
     if passes == 1:
-        return parts[0]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union.groupBy("block", "ordinal", "doc_id", "n_words").agg(
-        F.flatten(F.collect_list("matches")).alias("matches"))
-
-
-def _search_pass(index: DataFrame, items: DataFrame, window: int, proximity: bool, slop: int) -> DataFrame:
-    spark = index.sparkSession
-    windows = spark.sparkContext.broadcast(  # at most about PASS_BYTES of text
-        item_windows([(r[0], r[1]) for r in items.collect()], window))
+        return found
+    return found.groupBy("block", "ordinal", "doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))
+
+
+def _searcher(window: int, proximity: bool, slop: int):
+    """Search of index blocks for the share of items beside them."""
     schema = pa.schema([("block", pa.string()), ("ordinal", pa.int32()), ("doc_id", pa.int64()),
                         ("n_words", pa.int64()), ("matches", pa.list_(pa.struct([
                             ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
                             ("kind", pa.string())])))])
 
     def run(batches):
+        share, windows = None, {}
         for batch in batches:
             for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
-                found, starts = search_block(row, windows.value, proximity, slop)
+                if share != row["share"]:
+                    share, windows = row["share"], item_windows([(x["i"], x["t"]) for x in row["items"] or ()], window)
+                found, starts = search_block(row, windows, window, proximity, slop)
                 by_doc: dict[int, list] = {}
                 for (doc, item, kind), spans in found.items():
                     by_doc.setdefault(doc, []).extend(
@@ -212,7 +218,7 @@ def _search_pass(index: DataFrame, items: DataFrame, window: int, proximity: boo
                     [{"block": row["block"], "ordinal": k, "doc_id": i, "n_words": int(sizes[k]),
                       "matches": by_doc.get(k, [])} for k, i in enumerate(row["doc_ids"])], schema)
 
-    return index.mapInArrow(run, FOUND)
+    return run
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -222,19 +228,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated from the phrase matches."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated from the phrase matches;
+    n_near, near_sha256 (items with a near match) from the proximity matches."""
+
+    def listed(spans, kind):
+        return sorted({s["item_id"] for s in spans if s["kind"] == kind and s["item_id"] is not None})
 
-    @F.pandas_udf("struct<n_hit:bigint,n_items:bigint,items_sha256:string>")
+    @F.pandas_udf("struct<n_hit:bigint,n_items:bigint,items_sha256:string,n_near:bigint,near_sha256:string>")
     def sums(matches: pd.Series) -> pd.DataFrame:
         out = []
         for spans in matches:
-            spans = [s for s in spans if s["kind"] == "phrase"]
-            items = sorted({s["item_id"] for s in spans if s["item_id"] is not None})
-            hit = sum(b - a for a, b in _merge([(s["start"], s["end"]) for s in spans]))
-            out.append((hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest()))
-        return pd.DataFrame(out, columns=["n_hit", "n_items", "items_sha256"])
+            items, near = listed(spans, "phrase"), listed(spans, "near")
+            hit = sum(b - a for a, b in _merge([(s["start"], s["end"]) for s in spans if s["kind"] == "phrase"]))
+            out.append((hit, *(x for ids in (items, near) for x in (
+                len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()))))
+        return pd.DataFrame(out, columns=["n_hit", "n_items", "items_sha256", "n_near", "near_sha256"])
 
     # As strings: pandas would turn ids beside a null into floats.
     named = F.transform("matches", lambda m: m.withField("item_id", m["item_id"].cast("string")))
     return found.withColumn("d", sums(named)).select(
-        "doc_id", "n_words", "d.n_hit", "d.n_items", "d.items_sha256", (F.col("d.n_hit") > 0).alias("contaminated"))
+        "doc_id", "n_words", "d.n_hit", "d.n_items", "d.items_sha256", (F.col("d.n_hit") > 0).alias("contaminated"),
+        "d.n_near", "d.near_sha256")

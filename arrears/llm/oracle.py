@@ -3,24 +3,46 @@
 WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
-#: Every run of as many document words as a window has, against the windows.
+#: Every run of as many document words as a window has, against the windows; and, for documents with all
+#: words of a whole window, the slices of 15 words that hold each as often as the window.
 DECONTAMINATE = rf"""
 WITH item AS (SELECT item_id, {WORDS} AS w FROM benchmark),
 win AS (
-    SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS phrase
+    SELECT DISTINCT item_id, least(10, len(w)) AS n, w[k:k + least(10, len(w)) - 1] AS words
     FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM item WHERE len(w) > 0)),
-doc AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+doc AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
 run AS (
     SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS phrase
     FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k
           FROM doc, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
-hit AS (SELECT r, item_id, k, n FROM run JOIN win USING (n, phrase)),
+hit AS (SELECT r, item_id, k, n FROM run JOIN (SELECT item_id, n, array_to_string(words, ' ') AS phrase FROM win) USING (n, phrase)),
 place AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hit) GROUP BY r),
 held AS (SELECT r, count(id) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
-         FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r)
+         FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r),
+term AS MATERIALIZED (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(w) AS word FROM doc) GROUP BY r, word),
+bag AS MATERIALIZED (
+    SELECT row_number() OVER () AS b, ids, words
+    FROM (SELECT list(DISTINCT item_id) AS ids, words FROM (SELECT item_id, list_sort(words) AS words FROM win WHERE n = 10)
+          GROUP BY words)),
+ask AS MATERIALIZED (SELECT b, word, count(*) AS n FROM (SELECT b, unnest(words) AS word FROM bag) GROUP BY b, word),
+rare AS (SELECT b, arg_min(word, coalesce(df, 0)) AS word
+         FROM ask LEFT JOIN (SELECT word, count(*) AS df FROM term GROUP BY word) USING (word) GROUP BY b),
+maybe AS MATERIALIZED (
+    SELECT r, b FROM rare JOIN term USING (word) JOIN (SELECT b, count(*) AS terms FROM ask GROUP BY b) USING (b)
+    WHERE (SELECT count(*) FROM ask JOIN term t USING (word) WHERE ask.b = rare.b AND t.r = term.r AND t.n >= ask.n) = terms),
+slice AS (
+    SELECT r, b, list_sort(w[k:k + 14]) AS s, words, ids
+    FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM maybe JOIN doc USING (r) JOIN bag USING (b))
+    WHERE list_contains(words, w[k])),
+close AS (
+    SELECT r, count(DISTINCT id) AS n_near, string_agg(DISTINCT id, ',' ORDER BY id) AS near
+    FROM (SELECT r, CAST(unnest(ids) AS VARCHAR) AS id FROM slice
+          WHERE len(list_filter(words, lambda x, i: len(list_filter(s, lambda y: y = x)) < len(list_filter(words, lambda z: z = x)))) = 0)
+    WHERE id IS NOT NULL GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc LEFT JOIN place USING (r) LEFT JOIN held USING (r)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near, 0) AS n_near, sha256(coalesce(near, '')) AS near_sha256
+FROM doc LEFT JOIN place USING (r) LEFT JOIN held USING (r) LEFT JOIN close USING (r)
 """
 
 EXACT_DEDUP = r"""
@@ -29,8 +51,7 @@ WITH d AS (
            regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
     FROM documents)
 SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
-       doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER best
-           AND chars = first_value(chars) OVER best AS kept,
+       row_number() OVER (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST) = 1 AS kept,
        sha256(norm) AS text_sha256
 FROM d WINDOW best AS (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST
                        ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)

@@ -36,7 +36,7 @@ def repeating_weights(rank):
 
 
 def op1_decontaminate(spark: SparkSession, d: str) -> DataFrame:
-    return digest(decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")))
+    return digest(decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark"), proximity=True))
 
 
 def op2_token_files(spark: SparkSession, d: str) -> DataFrame:
