@@ -58,6 +58,8 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 #: Bits of a row key for the place in a file; the others number the files.
 ROW_BITS = 40
+#: A list of files up to this size is broadcast.
+FILE_LIST_BYTES = 8 << 20
 
 
 def free_name(docs: DataFrame, name: str) -> str:
@@ -81,6 +83,8 @@ def row_keys(docs: DataFrame) -> tuple[DataFrame, str]:
     files = sorted({re.sub(r"^([^:/]+):///", r"\1:/", f) for f in docs.inputFiles()})
     numbers = docs.sparkSession.createDataFrame([(f, k << ROW_BITS) for k, f in enumerate(files)],
                                                 f"`{path}` string, `{base}` bigint")
+    if sum(map(len, files)) < FILE_LIST_BYTES:  # beyond that Spark joins it as it sees fit
+        numbers = F.broadcast(numbers)
     known = F.coalesce(F.col(base), F.raise_error(F.concat(F.lit("unknown file "), F.col(path))).cast("bigint"))
     return placed.join(numbers, path, "left").select(
         *[F.col(f"`{c}`") for c in docs.columns], (known + F.col(key)).alias(key)), key
