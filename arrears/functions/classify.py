@@ -62,6 +62,7 @@ def text_flag(text: Column, word: str) -> Column:
     return _flag(contains_ci(text, word))
 
 
+# Status numbers and their labels.
 def status_label(status: Column) -> Column:
     return (F.when(status.isin(2, 300), "Agreement")
             .when(status.isin(118, 119, 120), "Negotiation")
@@ -116,6 +117,7 @@ def dpd_range(dpd: Column) -> Column:
     return expr.otherwise("DPD 360+")
 
 
+# Labels of money and of a promise's state.
 def money_type(has_previous_payment: Column) -> Column:
     return F.when(has_previous_payment == 1, "OLD MONEY").otherwise("NEW MONEY")
 
@@ -141,6 +143,7 @@ def is_operator(sip_number: Column, strict: bool = False) -> Column:
             .otherwise("No"))
 
 
+# Labels of attendance.
 def attendance_status(work_day: Column, start: Column, end: Column, activity: Column,
                       training_days: int = C.TRAINING_DAYS,
                       user_status: Column | None = None) -> Column:

@@ -41,7 +41,7 @@ def operator_ranking(m: Model) -> DataFrame:
     ranked inside their bucket and moved up by the operators in higher
     buckets: only the bucket totals (at most ``SCORE_BUCKETS`` + 1 rows) are
     ever summed in one task."""
-    q = kpi.quality_score(m)
+    q = m.stored({}, quality_scores=kpi.quality_score(m)).quality_scores  # read three times below
     score = col("quality_score")
     bucket = F.when(score.isNull(), -1).otherwise(
         F.greatest(F.least(F.floor(score / SCORE_STEP), F.lit(SCORE_BUCKETS - 1)), F.lit(0))).cast("int")

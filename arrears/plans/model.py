@@ -7,16 +7,21 @@ Spark reuses identical sub-plans (and their shuffles).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import copy
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from arrears.config import Params
 from arrears.plans import dims, facts
-from arrears.session import checkpoint_dir
+from arrears.session import checkpoint_dir, shared_path
 from arrears.sources.catalog import Sources
 
+#: Datasets that are written at a time; small ones then fill what a large one leaves idle.
+WRITERS = 4
+
 
 class Model:
     def __init__(self, src: Sources, events: Params, orders: Params | None = None):
@@ -88,6 +93,27 @@ class Model:
         return self
 
 
+    def stored(self, columns: Mapping[str, Sequence[str]], **more: DataFrame) -> "Model":
+        """The model with some columns of the named datasets (and further frames, as attributes)
+        written once to the shared folder, side by side, and read from there: a report that
+        looks at a dataset in several ways computes it once. What is stored already stays."""
+        spark, base = self.src.spark, shared_path(self.src.spark, "model")
+        out = copy.copy(self)
+        out.__dict__["_stored"] = set(self.__dict__.get("_stored", ()))
+        todo = {**{n: getattr(self, n).select(*c) for n, c in columns.items() if n not in out._stored}, **more}
+
+        def write(item: tuple[str, DataFrame]) -> tuple[str, DataFrame]:
+            name, df = item
+            df.write.parquet(f"{base}/{name}")
+            return name, spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+        with ThreadPoolExecutor(WRITERS) as pool:
+            for name, df in pool.map(write, todo.items()):
+                out.__dict__[name] = df
+                out._stored.add(name)
+        return out
+
+
 class StoredModel(Model):
     """A model that reads the named datasets from tables written by
     ``sources.sink.write_gold`` (one folder each) and computes only the
@@ -104,3 +130,4 @@ class StoredModel(Model):
             stored = src.spark.read.format(fmt).load(f"{gold_base.rstrip('/')}/{n}")
             # A partition column comes back last: restore the declared order.
             self.__dict__[n] = stored.select(*getattr(computed, n).columns)
+        self.__dict__["_stored"] = set(names)

@@ -29,29 +29,33 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+# The reports below write what they need of the facts once and look at the tables.
 # DQ1
-def pk_keys(m: Model) -> dict[str, tuple[DataFrame, tuple[str, ...]]]:
-    return {
-        "fact_dialer": (m.fact_dialer, ("dialer_call_id",)),
-        "fact_contacts": (m.fact_contacts, ("contact_id",)),
-        "fact_payments": (m.fact_payments, ("payment_id",)),
-        "cc_operator_activity": (m.cc_operator_activity, ("user_id", "user_name", "contact_date")),
-        "fact_operator_presence": (m.fact_operator_presence, ("users_id", "WorkDate")),
-        "dim_operators": (m.dim_operators, ("user_id",)),
-        "dim_cases": (m.dim_cases, ("case_id",)),
-        "dim_client": (m.dim_client, ("client_id",)),
-        "fact_ptp": (m.fact_ptp, PROMISE_KEYS),
-        "fact_ptp_enriched": (m.fact_ptp_enriched, ("case_id", "promise_date", "payment_id")),
-        "dim_company": (m.dim_company, ("client_id",)),
-        "dim_date": (dim_date(m), ("Date",)),
-        "dim_commission_rules": (m.dim_commission_rules, ("client_id",)),
-    }
+KEYS = {
+    "fact_dialer": ("dialer_call_id",),
+    "fact_contacts": ("contact_id",),
+    "fact_payments": ("payment_id",),
+    "cc_operator_activity": ("user_id", "user_name", "contact_date"),
+    "fact_operator_presence": ("users_id", "WorkDate"),
+    "dim_operators": ("user_id",),
+    "dim_cases": ("case_id",),
+    "dim_client": ("client_id",),
+    "fact_ptp": PROMISE_KEYS,
+    "fact_ptp_enriched": ("case_id", "promise_date", "payment_id"),
+    "dim_company": ("client_id",),
+    "dim_date": ("Date",),
+    "dim_commission_rules": ("client_id",),
+}
+FACTS = ("fact_dialer", "fact_contacts", "fact_payments", "cc_operator_activity", "fact_operator_presence", "fact_ptp",
+         "fact_ptp_enriched")
 
 
 def primary_keys(m: Model) -> DataFrame:
     """Per dataset: rows, rows with a null key part, key values seen twice+."""
+    m = m.stored({n: KEYS[n] for n in (*FACTS, "dim_cases")}, dim_date=dim_date(m))
     parts = []
-    for name, (df, keys) in pk_keys(m).items():
+    for name, keys in KEYS.items():
+        df = getattr(m, name)
         anynull = F.lit(False)
         for k in keys:
             anynull = anynull | col(k).isNull()
@@ -85,7 +89,7 @@ def fk_checks(m: Model) -> list[tuple[str, DataFrame, str, DataFrame, str]]:
         ("contacts.client_id", m.fact_contacts, "client_id", *client),
         ("contacts.operator_id", m.fact_contacts, "operator_id", *seat),
         ("enriched.client_id", m.fact_ptp_enriched, "client_id", *client),
-        ("operator_day.users_id", operator_day(m), "users_id", *seat),
+        ("operator_day.users_id", m.operator_day, "users_id", *seat),
         ("payments.client_id", m.fact_payments, "client_id", *client),
         ("client.company_id", m.dim_client, "company_id", m.src.company, "company_id"),
     ]
@@ -101,11 +105,24 @@ def fk_date_checks(m: Model) -> list[tuple[str, DataFrame, str]]:
         ("presence.WorkDate", m.fact_operator_presence, "WorkDate"),
         ("contacts.contact_date", m.fact_contacts, "contact_date"),
         ("enriched.payment_date", m.fact_ptp_enriched, "payment_date"),
-        ("operator_day.WorkDate", operator_day(m), "WorkDate"),
+        ("operator_day.WorkDate", m.operator_day, "WorkDate"),
         ("payments.payment_date", m.fact_payments, "payment_date"),
     ]
 
 
+#: What the relationships and the operator-day table use of the facts.
+REFERENCES = {
+    "fact_dialer": ("case_id", "client_id", "operator_id", "call_date", "answered_flag", "cpc_flag"),
+    "fact_contacts": ("case_id", "client_id", "operator_id", "contact_date", "has_promise"),
+    "fact_payments": ("client_id", "payment_date"),
+    "cc_operator_activity": ("user_id",),
+    "fact_operator_presence": ("users_id", "WorkDate", "attendance_status", "contact_count"),
+    "fact_ptp": ("case_id", "client_id", "operator_id", "contact_date", "promise_date", "payment_date"),
+    "fact_ptp_enriched": ("client_id", "payment_date"),
+    "dim_cases": ("case_id", "client_id"),
+}
+
+
 def foreign_keys(m: Model) -> DataFrame:
     """Per relationship: non-null foreign keys with no dimension row.
 
@@ -114,11 +131,14 @@ def foreign_keys(m: Model) -> DataFrame:
     are counted per key (partial aggregation: a hot key costs one row per
     task), matched once against the tagged union of all dimension keys and
     summed per relationship. One shuffle, however many relationships."""
+    m = m.stored(REFERENCES, dim_date=dim_date(m))
+    m = m.stored({}, operator_day=operator_day(m))
+
     # Keys are compared as bigint; dates as their day number.
     def as_key(c):
         return lambda df: (F.unix_date(col(c)) if dict(df.dtypes)[c] == "date" else col(c)).cast("bigint")
 
-    calendar = dim_date(m)
+    calendar = m.dim_date
     checks = [(n, f, as_key(fk), d, as_key(pk)) for n, f, fk, d, pk in fk_checks(m)]
     checks += [(n, f, as_key(c), calendar, as_key("Date")) for n, f, c in fk_date_checks(m)]
     by_fact: dict[int, tuple[DataFrame, list]] = {}
@@ -149,12 +169,14 @@ def foreign_keys(m: Model) -> DataFrame:
 # DQ3
 def fanout(m: Model) -> DataFrame:
     """Fact rows against the rows of the relation that defines the grain."""
+    m = m.stored({n: KEYS[n][:1] for n in FACTS}, promises=promise_base(m.src, m.po).select("case_id"),
+                 month_money=union_paid_unpaid(m.src, m.po).select("case_id"))
     pairs = [
         ("fact_dialer", dialer_base(m.src, m.pe), m.fact_dialer),
         ("fact_contacts", contact_base(m.src, m.pe), m.fact_contacts),
         ("fact_payments", m.src.payments, m.fact_payments),
-        ("fact_ptp", promise_base(m.src, m.po), m.fact_ptp),
-        ("fact_ptp_enriched", union_paid_unpaid(m.src, m.po), m.fact_ptp_enriched),
+        ("fact_ptp", m.promises, m.fact_ptp),
+        ("fact_ptp_enriched", m.month_money, m.fact_ptp_enriched),
         ("cc_operator_activity", activity_counts(m.src, m.pe), m.cc_operator_activity),
         ("fact_operator_presence", cross_presence(m.src, m.pe), m.fact_operator_presence),
     ]
@@ -237,6 +259,7 @@ DOMAINS = {
 def value_domains(m: Model) -> DataFrame:
     """Rows whose value is null or outside the allowed set, per column. Each
     dataset is read once, whatever the number of its checked columns."""
+    m = m.stored({ds: [c for d, c in DOMAINS if d == ds] for ds, _ in DOMAINS})
     parts = []
     for ds in dict.fromkeys(d for d, _ in DOMAINS):
         columns = {c: allowed for (d, c), allowed in DOMAINS.items() if d == ds}
@@ -332,6 +355,7 @@ def client_ids(m: Model) -> DataFrame:
     """Per fact: rows on the reserved client ids (1, 999) and rows whose
     client is not in the client table. Facts are counted per client first;
     the counts meet the client table in one join."""
+    m = m.stored({n: ("client_id",) for n in ("fact_dialer", "fact_contacts", "fact_ptp", "fact_ptp_enriched", "fact_payments")})
     facts_ = [("fact_dialer", m.fact_dialer), ("fact_contacts", m.fact_contacts),
               ("fact_ptp", m.fact_ptp), ("fact_ptp_enriched", m.fact_ptp_enriched),
               ("fact_payments", m.fact_payments)]
