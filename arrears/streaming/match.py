@@ -7,6 +7,8 @@ Rows that come later than ``lateness`` are dropped, as the watermark promises.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -45,29 +47,65 @@ def calls_once(calls: DataFrame, lateness: str = "10 minutes") -> DataFrame:
 
 
 # ---- files in order of time, read as a stream
-def feed(df: DataFrame, c: str, cuts: list, path: str) -> None:
-    """Write rows as files that follow one another in time: the rows before the first cut, those up
-    to the next, and so on; later files are newer."""
-    bounds = [None, *cuts, None]
+def feed_steps(df: DataFrame, c: str, cuts: list, path: str) -> list[Callable[[], None]]:
+    """Writers of steps that follow one another in time: the rows before the first cut, those up to
+    the next, and so on. Every task writes a bounded part of a step, so a large step has several files."""
+    bounds, steps = [None, *cuts, None], []
     for lo, hi in zip(bounds, bounds[1:]):
         part = df
         if lo is not None:
             part = part.where(col(c) >= F.lit(lo))
         if hi is not None:
             part = part.where(col(c) < F.lit(hi))
-        part.coalesce(1).write.mode("append").parquet(path)
+        steps.append(lambda part=part: part.hint("rebalance").write.mode("append").parquet(path))
+    return steps
 
 
-def read_feed(spark: SparkSession, schema, path: str, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def feed(df: DataFrame, c: str, cuts: list, path: str) -> None:
+    """All steps, one after another; files of later steps are newer."""
+    for step in feed_steps(df, c, cuts, path):
+        step()
 
 
-def run_to_end(df: DataFrame, name: str) -> tuple[DataFrame, StreamingQuery]:
-    """Run a stream over all files there are, in as many triggers as they need, into a table."""
-    spark, out = df.sparkSession, shared_path(df.sparkSession, name)
+def read_feed(spark: SparkSession, schema, path: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """The files as a stream; None: each trigger takes all files there are."""
+    r = spark.readStream.schema(schema)
+    return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).parquet(path)
+
+
+def _run(df: DataFrame, out: str) -> StreamingQuery:
     q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
+    return q
+
+
+def run_to_end(df: DataFrame, name: str) -> tuple[DataFrame, StreamingQuery]:
+    """Run a stream over all files there are, in as many triggers as they need, into a table."""
+    spark, out = df.sparkSession, shared_path(df.sparkSession, name)
+    q = _run(df, out)
+    return spark.read.schema(df.schema).parquet(out), q
+
+
+def run_by_steps(stream: Callable[[], DataFrame], name: str, spark: SparkSession,
+                 *feeds: list[Callable[[], None]]) -> tuple[DataFrame, StreamingQuery]:
+    """Run a stream of whole-feed triggers into a table, from one checkpoint: each step of the feeds
+    is one trigger, however many files it has. The empty trigger that moves the watermark on comes
+    once, after the last step, as in one run over all files."""
+    out, idle, df = shared_path(spark, name), "spark.sql.streaming.noDataMicroBatches.enabled", None
+    before, left = spark.conf.get(idle), len(feeds[0])
+    try:
+        spark.conf.set(idle, "false")
+        for steps in zip(*feeds, strict=True):
+            for step in steps:
+                step()
+            left -= 1
+            if not left:
+                spark.conf.set(idle, before)
+            df = df or stream()  # a stream needs its folder
+            q = _run(df, out)
+    finally:
+        spark.conf.set(idle, before)
     return spark.read.schema(df.schema).parquet(out), q
 
 
@@ -78,10 +116,13 @@ def interval_latest_stream(src: Sources, p: Params) -> DataFrame:
     calls = src.dialer_calls.select("uniqueid", "telecom_id", "case_id", "campaign_id", "campaign_name", "call_date")
     cuts = _cuts(p)
     paths = shared_path(spark, "stream-contacts"), shared_path(spark, "stream-calls")
-    feed(cb, "contact_date", cuts, paths[0])
-    feed(calls, "call_date", cuts, paths[1])
-    found, _ = run_to_end(interval_matches(read_feed(spark, cb.schema, paths[0]), read_feed(spark, calls.schema, paths[1]),
-                                           p.tolerance_minutes), "stream-matches")
+
+    def matches() -> DataFrame:
+        return interval_matches(read_feed(spark, cb.schema, paths[0], None), read_feed(spark, calls.schema, paths[1], None),
+                                p.tolerance_minutes)
+
+    found, _ = run_by_steps(matches, "stream-matches", spark, feed_steps(cb, "contact_date", cuts, paths[0]),
+                            feed_steps(calls, "call_date", cuts, paths[1]))
     found = found.where(col("uniqueid").isNotNull())
     bridge = facts.dialer_contact_dedup(src).select(col("unique_id").alias("_uid"), col("contact_id").alias("dialer_contact_id"))
     match = F.struct("call_date", "uniqueid", "campaign_id", "campaign_name", "dialer_contact_id").alias("match")
@@ -97,8 +138,8 @@ def calls_once_stream(src: Sources, p: Params) -> DataFrame:
     spark, path = src.spark, shared_path(src.spark, "stream-repeats")
     calls = src.dialer_calls.select("uniqueid", "call_date")
     again = calls.where(F.abs("uniqueid") % 5 == 0).withColumn("call_date", col("call_date") + F.expr("interval 1 minute"))
-    feed(calls.unionByName(again), "call_date", _cuts(p), path)
-    found, _ = run_to_end(calls_once(read_feed(spark, calls.schema, path)), "stream-once")
+    found, _ = run_by_steps(lambda: calls_once(read_feed(spark, calls.schema, path, None)), "stream-once", spark,
+                            feed_steps(calls.unionByName(again), "call_date", _cuts(p), path))
     return found.groupBy("uniqueid").agg(F.count(F.lit(1)).alias("copies"))
 
 
