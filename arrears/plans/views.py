@@ -4,6 +4,8 @@ be checked and reused in isolation."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +20,12 @@ from arrears.operators.exists import flag_if_exists, keys_with_rows, without_mat
 from arrears.plans import facts
 from arrears.plans.kpi import dim_date
 from arrears.plans.marts import operator_day
-from arrears.plans.model import Model
+from arrears.plans.model import WRITERS, Model
 from arrears.sources.catalog import Sources
 from arrears.sources.schemas import SCHEMAS
 from arrears.session import shared_path
 from arrears.sources.typed import load_report, read_lines, typed
-from arrears.sources.sink import LANDING_PARTITIONS, land_bronze, land_days, worth_days
+from arrears.sources.sink import LANDING_PARTITIONS, day_span, land_bronze, land_days
 
 col = F.col
 
@@ -184,16 +186,24 @@ def bronze_landing(src: Sources, p: Params | None = None) -> DataFrame:
     report what the files hold: rows, columns (without the day folder), rows with the lineage
     source, rows with an ingestion time, days (0: not by day)."""
     base = shared_path(src.spark, "bronze")
-    land_bronze(src, base, files_per_day=1, least_rows_per_day=LEAST_ROWS_PER_DAY)
-    for name, c in LANDING_PARTITIONS.items():
-        if not worth_days(src, name, LEAST_ROWS_PER_DAY):
-            continue
-        first = src.rel(name).agg(F.to_date(F.min(c))).first()[0]
-        for _ in range(2):
+
+    def land(name: str) -> DataFrame:
+        rows, days, first = day_span(src, name) if name in LANDING_PARTITIONS else (0, 1, None)
+        by_day = rows >= LEAST_ROWS_PER_DAY * days
+        land_bronze(src, base, relations=[name], partition=by_day, files_per_day=1)
+        for _ in range(2 if by_day else 0):
             land_days(src, base, name, [first] if first else [], files_per_day=1)
+        return src.spark.read.parquet(f"{base}/{name}")
+
+    # The event relations, which take longest, start first; small ones fill what they leave idle.
+    order = sorted(SCHEMAS, key=lambda name: name not in LANDING_PARTITIONS)
+    for name in order:
+        src.rel(name)
+    with ThreadPoolExecutor(WRITERS) as pool:
+        landed = dict(zip(order, pool.map(land, order)))
     out = None
     for name in SCHEMAS:
-        df = src.spark.read.parquet(f"{base}/{name}")
+        df = landed[name]
         days = F.count_distinct("_day") if "_day" in df.columns else F.lit(0).cast("bigint")
         part = df.agg(F.count(F.lit(1)).alias("row_count"),
                       F.count(F.when(col("_source") == f"operational.{name}", 1)).alias("sourced_rows"),

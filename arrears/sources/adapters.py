@@ -227,15 +227,16 @@ def build_relation(read_table, name: str):
     """Spark DataFrame for one domain relation.
 
     ``read_table(table_name) -> DataFrame`` reads a driver table. Columns not
-    referenced are pruned by Catalyst before the scan.
+    referenced are pruned by Catalyst before the scan. The inner joins are built from the last
+    table: the rows of the first and largest one then move once, not once per key.
     """
     out = None
     for part in ADAPTERS[name]:
         tables, keys = BASES[part.base]
-        df = read_table(tables[0])
-        for t, (lk, rk) in zip(tables[1:], keys):
-            right = read_table(t)
-            df = df.join(right, df[lk] == right[rk])
+        df = read_table(tables[-1])
+        for t, (lk, rk) in zip(tables[-2::-1], keys[::-1]):
+            left = read_table(t)
+            df = left.join(df, left[lk] == df[rk])
         if part.where:
             df = df.where(part.where)
         df = df.selectExpr(*[f"{expr} AS {col}" for col, expr in part.columns])

@@ -11,7 +11,7 @@ import datetime as dt
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from arrears.sources.catalog import Sources
@@ -35,6 +35,8 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def _clustered(df: DataFrame, parts: list[str], files_per_partition: int) -> DataFrame:
+    if files_per_partition == 1:
+        return df.repartition(*parts)
     slice_ = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
     return df.repartition(*parts, slice_)
 
@@ -95,12 +97,20 @@ LANDING_PARTITIONS = {
 }
 
 
+def day_span(src: Sources, name: str) -> tuple[int, int, dt.date | None]:
+    """Rows, days and first day of an event relation, in one pass."""
+    day = F.to_date(LANDING_PARTITIONS[name])
+    by_day = src.rel(name).groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    rows, days, first = by_day.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("_day"), F.min("_day")).first()
+    return rows, days, first
+
+
 def worth_days(src: Sources, name: str, least_rows: int) -> bool:
     """Whether a relation's days hold ``least_rows`` rows on average; below it folders by day
     would only make small files."""
     if name not in LANDING_PARTITIONS:
         return False
-    rows, days = src.rel(name).agg(F.count(F.lit(1)), F.count_distinct(F.to_date(LANDING_PARTITIONS[name]))).first()
+    rows, days, _ = day_span(src, name)
     return rows >= least_rows * days
 
 
@@ -133,11 +143,12 @@ def land_days(src: Sources, out_base: str, name: str, days: Iterable[dt.date], s
     spark, path = src.spark, f"{out_base.rstrip('/')}/{name}"
     rows = src.window(name, c, days[0], days[-1] + dt.timedelta(days=1)).withColumn("_day", F.to_date(c))
     rows = with_lineage(rows.where(F.col("_day").isin(days)), f"{source_name}.{name}")
-    held = {r[0] for r in rows.select("_day").distinct().collect()}  # at most the days asked for
-    if held:
-        replace_days(rows.where(F.col("_day").isin(held)), path, files_per_day=files_per_day)
+    seen = Observation()  # the days that the write itself has met: at most the days asked for
+    replace_days(rows.observe(seen, F.array_join(F.collect_set(F.col("_day").cast("string")), ",").alias("days")), path,
+                 files_per_day=files_per_day)
+    held = set((seen.get.get("days") or "").split(","))
     for day in days:
-        if day not in held:
+        if day.isoformat() not in held:
             folder, fs = _file_system(spark, f"{path}/_day={day.isoformat()}")
             fs.delete(folder, True)
 

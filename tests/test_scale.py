@@ -1,12 +1,51 @@
-"""Work and memory that grow no faster than the rows."""
+"""Work and memory that grow no faster than the rows: landing passes, stream feeds, the star join's plan."""
 
 import datetime as dt
 import os
+import re
 
 from pyspark.sql import functions as F
 
+from arrears.plans import views
 from arrears.session import shared_path
+from arrears.sources.catalog import DriverSources, Sources
+from arrears.sources.schemas import SCHEMAS, struct
 from arrears.streaming import match
+from conftest import SF_SMALL
+
+
+def test_landing_reads_a_relation_once_per_step(spark):
+    """Counting its days, landing it and landing its first day twice are four passes over a relation."""
+    class Given(Sources):
+        def _load(self, name):
+            return spark.createDataFrame([tuple(None for _ in struct(name))], struct(name))
+
+    seen, n = spark.sparkContext.accumulator(0), 90
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    src, schema = Given(spark), struct("contact_events")
+    rows = [(i, 1, 1, dt.datetime(2024, 1, 1 + i % 2, 10), "d", 1, 1, "t", "u") for i in range(n)]
+    src._memo["contact_events"] = spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(counted, schema)
+    got = {r["relation"]: r for r in views.bronze_landing(src).collect()}
+    assert seen.value == 4 * n
+    assert got["contact_events"].asDict() == {"relation": "contact_events", "row_count": n, "column_count": 11,
+                                              "sourced_rows": n, "stamped_rows": n, "days": 2}
+    assert set(got) == set(SCHEMAS) and all(got[name]["row_count"] == 1 for name in SCHEMAS if name != "contact_events")
+
+
+def test_payments_move_once_to_their_joins(spark):
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set(key, "-1")
+        plan = DriverSources(spark, SF_SMALL).payments._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    joins = re.findall(r"SortMergeJoin \[(\w+)#", plan)
+    assert joins == ["l_orderkey", "o_custkey"]
 
 
 def test_a_large_step_has_several_files_and_stays_one_trigger(spark):
