@@ -5,6 +5,7 @@ be checked and reused in isolation."""
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,28 +124,28 @@ def star_join(m: Model) -> DataFrame:
     """The star's eight facts against client, company, commission rule, case (and the company of
     the case), operator and date.
 
-    Each fact is added up by its foreign keys first; the union of these sums
-    then meets every dimension once."""
+    A fact meets only the dimensions it has keys of: rows without an operator or a case would all
+    come to one task of that join. The joined rows are added up once, by the few values that the
+    dimensions give; sums by the facts' own keys would be as many as the rows."""
     none = F.lit(None)
 
     def part(name, df, day, operator=none, amount=F.lit(0), client=col("client_id"), case=col("case_id")):
-        keys = [client.cast("bigint").alias("client_id"), case.cast("bigint").alias("case_id"),
-                operator.cast("bigint").alias("operator_id"), col(day).alias("day")]
-        return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                      F.sum(amount.cast("decimal(19,4)")).cast("decimal(38,4)").alias("_a"))
-                  .select(F.lit(name).alias("fact"), "client_id", "case_id", "operator_id", "day", "_n", "_a"))
+        return df.select(F.lit(name).alias("fact"), client.cast("bigint").alias("client_id"),
+                         case.cast("bigint").alias("case_id"), operator.cast("bigint").alias("operator_id"),
+                         col(day).alias("day"), amount.cast("decimal(19,4)").alias("_a"))
+
+    def union(*parts):
+        return reduce(DataFrame.unionByName, parts)
 
     seat = col("operator_id")
-    x = part("payments", m.fact_payments, "payment_date", amount=col("payed_capital"))
-    for other in (
-        part("dialer", m.fact_dialer, "call_date", seat), part("contacts", m.fact_contacts, "contact_date", seat),
-        part("ptp", m.fact_ptp, "contact_date", seat, col("promise_capital")),
-        part("enriched", m.fact_ptp_enriched, "payment_date", amount=col("payed_capital")),
+    money = union(part("payments", m.fact_payments, "payment_date", amount=col("payed_capital")),
+                  part("enriched", m.fact_ptp_enriched, "payment_date", amount=col("payed_capital")))
+    talks = union(part("dialer", m.fact_dialer, "call_date", seat), part("contacts", m.fact_contacts, "contact_date", seat),
+                  part("ptp", m.fact_ptp, "contact_date", seat, col("promise_capital")))
+    days = union(
         part("activity", m.cc_operator_activity, "contact_date", col("user_id"), col("contact_count"), none, none),
         part("presence", m.fact_operator_presence, "WorkDate", col("users_id"), col("contact_count"), none, none),
-        part("operator_day", operator_day(m), "WorkDate", col("users_id"), col("promises"), none, none),
-    ):
-        x = x.unionByName(other)
+        part("operator_day", operator_day(m), "WorkDate", col("users_id"), col("promises"), none, none))
     cl = m.dim_client.select(col("client_id").alias("_cl"), "company_name")
     rule = m.dim_commission_rules.select(col("client_id").alias("_rc"), "commission_rate")
     own = m.dim_client.select(col("client_id").alias("_cc"), col("company_name").alias("case_company"))
@@ -152,14 +153,20 @@ def star_join(m: Model) -> DataFrame:
     cs = cs.join(own, cs["_ccl"] == own["_cc"], "left").drop("_cc", "_ccl")
     op = m.dim_operators.select(col("user_id").alias("_op"), "is_operator")
     cal = dim_date(m).select(col("Date").alias("_day"), "YearMonthKey")
+
+    def with_operator(x):
+        return x.join(op, x["operator_id"] == op["_op"], "left").drop("_op")
+
+    x = money.withColumn("is_operator", none.cast("string")).unionByName(with_operator(talks))
+    x = x.join(cs, x["case_id"] == cs["_cs"], "left").drop("_cs")
+    x = x.unionByName(with_operator(days), allowMissingColumns=True)
     return (x.join(cl, x["client_id"] == cl["_cl"], "left")
              .join(rule, x["client_id"] == rule["_rc"], "left")
-             .join(cs, x["case_id"] == cs["_cs"], "left")
-             .join(op, x["operator_id"] == op["_op"], "left")
              .join(cal, x["day"] == cal["_day"], "left")
              .groupBy("fact", "company_name", "case_company", "commission_rate", "provider", "case_status_id",
                       "is_operator", "YearMonthKey")
-             .agg(F.sum("_n").alias("row_count"), F.sum("_a").cast("double").alias("amount")))
+             .agg(F.count(F.lit(1)).alias("row_count"),
+                  F.sum(col("_a").cast("decimal(38,4)")).cast("double").alias("amount")))
 
 
 def role_date(m: Model) -> DataFrame:

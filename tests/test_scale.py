@@ -7,8 +7,10 @@ import re
 from pyspark.sql import functions as F
 
 from arrears.plans import views
+from arrears.plans.model import Model
 from arrears.session import shared_path
 from arrears.sources.catalog import DriverSources, Sources
+from arrears.sources.driver_dates import events_params, orders_params
 from arrears.sources.schemas import SCHEMAS, struct
 from arrears.streaming import match
 from conftest import SF_SMALL
@@ -48,6 +50,13 @@ def test_payments_move_once_to_their_joins(spark):
     assert joins == ["l_orderkey", "o_custkey"]
 
 
+def test_star_join_adds_up_after_the_dimensions(spark):
+    model = Model(DriverSources(spark, SF_SMALL), events_params(), orders_params())
+    plan = views.star_join(model)._jdf.queryExecution().optimizedPlan().toString()
+    keys = re.findall(r"Aggregate \[([^\]]*)\]", plan)
+    assert not [k for k in keys if re.match(r"(_groupingexpression|client_id)#", k) and "case_id#" in k]
+
+
 def test_a_large_step_has_several_files_and_stays_one_trigger(spark):
     t = F.timestamp_seconds(F.lit(1_704_100_000) + F.col("id") % 40_000).cast("timestamp_ntz")
     df = spark.range(0, 60_000, numPartitions=3).select(F.col("id").alias("uniqueid"), t.alias("call_date"))
