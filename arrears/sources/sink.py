@@ -11,7 +11,7 @@ import datetime as dt
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrears.sources.catalog import Sources
@@ -143,13 +143,15 @@ def land_days(src: Sources, out_base: str, name: str, days: Iterable[dt.date], s
     spark, path = src.spark, f"{out_base.rstrip('/')}/{name}"
     rows = src.window(name, c, days[0], days[-1] + dt.timedelta(days=1)).withColumn("_day", F.to_date(c))
     rows = with_lineage(rows.where(F.col("_day").isin(days)), f"{source_name}.{name}")
-    seen = Observation()  # the days that the write itself has met: at most the days asked for
-    replace_days(rows.observe(seen, F.array_join(F.collect_set(F.col("_day").cast("string")), ",").alias("days")), path,
-                 files_per_day=files_per_day)
-    held = set((seen.get.get("days") or "").split(","))
-    for day in days:
-        if day.isoformat() not in held:
-            folder, fs = _file_system(spark, f"{path}/_day={day.isoformat()}")
+    folders = {day: _file_system(spark, f"{path}/_day={day.isoformat()}") for day in days}
+
+    def files(folder, fs) -> set[str]:
+        return {s.getPath().getName() for s in fs.listStatus(folder)} if fs.exists(folder) else set()
+
+    before = {day: files(*folders[day]) for day in days}
+    replace_days(rows, path, files_per_day=files_per_day)
+    for day, (folder, fs) in folders.items():
+        if before[day] and files(folder, fs) == before[day]:  # the write had no rows for it
             fs.delete(folder, True)
 
 
