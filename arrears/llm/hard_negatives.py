@@ -216,13 +216,16 @@ class RTree:
 
 def _meet(trees: DataFrame, anchors: DataFrame) -> DataFrame:
     """Every tree beside every block of anchors: the block's rows are repeated for each group of
-    trees, about one tree each."""
+    trees, about one tree each. Spark takes the repeated blocks for as few bytes as the blocks had
+    and would broadcast them through the driver, so the join is a merge of shuffled rows; it
+    holds the trees of one group at a time and passes the blocks by."""
     n_trees, n_anchors = trees.count(), anchors.count()
     groups, blocks = max(1, n_trees), max(1, -(-n_anchors // ANCHORS))
     block = anchors.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).groupBy("block").agg(
         F.collect_list(F.struct(*anchors.columns)).alias("anchors"))  # about ANCHORS rows
     each = block.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("g", "anchors")
-    return trees.withColumn("g", F.pmod(F.xxhash64("tree"), F.lit(groups)).cast("int")).join(each, "g").drop("g")
+    grouped = trees.withColumn("g", F.pmod(F.xxhash64("tree"), F.lit(groups)).cast("int"))
+    return each.join(grouped.hint("merge"), "g").drop("g")
 
 
 def _search(pairs: DataFrame, find, columns: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Hard negatives over R-trees against all scores."""
 
 import random
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -63,6 +65,19 @@ def test_against_all_scores(spark, block, leaf, anchors, monkeypatch):
     assert sorted(map(tuple, got)) == brute(rows, lambda i: i % 10 == 0)
 
 
+def test_repeated_blocks_are_not_broadcast(spark, monkeypatch):
+    """Every anchor meets every tree once, and the blocks, repeated for every tree, stay out of the driver."""
+    monkeypatch.setattr(hn, "BLOCK", 7)
+    monkeypatch.setattr(hn, "ANCHORS", 3)
+    given = spark.createDataFrame(vectors(3, 90, 5, 0.3), "vec_id long, embedding array<float>, label int")
+    rows = stage(hn.prepare(given), "test-rows")
+    trees, anchors = hn.build_trees(rows), rows.where("id % 10 = 0")
+    met = hn._meet(trees, anchors).select("tree", F.explode("anchors").alias("a")).select("tree", "a.row")
+    got = Counter(tuple(r) for r in met.collect())
+    assert got == Counter((t.tree, a.row) for t in trees.collect() for a in anchors.collect()) and len(got) > 100
+    assert not re.search("Broadcast|Cartesian", met._jdf.queryExecution().executedPlan().toString())
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert hn.hard_negatives(hn.prepare(none), F.col("id") % 10 == 0).count() == 0
