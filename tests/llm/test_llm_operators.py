@@ -666,7 +666,7 @@ def test_lm_scores_tell_held_out_topics_apart(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = QUERIES[name](spark, SMALL)
     cols = sorted(df.columns)
